@@ -1,0 +1 @@
+"""Empty on purpose: all inputs are tables read once, there is no stream to process."""
