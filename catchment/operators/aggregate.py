@@ -176,7 +176,11 @@ def merge_regions(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 def class_summary(df: DataFrame, key: str, label: str, positive: str,
                   population: str) -> DataFrame:
-    """Facilities, positive ones and both rates per country, rounded half-even."""
+    """Facilities, positive ones and both rates per country, rounded half-even.
+
+    Sums are rounded to four digits first, so that the order of summation cannot
+    decide a tie.
+    """
     is_positive = F.col(label) == positive
     counted = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("Total_Facilities"),
@@ -187,7 +191,8 @@ def class_summary(df: DataFrame, key: str, label: str, positive: str,
         key, "Total_Facilities", "Positive_Count",
         F.bround(F.col("Positive_Count") * 100.0 / F.col("Total_Facilities"), 1)
         .alias("Rate_Count_pct"),
-        F.bround("__pop", 0).alias("Total_Pop"), F.bround("__pos", 0).alias("Positive_Pop"),
+        F.bround(F.round("__pop", 4), 0).alias("Total_Pop"),
+        F.bround(F.round("__pos", 4), 0).alias("Positive_Pop"),
         F.bround(ratio(F.col("__pos") * 100, F.col("__pop"), 0.0), 1).alias("Rate_Pop_pct"))
 
 

@@ -32,7 +32,7 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_re
     # Suppliers as plants; their region is the country, a nation, a segment, or unknown.
     "plant": """
 SELECT s_suppkey AS plant_id, r_name AS NAME_0,
-       CASE WHEN s_acctbal < 0 THEN r_name WHEN s_acctbal < 2500 THEN n_name
+       CASE WHEN s_acctbal < 300 THEN r_name WHEN s_acctbal < 2500 THEN n_name
             WHEN s_acctbal < 5000 THEN 'MACHINERY' WHEN s_acctbal < 7000 THEN 'HOUSEHOLD'
             WHEN s_acctbal < 8500 THEN n_name ELSE 'elsewhere' END AS Region,
        CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 0 END AS served,

@@ -75,8 +75,6 @@ def main() -> int:
 
     import __spark_entry__ as entry
     from catchment.session import build_session
-    from pyspark.sql import SparkSession
-    SparkSession.builder.config("spark.ui.showConsoleProgress", "false")
     spark = build_session("check", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
