@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -19,6 +22,16 @@ from .proba import (bootstrap_multiplicity, predicted_class, replicate_stats, re
                     stratified_folds, stratified_holdout, stratified_split)
 
 MIN_TRAIN = 10
+PARALLEL_FITS = 4
+T = TypeVar("T")
+
+
+def _together(spark: SparkSession, tasks: Sequence[Callable[[], T]]) -> list[T]:
+    """Submit independent fits from several driver threads, as cross-validation does."""
+    if len(tasks) < 2:
+        return [task() for task in tasks]
+    with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
+        return pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks)
 
 
 @dataclass(frozen=True)
@@ -38,6 +51,42 @@ class ForestSettings:
             seed=seed, cacheNodeIds=False)
 
 
+    def probabilities(self, train: DataFrame, wanted: DataFrame, carry: Sequence[str],
+                      n_classes: int, seed: int) -> DataFrame:
+        """``wanted`` scored: the carried columns and a probability array."""
+        model = self.build(seed).fit(train)
+        return model.transform(wanted).select(
+            *carry, F.slice(vector_to_array("probability"), 1, n_classes).alias("__p"))
+
+
+@dataclass(frozen=True)
+class BoostedSettings:
+    """One parameter set of boosted trees: a binary booster per class, normalised."""
+
+    n_estimators: int = 20
+    max_depth: int = 5
+    learning_rate: float = 0.1
+    min_instances: int = 1
+    subsample: float = 0.8
+
+    def probabilities(self, train: DataFrame, wanted: DataFrame, carry: Sequence[str],
+                      n_classes: int, seed: int) -> DataFrame:
+        scored = wanted
+        for c in range(n_classes):
+            booster = GBTClassifier(
+                featuresCol="features", labelCol="__one", weightCol="multiplicity",
+                maxIter=self.n_estimators, maxDepth=self.max_depth, stepSize=self.learning_rate,
+                minInstancesPerNode=self.min_instances, subsamplingRate=self.subsample, seed=seed,
+                predictionCol=f"__d{c}")
+            booster = booster.setProbabilityCol(f"__q{c}").setRawPredictionCol(f"__r{c}")
+            one = train.withColumn("__one", F.when(F.col("__y") == c, 1.0).otherwise(0.0))
+            scored = booster.fit(one).transform(scored)
+        each = [vector_to_array(f"__q{c}")[1] for c in range(n_classes)]
+        cells = scored.select(*carry, F.array(*each).alias("__e"))
+        total = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
+        return cells.select(*carry, F.transform("__e", lambda x: x / total).alias("__p"))
+
+
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
@@ -56,9 +105,9 @@ def prepare_features(train: DataFrame, predict: DataFrame, numeric: Sequence[str
 
 
 def bagged_probabilities(train: DataFrame, predict: DataFrame, id_col: str, label: str,
-                         features: Sequence[str], settings: ForestSettings, replicates: int,
-                         seed: int, carry: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """(replicate, id, class, proba) from one forest per bootstrap replicate.
+                         features: Sequence[str], settings: ForestSettings | BoostedSettings,
+                         replicates: int, seed: int, carry: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """(replicate, id, class, proba) from one model per bootstrap replicate.
 
     Replicates are weights on one training table, so no copy of it is made. The
     classes are the sorted training labels, a list of labels and not of rows.
@@ -70,17 +119,17 @@ def bagged_probabilities(train: DataFrame, predict: DataFrame, id_col: str, labe
     wanted = materialize(_assembled(predict, features).select(id_col, *carry, "features"),
                          "predict")
     weights = materialize(bootstrap_multiplicity(table, id_col, replicates, seed), "weights")
-    cubes = []
-    for b in range(replicates):
+    names = F.array(*[F.lit(c) for c in classes])
+
+    def replicate(b: int) -> DataFrame:
         drawn = table.join(weights.where(F.col("replicate") == b).drop("replicate"), id_col)
-        model = settings.build(seed + b).fit(drawn)
-        scored = model.transform(wanted).select(
-            id_col, *carry, F.posexplode(vector_to_array("probability")).alias("__c", "proba"))
-        names = F.array(*[F.lit(c) for c in classes])
-        cubes.append(scored.where(F.col("__c") < len(classes)).select(
-            F.lit(b).alias("replicate"), id_col, *carry,
-            F.get(names, F.col("__c")).alias("class"), "proba"))
-    return union_all(cubes), classes
+        scored = settings.probabilities(drawn, wanted, [id_col, *carry], len(classes), seed + b)
+        cells = scored.select(id_col, *carry, F.posexplode("__p").alias("__c", "proba"))
+        return cells.select(F.lit(b).alias("replicate"), id_col, *carry,
+                            F.get(names, F.col("__c")).alias("class"), "proba")
+
+    tasks = [lambda b=b: replicate(b) for b in range(replicates)]
+    return union_all(_together(train.sparkSession, tasks)), classes
 
 
 def bucket_probabilities(train: DataFrame, predict: DataFrame, id_col: str, label: str,
@@ -96,10 +145,8 @@ def bucket_probabilities(train: DataFrame, predict: DataFrame, id_col: str, labe
     sizes = {r[bucket]: r["n"] for r in
              train.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = {r[0] for r in predict.select(bucket).distinct().collect()}
-    frames = []
-    for name in sorted(sizes):
-        if sizes[name] < MIN_TRAIN or name not in wanted:
-            continue
+
+    def one(name: str) -> DataFrame:
         tr, pr = prepare_features(train.where(F.col(bucket) == name),
                                   predict.where(F.col(bucket) == name), numeric, categorical)
         carry = [level] if level else []
@@ -108,10 +155,12 @@ def bucket_probabilities(train: DataFrame, predict: DataFrame, id_col: str, labe
                                        settings[name], replicates, seed, carry)
         if level and allowed:
             cube = restrict_advanced(cube, ["replicate", id_col], level, allowed)
-        frames.append(replicate_stats(cube, id_col).withColumn(bucket, F.lit(name)))
-    if not frames:
+        return replicate_stats(cube, id_col).withColumn(bucket, F.lit(name))
+
+    usable = [n for n in sorted(sizes) if sizes[n] >= MIN_TRAIN and n in wanted]
+    if not usable:
         raise RuntimeError("no bucket produced predicted probabilities")
-    return union_all(frames)
+    return union_all(_together(train.sparkSession, [lambda n=n: one(n) for n in usable]))
 
 
 def fold_probabilities(labelled: DataFrame, id_col: str, label: str, numeric: Sequence[str],
@@ -119,14 +168,16 @@ def fold_probabilities(labelled: DataFrame, id_col: str, label: str, numeric: Se
                        replicates: int, seed: int) -> DataFrame:
     """Out-of-fold probabilities: every row predicted by models that did not see it."""
     assigned = materialize(stratified_folds(labelled, id_col, [label], folds, seed), "folds")
-    frames = []
-    for fold in range(1, folds + 1):
+
+    def one(fold: int) -> DataFrame:
         train = assigned.where(F.col("fold") != fold)
         valid = assigned.where(F.col("fold") == fold)
-        frames.append(bucket_probabilities(train, valid, id_col, label, numeric, bucket,
-                                           settings, replicates, seed)
-                      .withColumn("fold", F.lit(fold)))
-    return union_all(frames)
+        known = valid.join(train.select(bucket, label).distinct(), [bucket, label], "left_semi")
+        return bucket_probabilities(train, known, id_col, label, numeric, bucket, settings,
+                                    replicates, seed).withColumn("fold", F.lit(fold))
+
+    return union_all(_together(labelled.sparkSession,
+                               [lambda f=f: one(f) for f in range(1, folds + 1)]))
 
 
 def holdout_probabilities(labelled: DataFrame, id_col: str, label: str, numeric: Sequence[str],
@@ -152,13 +203,13 @@ def score_parameters(labelled: DataFrame, id_col: str, label: str, numeric: Sequ
                      replicates: int, seed: int) -> DataFrame:
     """(param_key, bucket, id, class, mean, fold): out-of-fold probabilities per set."""
     names = [r[0] for r in labelled.select(bucket).distinct().collect()]
-    frames = []
-    for key, setting in sets.items():
-        per_bucket = {n: setting for n in names}
-        frames.append(fold_probabilities(labelled, id_col, label, numeric, bucket, per_bucket,
-                                         folds, replicates, seed)
-                      .withColumn("param_key", F.lit(key)))
-    return union_all(frames)
+
+    def one(key: str) -> DataFrame:
+        return fold_probabilities(labelled, id_col, label, numeric, bucket,
+                                  {n: sets[key] for n in names}, folds, replicates,
+                                  seed).withColumn("param_key", F.lit(key))
+
+    return union_all(_together(labelled.sparkSession, [lambda k=k: one(k) for k in sets]))
 
 
 # --- binary model ---------------------------------------------------------
@@ -176,10 +227,9 @@ def _booster(settings: BoosterSettings, seed: int, max_iter: int,
              validation: str | None) -> GBTClassifier:
     model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                           maxIter=max_iter, maxDepth=settings.max_depth,
-                          stepSize=settings.step, subsamplingRate=settings.subsample, seed=seed)
-    if validation:
-        model = model.setValidationIndicatorCol(validation).setValidationTol(settings.tolerance)
-    return model
+                          stepSize=settings.step, subsamplingRate=settings.subsample, seed=seed,
+                          validationTol=settings.tolerance)
+    return model.setValidationIndicatorCol(validation) if validation else model
 
 
 def train_binary(observed: DataFrame, id_col: str, label: str, features: Sequence[str],
