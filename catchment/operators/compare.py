@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import contains_ci, ratio
+from ..session import materialize
 from .aggregate import add_global_share, pivot_sums
 from .ranking import with_rank
 
@@ -120,11 +121,12 @@ def sector_ranking(inventory: DataFrame, countries: DataFrame, gases: Sequence[s
     """Reported sector totals with share and rank per gas and combined."""
     inside, _ = sector_split(inventory, source, needle)
     table = pivot_sums(inside, country, gas, gases, year, combined)
-    kept = table.join(countries.select(country).distinct(), country, "left_semi")
+    kept = materialize(table.join(countries.select(country).distinct(), country, "left_semi"),
+                       "sector")
     labels = [*gases, combined]
     out = add_global_share(kept, labels)
     for label in labels:
-        out = with_rank(out, label, f"{label}_Rank")
+        out = with_rank(out, label, f"{label}_Rank", source=kept)
     return out
 
 

@@ -6,6 +6,7 @@ ordered value buckets. Counts per bucket are pre-aggregated on the map side,
 their running sums give each bucket its offset, and only the rows of one
 bucket are ever sorted together. A group with a third of all rows is thereby
 spread over as many tasks as it has buckets, and results stay exact.
+Quantiles shuffle only the rows of the few buckets that hold a wanted rank.
 """
 
 from __future__ import annotations
@@ -57,10 +58,6 @@ def _value_counts(df: DataFrame, keys: Sequence[str], value: str, text: bool = F
             .withColumn("__b", bucket))
 
 
-def _bucket_sums(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__in"))
-
-
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Mapping[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group: keys, ``n`` and one column per name.
@@ -68,15 +65,20 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     Only buckets that hold a wanted rank are sorted. NULL values are skipped.
     """
     keys = list(keys)
-    counts = _value_counts(df, keys, value)
-    offsets = _with_offsets(_bucket_sums(counts, keys), keys)
+    rows = (df.where(F.col(value).isNotNull())
+            .select(*keys, F.col(value).cast("double").alias("__v"))
+            .withColumn("__b", value_bucket(F.col("__v"))))
+    offsets = _with_offsets(
+        rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__in")), keys)
 
     position = {name: F.lit(float(p)) * (F.col("__total") - 1) for name, p in probs.items()}
     ranks = [edge(pos) for pos in position.values() for edge in (F.floor, F.ceil)]
     wanted = reduce(lambda a, b: a | b, [
         (r >= F.col("__before")) & (r < F.col("__before") + F.col("__in")) for r in ranks])
 
-    candidates = join_null_safe(counts, offsets.where(wanted), [*keys, "__b"])
+    inside_bucket = ["__b", "__before", "__total"]
+    candidates = (join_null_safe(rows, offsets.where(wanted).drop("__in"), [*keys, "__b"])
+                  .groupBy(*keys, *inside_bucket, "__v").agg(F.count(F.lit(1)).alias("__n")))
     inside = Window.partitionBy(*keys, "__b").orderBy("__v")
     placed = (candidates
               .withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
@@ -122,9 +124,14 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, text: bool = Fal
 
 
 def with_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = (),
-              descending: bool = True, ties: str = "min") -> DataFrame:
-    """Rank of a column; ties share the lowest or the average rank, NULL has none."""
-    ranks = value_ranks(df, keys, value)
+              descending: bool = True, ties: str = "min",
+              source: DataFrame | None = None) -> DataFrame:
+    """Rank of a column; ties share the lowest or the average rank, NULL has none.
+
+    ``source`` is the plain table the ranks are counted on when ``df`` already
+    carries other derived columns; counting there keeps their plan from running twice.
+    """
+    ranks = value_ranks(df if source is None else source, keys, value)
     before = (F.col("total") - F.col("below") - F.col("n")) if descending else F.col("below")
     if ties == "min":
         rank = (before + 1).cast("long")

@@ -11,7 +11,7 @@ from ..operators.aggregate import (add_global_share, class_summary, grouped_sums
                                    rollup_levels, several_values, weighted_mean, weighted_rate)
 from ..operators.clean import (iqr_audit, iqr_clean, mixed_groups, ratio_means,
                                reference_factors, screening_value)
-from ..operators.draws import build_pools, index_records, level_loads, pool_status, zeroed_share
+from ..operators.draws import build_pools, index_records, level_loads, zeroed_share
 from ..operators.clean import overall_ratio
 from ..operators.hierarchy import region_totals
 from ..operators.match import by_climate, sewer_emissions
@@ -329,11 +329,6 @@ def a28(t):
     return rounded(zeroed_share(matrix, plants, pools, "plant_id", "served", "n2o_ef"), 9)
 
 
-@query("A28_pool_status")
-def a28_status(t):
-    return pool_status(query_pools(t, 200), "class")
-
-
 @query("A29_holdout_jobs", """
 SELECT w.country, count(o.o_orderkey) AS n,
   CASE WHEN count(o.o_orderkey) > 400 THEN 0.2 WHEN count(o.o_orderkey) >= 100 THEN 0.5 END::DOUBLE AS fraction,

@@ -8,16 +8,15 @@ from ..functions.emissions import (CH4_DEFAULTS, CLASS_COEFFICIENTS, EFFECTIVE_F
                                    TARGETS)
 from ..functions.uniform import digest
 from ..operators.aggregate import weighted_rate
-from ..operators.draws import (STATS, beta_parameters, beta_probabilities, city_reductions, city_table,
+from ..operators.draws import (STATS, beta_classes, beta_parameters, beta_probabilities, city_reductions, city_table,
                                distribution, donor_series, draw_ch4, draw_factors, draw_n2o,
                                expand_draws, group_emissions, group_factors, index_records,
                                iterations, level_emissions, level_loads, level_table,
-                               mixture_factors, pool_table, redrawn_factor, with_class_cdf,
+                               mixture_factors, pool_status, pool_table, redrawn_factor, with_class_cdf,
                                with_shared_draws)
-from ..operators.proba import full_matrix, predicted_class, to_arrays
+from ..operators.proba import full_matrix, to_arrays
 from ..plans.emission import (LEVELS, RunSettings, city_loads, draw_donors, informed_plants,
                               map_cities)
-from ..operators.draws import beta_classes
 from ..session import materialize
 from .aggregates import LOADS_SQL, query_pools
 from .helpers import rounded
@@ -87,6 +86,13 @@ def d2(t):
     return rounded(query_pools(t, POOL), 12)
 
 
+@query("A28_pool_status", f"""
+WITH {pools_sql()} SELECT class, round(avg(ch4_ef), 9) AS ch4_mean, round(avg(n2o_ef), 9) AS n2o_mean
+FROM pool GROUP BY 1 /* {{n2o}} {{fb}} {{ch4}} */""")
+def a28_status(t):
+    return rounded(pool_status(query_pools(t, POOL), "class"), 9)
+
+
 def redrawn_sql(base: str, parts: str) -> str:
     def draw(i):
         key = f"'{SEED}|' || {parts} || '|try{i}'"
@@ -312,6 +318,18 @@ def d11(t):
     return rounded(level_table(emissions, level_loads(loads, LEVELS)), 9)
 
 
+@query("E5_effective_factors", f"""
+WITH {RUN_SQL}, lv AS ({LEVEL_SQL}), ll AS ({LOAD_LEVEL_SQL})
+SELECT lv.level, lv.key, {', '.join(stats_sql(t, d) for _, t, d in EFFECTIVE_FACTORS)}
+FROM lv JOIN ll ON ll.level = lv.level AND ll.key = lv.key GROUP BY 1, 2 {RUN_ROLES}""")
+def e5(t):
+    loads, factors = run_inputs(t)
+    emissions = level_emissions(group_emissions(loads, factors, FINEST, SEED), LEVELS)
+    table = level_table(emissions, level_loads(loads, LEVELS))
+    return rounded(table.select("level", "key", *[f"{label}_{s}" for label, _, _ in EFFECTIVE_FACTORS
+                                                  for s in STATS]), 9)
+
+
 CITY_FACTORS = """round(avg(ch4_ef), 9) AS "CH4_EF_safetreated_Mean", round(quantile_cont(ch4_ef, 0.025), 9) AS "CH4_EF_safetreated_P2_5",
   round(quantile_cont(ch4_ef, 0.5), 9) AS "CH4_EF_safetreated_Median", round(quantile_cont(ch4_ef, 0.975), 9) AS "CH4_EF_safetreated_P97_5",
   round(avg(n2o_ef), 9) AS "N2O_EF_Mean", round(quantile_cont(n2o_ef, 0.025), 9) AS "N2O_EF_P2_5",
@@ -376,4 +394,3 @@ def d14(t):
     return rounded(table.select("level", "key", emission.alias("emission"), agrees.alias("agrees")), 9)
 
 
-__all__ = ["predicted_class"]

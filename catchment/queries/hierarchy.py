@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import (SEPARATOR, VALUE_LABELS, affected_donors, build_nodes,
-                                   city_lookup, data_label, donor_members, fill_nodes,
+from ..operators.hierarchy import (VALUE_LABELS, affected_donors, build_nodes, city_lookup,
+                                   donor_members, fill_nodes,
                                    keep_informed, mapping_source, mark_nodes, match_regions,
                                    node_values, region_totals, with_donor_id)
 from ..operators.proba import full_matrix
 from ..plans.digestion import extend_cities
 from ..plans.emission import informed_plants, map_cities
-from ..session import materialize
+from ..session import materialize, scratch_path
+from ..sources.writers import write_table
 from .helpers import rounded
 from .joins import MATRIX_SQL
 from .registry import query
@@ -277,6 +278,19 @@ def h8(t):
     return rounded(members.select("donor_id", "plant_id", "weight"), 9)
 
 
+@query("S15_mapping_store", f"""
+WITH {nodes_sql()}, {match_sql()}, {fill_sql()}, {MEMBERS_SQL}
+SELECT donor_id, count(*) AS n, round(sum(weight), 6) AS weight FROM members GROUP BY 1 /* {{city}} {{plant}} */""")
+def s15(t):
+    _, members = map_cities(t.role("city"), t.role("plant"), "row_id", "plant_id", "served",
+                            small_country=SMALL)
+    path = write_table(members.select("donor_id", "plant_id", "weight"),
+                       scratch_path(t.spark, "mapping"))
+    stored = t.spark.read.parquet(path)
+    return rounded(stored.groupBy("donor_id").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.sum("weight").alias("weight")), 6)
+
+
 @query("J9_city_bridge", f"""
 WITH {nodes_sql()}, {match_sql()}, {fill_sql()}, {LOOKUP_SQL}, {MEMBERS_SQL}
 SELECT f.row_id, count(*) AS n_plants, round(sum(m.weight), 6) AS weight, round(sum(m.weight * m.plant_id), 6) AS mean_id
@@ -339,6 +353,3 @@ def h10(t):
                 F.count(F.lit(1)).alias("n_cities"), F.count("donor_id").alias("n_mapped"),
                 F.countDistinct("donor_id").alias("n_donors"),
                 F.coalesce(F.sum("n"), F.lit(0)).alias("n_links")))
-
-
-__all__ = ["SEPARATOR", "data_label"]

@@ -9,7 +9,6 @@ from ..functions.reference import (COUNTRY_ALIASES, bucket_settings, literal_tab
 from ..operators.frames import MissingColumns, duplicate_keys, require_columns
 from ..operators.proba import to_wide
 from ..operators.aggregate import grouped_sums
-from ..plans.emission import map_cities
 from ..session import scratch_path
 from ..sources.readers import (read_named, read_optional, read_probabilities, read_table,
                                read_union)
@@ -174,16 +173,6 @@ def s14(t):
     return read_versioned(t.spark, path)
 
 
-@query("S15_mapping_store")
-def s15(t):
-    cities, plants = t.role("city"), t.role("plant")
-    found, members = map_cities(cities, plants, "row_id", "plant_id", "served",
-                                small_country=9.5e6)
-    path = write_table(members.select("donor_id", "plant_id", "weight"),
-                       scratch_path(t.spark, "mapping"))
-    return t.spark.read.parquet(path)
-
-
 @query("S7_reference_tables", """
 SELECT c_mktsegment AS segment, count(*) AS n, 21 AS networks, 26 AS aliases, 3 AS buckets
 FROM customer GROUP BY 1""")

@@ -19,8 +19,9 @@ from .roles import CLASS_ROWS, CLASSES
 SELECT plant_id, CASE WHEN served IS NOT NULL THEN rank() OVER (ORDER BY served DESC NULLS LAST) END AS pos,
   rank() OVER (PARTITION BY NAME_0 ORDER BY precipitation DESC) AS pos_in_country FROM {sewered}""")
 def w1(t):
-    ranked = with_rank(t.role("sewered"), "served", "pos")
-    ranked = with_rank(ranked, "precipitation", "pos_in_country", ["NAME_0"])
+    base = t.role("sewered")
+    ranked = with_rank(base, "served", "pos")
+    ranked = with_rank(ranked, "precipitation", "pos_in_country", ["NAME_0"], source=base)
     return ranked.select("plant_id", "pos", "pos_in_country")
 
 
