@@ -80,10 +80,10 @@ pool AS (SELECT r.class_idx, r.class, r.slot,
 
 
 @query("D2_factor_pools", f"""
-WITH {pools_sql()} SELECT class, slot::INT AS slot, round(n2o_ef, 12) AS n2o_ef, round(ch4_ef, 12) AS ch4_ef
+WITH {pools_sql()} SELECT class, slot::INT AS slot, n2o_ef, round(ch4_ef, 9) AS ch4_ef
 FROM pool /* {{n2o}} {{fb}} {{ch4}} */""")
 def d2(t):
-    return rounded(query_pools(t, POOL), 12)
+    return rounded(query_pools(t, POOL), 9, ["ch4_ef"])
 
 
 @query("A28_pool_status", f"""
@@ -105,9 +105,9 @@ def redrawn_sql(base: str, parts: str) -> str:
 WITH {INDEXED_SQL},
 r AS (SELECT plant_id, class FROM predicted),
 k AS (SELECT r.*, '{SEED}|' || plant_id || '|' || class AS key FROM r)
-SELECT r.plant_id, r.class, round(CASE WHEN r.class = 'Anaerobic' THEN 0.0 WHEN ni.mark = 'F' THEN ni.N2OEF
-    ELSE ni.N2OEF / coalesce(fi.FB, (SELECT avg(FB) FROM fb WHERE class IS NOT NULL)) END, 12) AS n2o_ef,
-  round(CASE WHEN r.class IN ('Pond', 'Lagoon', 'Anaerobic') THEN {redrawn_sql(CH4_DEFAULT_SQL, "r.plant_id || '|' || r.class")} ELSE ci.CH4EF END, 12) AS ch4_ef
+SELECT r.plant_id, r.class, CASE WHEN r.class = 'Anaerobic' THEN 0.0 WHEN ni.mark = 'F' THEN ni.N2OEF
+    ELSE ni.N2OEF / coalesce(fi.FB, (SELECT avg(FB) FROM fb WHERE class IS NOT NULL)) END AS n2o_ef,
+  round(CASE WHEN r.class IN ('Pond', 'Lagoon', 'Anaerobic') THEN {redrawn_sql(CH4_DEFAULT_SQL, "r.plant_id || '|' || r.class")} ELSE ci.CH4EF END, 9) AS ch4_ef
 FROM k r
 LEFT JOIN ni ON ni.class = r.class AND ni.pos = floor({u('r.key', 0)} * ni.n)
 LEFT JOIN fi ON fi.class = r.class AND fi.pos = floor({u('r.key', 1)} * fi.n)
@@ -125,7 +125,7 @@ def d3(t):
                      defaults=N2O_DEFAULTS)
     drawn = draw_ch4(drawn, ch4, "class", "__key", "CH4EF", CH4_DEFAULTS,
                      default_draw=lambda base: redrawn_factor(base, SEED, parts))
-    return rounded(drawn.select("plant_id", "class", "n2o_ef", "ch4_ef"), 12)
+    return rounded(drawn.select("plant_id", "class", "n2o_ef", "ch4_ef"), 9, ["ch4_ef"])
 
 
 @query("D4_beta_parameters", """

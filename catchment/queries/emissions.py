@@ -116,9 +116,11 @@ def e6(t):
 
 
 @query("E6_inventory_wide", """
-SELECT n_name AS Country, round(sum(CASE WHEN Substance = 'CH4' THEN Y_2022 END), 2) AS ch4_total,
-  round(sum(CASE WHEN Substance = 'N2O' THEN Y_2022 END), 2) AS n2o_total
-FROM nation JOIN {inventory} ON Country = n_name WHERE n_name IN (SELECT Country FROM {ours}) GROUP BY 1""")
+WITH x AS (SELECT Country, Substance, coalesce(lower(source) LIKE '%wastewater%', FALSE) AS ww, Y_2022 AS v FROM {inventory}),
+y AS (SELECT Country, Substance, CASE WHEN bool_or(ww) AND bool_or(NOT ww) THEN sum(v) END AS total FROM x GROUP BY 1, 2)
+SELECT o.Country, round(max(CASE WHEN Substance = 'CH4' THEN total END), 2) AS ch4_total,
+  round(max(CASE WHEN Substance = 'N2O' THEN total END), 2) AS n2o_total
+FROM {ours} o LEFT JOIN y ON y.Country = o.Country GROUP BY 1""")
 def e6_wide(t):
     long = inventory_comparison(t.role("ours"), t.role("inventory"), GASES, TOTALS, PARTS, "Y_2022")
     wide = inventory_wide(long, GASES)
