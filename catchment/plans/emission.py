@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.emissions import ACTIVITY_COLUMNS, TREATMENT_CLASSES, secondary_loads, total_loads
 from ..operators.aggregate import weighted_rate
-from ..operators.draws import (POOL_SIZE, beta_classes, city_reductions, city_table, donor_factors,
+from ..operators.draws import (POOL_SIZE, city_reductions, city_table, donor_factors,
                                donor_series, group_emissions, level_emissions, level_loads,
-                               level_table, pool_table, with_class_cdf)
+                               level_table, pool_table)
 from ..operators.frames import lookup, require_columns
 from ..operators.hierarchy import (NAMES, SMALL_COUNTRY, build_nodes, city_lookup, donor_members,
                                    fill_nodes, keep_informed, mapping_source, mark_nodes,
@@ -32,6 +32,7 @@ class RunSettings:
     seed: int = 42
     classes: Sequence[str] = field(default_factory=lambda: list(TREATMENT_CLASSES))
     probability_uncertainty: bool = True
+    fast: bool = True
     city_every: int = 1
     small_country: float = SMALL_COUNTRY
 
@@ -80,14 +81,11 @@ def informed_plants(matrix: DataFrame, plant_id: str, classes: Sequence[str]) ->
 def draw_donors(members: DataFrame, matrix: DataFrame, pools: DataFrame, plant_id: str,
                 settings: RunSettings) -> DataFrame:
     """(donor_id, sim, weighted quantities)."""
-    n = len(settings.classes)
     plants = informed_plants(matrix, plant_id, settings.classes)
     kept = keep_informed(members, plants, plant_id)
-    plants = (beta_classes(plants, plant_id, settings.n_sim, settings.seed)
-              if settings.probability_uncertainty else with_class_cdf(plants, n))
-    return donor_factors(kept, plants.drop("means", "stds"),
-                         pool_table(pools, settings.classes), plant_id, settings.classes,
-                         settings.n_sim, settings.pool_size, settings.seed)
+    return donor_factors(kept, plants, pool_table(pools, settings.classes), plant_id,
+                         settings.classes, settings.n_sim, settings.pool_size, settings.seed,
+                         settings.probability_uncertainty, settings.fast)
 
 
 def summarise(loads: DataFrame, factors: DataFrame, row_id: str, settings: RunSettings,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.draws import (beta_classes, beta_probabilities, distribution, draw_factors,
                                expand_draws, group_factors, mixture_factors, pool_table,
-                               with_class_cdf)
+                               with_blocks, with_class_cdf)
 from ..operators.validate import (coverage_summary, fold_metrics, gas_rows, interval_summary,
                                   metric_summary, reference_mean)
 
@@ -19,18 +19,20 @@ GASES = {"N2O": "n2o_ef", "CH4": "ch4_ef"}
 def group_intervals(plants: DataFrame, pools: DataFrame, keys: Sequence[str], id_col: str,
                     label: str, population: str, references: dict[str, DataFrame],
                     classes: Sequence[str], n_sim: int, pool_size: int, seed: int,
-                    probability_uncertainty: bool = True, digits: bool = True) -> DataFrame:
+                    probability_uncertainty: bool = True, digits: bool = True,
+                    fast: bool = False) -> DataFrame:
     """Interval and coverage per (group, gas): one class and factor per plant and iteration.
 
     ``plants`` carry ``means`` and ``stds``; ``references`` hold (class, reference) per gas.
     """
     n = len(classes)
-    ready = (beta_classes(plants, id_col, n_sim, seed, n - 1) if probability_uncertainty
-             else with_class_cdf(plants, n))
-    slim = ready.select(id_col, *keys, population,
-                        "picks" if probability_uncertainty else "cdf")
-    draws = draw_factors(expand_draws(slim, id_col, n_sim, seed, n, None, None),
-                         pool_table(pools, classes), n, pool_size)
+    slim = plants if probability_uncertainty else with_class_cdf(plants, n).drop("means", "stds")
+    columns = ["means", "stds"] if probability_uncertainty else ["cdf"]
+    rows = with_blocks(slim.select(id_col, *keys, population, *columns), n_sim, id_col)
+    if probability_uncertainty:
+        rows = beta_classes(rows, id_col, seed, n - 1).drop("means", "stds")
+    draws = draw_factors(expand_draws(rows, id_col, n_sim, seed, n, None, None, fast),
+                         pool_table(pools, classes), n, pool_size, fast)
     sampled = group_factors(draws, keys, population)
     long = sampled.select(*keys, "sim", F.explode(F.array(*[
         F.struct(F.lit(g).alias("gas"), F.col(c).alias("value")) for g, c in GASES.items()]))

@@ -12,7 +12,7 @@ from ..operators.draws import (STATS, beta_classes, beta_parameters, beta_probab
                                distribution, donor_series, draw_ch4, draw_factors, draw_n2o,
                                expand_draws, group_emissions, group_factors, index_records,
                                iterations, level_emissions, level_loads, level_table,
-                               mixture_factors, pool_status, pool_table, redrawn_factor, with_class_cdf,
+                               mixture_factors, pool_status, pool_table, redrawn_factor, with_blocks, with_class_cdf,
                                with_shared_draws)
 from ..operators.proba import full_matrix, to_arrays
 from ..plans.emission import (LEVELS, RunSettings, city_loads, draw_donors, informed_plants,
@@ -27,7 +27,7 @@ from .roles import CLASS_ROWS, CLASSES
 
 N_SIM, POOL, SEED = 20, 100, 42
 SETTINGS = RunSettings(n_sim=N_SIM, pool_size=POOL, seed=SEED, classes=CLASSES,
-                       probability_uncertainty=False, small_country=SMALL)
+                       probability_uncertainty=False, fast=False, small_country=SMALL)
 
 
 def rates_sql(sim: str = "sim") -> tuple[str, str]:
@@ -211,7 +211,8 @@ def grouped_plants(t):
 
 @query("D8_group_factors")
 def d8(t):
-    plants = beta_classes(grouped_plants(t), "plant_id", N_SIM, SEED, len(CLASSES) - 1)
+    plants = beta_classes(with_blocks(grouped_plants(t), N_SIM, "plant_id"), "plant_id", SEED,
+                          len(CLASSES) - 1)
     pools = pool_table(materialize(query_pools(t, POOL), "pools"), CLASSES)
     draws = draw_factors(expand_draws(plants.drop("means", "stds"), "plant_id", N_SIM, SEED,
                                       len(CLASSES), None, None), pools, len(CLASSES), POOL)

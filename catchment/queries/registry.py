@@ -20,6 +20,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._frames: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -27,13 +28,17 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(self.path(name))
+        return self._frames[name]
 
     def role(self, name: str) -> DataFrame:
-        text = ROLES[name]
-        used = set(_PLACEHOLDER.findall(text))
-        frames = {t: self.role(t) if t in ROLES else getattr(self, t) for t in used}
-        return self.spark.sql(text, **frames)
+        if name not in self._frames:
+            text = ROLES[name]
+            used = set(_PLACEHOLDER.findall(text))
+            frames = {t: self.role(t) if t in ROLES else getattr(self, t) for t in used}
+            self._frames[name] = self.spark.sql(text, **frames)
+        return self._frames[name]
 
 
 def with_roles(sql: str) -> str:

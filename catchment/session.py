@@ -42,6 +42,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread narrow rows over all cores before a step that multiplies their work.
+
+    Adaptive execution would merge such small partitions into one task; an explicit
+    partition count is kept.
+    """
+    spark = df.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                spark.sparkContext.defaultParallelism)
+    return df.repartition(count, *keys)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -3,10 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from catchment.functions.uniform import digest, lane, standard_normal
-from catchment.operators.draws import (array_quantile, beta_classes, beta_probabilities, city_table,
+from catchment.operators.draws import (beta_classes, beta_probabilities, city_table,
                                        class_index, distribution, donor_series, expand_draws,
                                        group_emissions, level_emissions, level_loads, level_table,
-                                       redrawn_factor, with_class_cdf, with_shared_draws)
+                                       redrawn_factor, with_blocks, with_class_cdf, with_shared_draws)
 from catchment.operators.validate import interval_summary
 
 CLASSES = ["A", "B", "C"]
@@ -33,6 +33,15 @@ def test_uniform_and_normal_moments(spark):
     assert abs(r[3]) < 0.03 and abs(r[4] - 1) < 0.03
 
 
+def test_fast_stream_is_uniform(spark):
+    key = digest(1, F.col("id"), fast=True)
+    a, b = lane(key, 0, True), lane(key, 1, True)
+    r = spark.range(20000).select(a.alias("a"), b.alias("b")).agg(
+        F.avg("a"), F.min("a"), F.max("a"), F.stddev("a"), F.corr("a", "b")).first()
+    assert abs(r[0] - 0.5) < 0.01 and 0 <= r[1] and r[2] < 1
+    assert abs(r[3] - 12 ** -0.5) < 0.005 and abs(r[4]) < 0.03
+
+
 def test_shared_rates_are_bounded_and_shared(spark):
     rows = with_shared_draws(spark.range(3000).select((F.col("id") % 1000).alias("sim")), "sim", 5)
     r = rows.agg(F.min("gen"), F.max("gen"), F.avg("gen"), F.min("leak"), F.max("leak"),
@@ -52,8 +61,14 @@ def test_beta_draws_do_not_depend_on_partitions(arrays):
 
 
 def test_beta_classes_follow_the_means(arrays):
-    picked = {r.id: r.picks for r in beta_classes(arrays, "id", 400, 3).collect()}
-    share = np.bincount(np.concatenate([picked[i] for i in range(40)]), minlength=3) / (40 * 400)
+    rows = beta_classes(with_blocks(arrays, 2400, "id"), "id", 3).collect()
+    picked = {}
+    for r in sorted(rows, key=lambda r: r.block):
+        picked.setdefault(r.id, []).extend(r.picks)
+    assert {len(p) for p in picked.values()} == {2400}
+    again = beta_classes(with_blocks(arrays.coalesce(1), 2400, "id").coalesce(2), "id", 3).collect()
+    assert {(r.id, r.block, tuple(r.picks)) for r in rows} == {(r.id, r.block, tuple(r.picks)) for r in again}
+    share = np.bincount(np.concatenate([picked[i] for i in range(40)]), minlength=3) / (40 * 2400)
     assert np.allclose(share, [0.2, 0.5, 0.3], atol=0.02)
     assert set(picked[100]) == {-1} and set(picked[101]) == {1} and set(picked[102]) == {1, 2}
 
@@ -82,15 +97,6 @@ def test_redrawn_factor_is_never_negative(spark):
     assert r[0] >= 0 and r[1] == 5000
 
 
-def test_array_quantile_matches_numpy(spark):
-    rng = np.random.default_rng(1)
-    rows = [(int(n), sorted(rng.normal(size=n).tolist())) for n in (1, 2, 7, 100)]
-    df = spark.createDataFrame(rows, "n int, v array<double>")
-    for p in (0.025, 0.5, 0.975):
-        for r in df.select("v", array_quantile(F.col("v"), F.size("v"), p).alias("q")).collect():
-            assert np.isclose(r.q, np.quantile(r.v, p))
-
-
 def test_distribution_skips_missing(spark):
     rows = [("a", float(i)) for i in range(11)] + [("a", None), ("b", None)]
     got = {r.k: r for r in distribution(spark.createDataFrame(rows, "k string, v double"), ["k"], ["v"]).collect()}
