@@ -155,19 +155,18 @@ def held_out(rows: DataFrame, id_col: str, test: DataFrame) -> DataFrame:
     return rows.join(test.select(id_col), id_col, "left_anti")
 
 
-def close_names(wanted: DataFrame, present: DataFrame, name: str) -> DataFrame:
-    """Suggestions: present names that share the wanted name's first word.
+def close_names(present: DataFrame, name: str, wanted: Sequence[str]) -> DataFrame:
+    """(wanted, candidate): names that contain the first word of a wanted name.
 
-    Names are split into words and joined on the word, not compared pairwise.
+    The wanted names are a driver-side list; each row is tested against all of them.
     """
-    def words(df: DataFrame, out: str) -> DataFrame:
-        return df.select(F.col(name).alias(out),
-                         F.explode(F.array_distinct(F.split(F.lower(name), r"[^\p{L}\p{N}]+")))
-                         .alias("word"))
-    first = wanted.select(F.col(name).alias("wanted"),
-                          F.split(F.split(F.lower(name), ",")[0], " ")[0].alias("word"))
-    return (first.join(words(present, "candidate"), "word")
-            .select("wanted", "candidate").distinct())
+    keys = F.array(*[F.struct(F.lit(w).alias("wanted"),
+                              F.lit(w.split(",")[0].split()[0].lower()).alias("key"))
+                     for w in wanted])
+    hits = F.filter(keys, lambda k: F.contains(F.lower(F.col(name)), k["key"]))
+    return (present.select(F.col(name).alias("candidate")).distinct()
+            .select("candidate", F.explode(hits).alias("__k"))
+            .select(F.col("__k.wanted").alias("wanted"), "candidate"))
 
 
 def with_grid(rows: DataFrame, values: Mapping[str, Sequence]) -> DataFrame:

@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import NEGATIVE_LABEL, POSITIVE_LABEL, status_label
-from ..operators.aggregate import intensity, merge_regions, positive_share
+from ..functions.reference import DIGESTION_COUNTRIES
+from ..operators.aggregate import class_summary, intensity, merge_regions, positive_share
+from ..operators.frames import require_columns
 from ..operators.hierarchy import (NAMES, SMALL_COUNTRY, VALUE_LABELS, build_nodes, city_lookup,
                                    data_label, fill_nodes, mark_nodes, match_regions, node_values)
+from ..operators.match import by_climate, sewer_emissions
+from ..operators.models import BoosterSettings, predict_binary, train_binary
 from ..session import materialize
 
 POP = "Current Served Population (estimate)"
+# Features of the digestion model.
+FEATURES = [
+    "Current Served Population (estimate)", "Population_Density", "Urban_cluster_share",
+    "GDP_PerCapita_PPP", "Extreme Monthly Average Temperature (High)", "Building_Area",
+    "Water_Area", "Aridity_Index", "HDI", "Region_Area", "Rural_share",
+    "Decadal Average Temperature", "Extreme Monthly Average Precipitation (High)",
+    "Extreme Monthly Average Precipitation (Low)", "Average Atmospheric Pressure",
+]
 VALUES = ["Anaerobic_digestion_ratio", "Sewer_CH4_per_capita_kg_d"]
 SERVED = "Total_Served_Population"
 
@@ -49,4 +61,29 @@ def extend_cities(cities: DataFrame, regions: DataFrame, row_id: str,
         found.select(row_id, *values, "Admin_Match_Level", "Data_Source"), row_id)
 
 
-__all__ = ["NEGATIVE_LABEL", "POSITIVE_LABEL", "extend_cities", "label_observed", "region_table"]
+def estimate(observed: DataFrame, plants: DataFrame, cities: DataFrame, plant_id: str, row_id: str,
+             temperature: str = "Decadal Average Temperature",
+             precipitation: str = "Decadal Average Precipitation",
+             features: Sequence[str] = FEATURES, countries: Sequence[str] = DIGESTION_COUNTRIES,
+             settings: BoosterSettings = BoosterSettings(), seed: int = 42) -> dict[str, DataFrame]:
+    """Status of the plants of the listed countries, sewer CH4 of all, and the city table.
+
+    ``observed`` has an id column of the same name as the plants'.
+    """
+    labelled = label_observed(require_columns(observed, ["NAME_0", "Region", POP, *features]))
+    target = F.when(F.col("Predicted_Anaerobic") == POSITIVE_LABEL, 1).otherwise(0)
+    model, medians, scored = train_binary(labelled.withColumn("target", target), plant_id, "target",
+                                          features, settings, seed)
+    predicted = predict_binary(model, medians, plants.where(F.col("NAME_0").isin(list(countries))),
+                               features, POSITIVE_LABEL, NEGATIVE_LABEL)
+    sewer = materialize(sewer_emissions(require_columns(plants, [POP, temperature, precipitation]),
+                                        POP, temperature, precipitation), "sewer")
+    keep = ["NAME_0", "Region", POP, "Predicted_Anaerobic", "Digestion_Source"]
+    status = materialize(predicted.select(*keep).unionByName(labelled.select(*keep)), "status")
+    regions = region_table(status, sewer)
+    return {
+        "predicted": predicted, "test_scores": scored,
+        "countries": class_summary(predicted, "NAME_0", "Predicted_Anaerobic", POSITIVE_LABEL, POP),
+        "sewer": sewer, "climates": by_climate(sewer, POP),
+        "cities": extend_cities(cities, regions, row_id),
+    }

@@ -112,7 +112,7 @@ def estimate(cities: DataFrame, plants: DataFrame, matrix: DataFrame, pools: Dat
     """The whole estimate; the donor draws are written once and read by every table."""
     found, members = map_cities(cities, plants, row_id, plant_id, served,
                                 small_country=settings.small_country)
-    loads = city_loads(cities, countries).join(found.select(row_id, "donor_id", "ef_source"),
-                                               row_id)
+    loads = materialize(city_loads(cities, countries).join(
+        found.select(row_id, "donor_id", "ef_source"), row_id), "loads")
     factors = materialize(draw_donors(members, matrix, pools, plant_id, settings), "donors")
     return {"mapping": found, "members": members, **summarise(loads, factors, row_id, settings)}

@@ -7,11 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import population_bucket
+from ..functions.reference import HOLDOUT_COUNTRIES
 from ..operators.draws import (beta_classes, beta_probabilities, distribution, draw_factors,
                                expand_draws, group_factors, mixture_factors, pool_table,
                                with_blocks, with_class_cdf)
-from ..operators.validate import (coverage_summary, fold_metrics, gas_rows, interval_summary,
-                                  metric_summary, reference_mean)
+from ..operators.models import holdout_probabilities
+from ..operators.proba import to_arrays
+from ..operators.validate import (coverage_summary, few_plants, fold_metrics, gas_rows, holdout_jobs,
+                                  interval_summary, metric_summary, reference_mean)
+from ..session import materialize
+from ..sources.readers import union_all
 
 GASES = {"N2O": "n2o_ef", "CH4": "ch4_ef"}
 
@@ -78,5 +84,34 @@ def fold_report(plants: DataFrame, population: str,
     return folds, summary
 
 
+def holdout_run(labelled: DataFrame, id_col: str, label: str, country: str, population: str,
+                features: Sequence[str], settings, pools: DataFrame,
+                references: dict[str, DataFrame], classes: Sequence[str], n_sim: int, pool_size: int,
+                replicates: int, seed: int, countries: Sequence[str] = HOLDOUT_COUNTRIES,
+                bucket: str = "population_bucket") -> dict[str, DataFrame]:
+    """Country by country: train without the held-out rows, predict them, compare intervals."""
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col(label).isNotNull() & F.col(country).isNotNull()).withColumn(
+        bucket, population_bucket(F.col(population)))
+    wanted = spark.createDataFrame([(c,) for c in countries], f"`{country}` string")
+    jobs = holdout_jobs(rows, country, wanted)
+    # At most one entry per wanted country, a driver-side list to begin with.
+    todo = [(r[country], r["fraction"]) for r in jobs.where("status = 'run'").collect()]
+    frames = [holdout_probabilities(rows, id_col, label, features, bucket, settings, country, name,
+                                    fraction, replicates, seed)
+              .withColumn("holdout", F.lit(str(round(fraction * 100)))) for name, fraction in todo]
+    if not frames:
+        raise RuntimeError("no country has enough labelled rows")
+    probabilities = materialize(union_all(frames), "holdout")
+    plants = materialize(to_arrays(probabilities, id_col, classes, ["holdout"]).join(
+        rows.select(id_col, country, label, population), id_col), "plants")
+    intervals = materialize(group_intervals(
+        plants, pools, [country, "holdout"], id_col, label, population, references, classes, n_sim,
+        pool_size, seed, fast=True), "intervals")
+    sizes = plants.groupBy(country, "holdout").agg(F.count(F.lit(1)).alias("n_plants"))
+    return {"jobs": jobs, "probabilities": probabilities, "intervals": intervals,
+            "summary": holdout_report(intervals, "holdout"), "few": few_plants(sizes, "n_plants")}
+
+
 def holdout_report(intervals: DataFrame, holdout: str) -> DataFrame:
     return coverage_summary(intervals, [holdout, "gas"])

@@ -241,14 +241,12 @@ def p22(t):
 
 
 @query("P23_close_names", """
-WITH w AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS word, p_name AS wanted FROM part),
-     c AS (SELECT DISTINCT p_name || ' ' || p_type AS candidate FROM part)
-SELECT DISTINCT wanted, candidate FROM w JOIN c
-  ON list_contains(string_split(lower(candidate), ' '), word)""")
+SELECT DISTINCT wanted, p_name || ' ' || p_type AS candidate FROM part,
+  (VALUES ('Ring, large', 'ring'), ('promo gear', 'promo'), ('RED-blue', 'red-blue'), ('ed', 'ed')) AS w(wanted, key)
+WHERE contains(lower(p_name || ' ' || p_type), key)""")
 def p23(t):
-    wanted = t.part.select(F.col("p_name").alias("name")).distinct()
-    present = t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("name")).distinct()
-    return close_names(wanted, present, "name")
+    names = t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    return close_names(names, "name", ["Ring, large", "promo gear", "RED-blue", "ed"])
 
 
 @query("A30_scale_marks", """

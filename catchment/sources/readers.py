@@ -90,9 +90,10 @@ def read_probabilities(spark: SparkSession, folder: str, names: Sequence[str],
     Files are ``{name}_proba.csv`` and ``{name}_holdout*_proba.csv``; the country and
     the holdout share are filled in where a file lacks them.
     """
+    stems = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in names], "name string")
+             .select("name", safe_name(F.col("name"))).collect()}
     frames = []
-    for name in names:
-        stem = spark.range(1).select(safe_name(F.lit(name))).first()[0]
+    for name, stem in stems.items():
         for pattern in (f"{folder}/{stem}_proba.csv", f"{folder}/{stem}_holdout*_proba.csv"):
             for path in _hadoop_glob(spark, pattern):
                 df = nulls_for_nans(spark.read.csv(path, header=True, inferSchema=True))
