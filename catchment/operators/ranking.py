@@ -101,6 +101,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     return picked.select(*keys, "n", *[interpolate(name, p) for name, p in probs.items()])
 
 
+def column_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                     probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of several columns, as ``{column}_{name}``, for groups of any size."""
+    keys = list(keys)
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        keys, list(columns), "__column", "__value")
+    cells = exact_quantiles(long, [*keys, "__column"], "__value", probs)
+    return cells.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("__column") == c, F.col(name))).alias(f"{c}_{name}")
+        for c in columns for name in probs])
+
+
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, text: bool = False) -> DataFrame:
     """One row per distinct value: ``n`` equal rows, ``below`` smaller ones, ``total`` in the
     group, and ``dense``, the zero-based position among the distinct values."""

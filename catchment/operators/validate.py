@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import normalised_weight_mean
+from .frames import join_null_safe
+from .ranking import exact_quantiles, value_ranks
 
 # Thresholds and fractions of the country holdout.
 LARGE_COUNTRY_MIN, SMALL_COUNTRY_MIN = 1000, 20
@@ -71,35 +73,44 @@ def joint_score(folds: DataFrame, keys: Sequence[str], metric: str = "rmse",
 def best_sets(scores: DataFrame, key: str, order: str, n: int = 1) -> DataFrame:
     """The n best sets per key by (score, evaluation order), with their rank.
 
-    Each task keeps n entries per key, so no group is collected.
+    For one set a running minimum suffices; for several, the rank filter lets every task
+    keep only n rows per key before the shuffle.
     """
     entry = F.struct("score", order, *[c for c in scores.columns if c not in (key, "score", order)])
     if n == 1:
         best = scores.groupBy(key).agg(F.min(entry).alias("__e"))
         return best.select(key, F.lit(1).alias("rank"), "__e.*")
-    from pyspark.sql import Window
     w = Window.partitionBy(key).orderBy("score", order)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def interval_summary(draws: DataFrame, keys: Sequence[str], value: str,
                      truth: DataFrame, true_value: str = "true_value",
-                     digits: bool = True) -> DataFrame:
-    """Mean, median, std and 95 % interval of the iterations, against the reference value."""
-    probs = F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))
-    stats = (draws.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.avg(value).alias("pred_mean"), F.percentile(value, probs).alias("__q"),
-        F.stddev_pop(value).alias("pred_std")))
+                     digits: bool = True, bounded: bool = True) -> DataFrame:
+    """Mean, median, std and 95 % interval of the iterations, against the reference value.
+
+    ``bounded`` groups hold one value per iteration; others are cut into value buckets.
+    """
+    rows = draws.where(F.col(value).isNotNull())
+    simple = [F.avg(value).alias("pred_mean"), F.stddev_pop(value).alias("pred_std")]
+    levels = {"__low": 0.025, "__mid": 0.5, "__high": 0.975}
+    if bounded:
+        probs = F.array(*[F.lit(p) for p in levels.values()])
+        stats = rows.groupBy(*keys).agg(*simple, F.percentile(value, probs).alias("__q"))
+        stats = stats.select("*", *[F.col("__q")[i].alias(n) for i, n in enumerate(levels)])
+    else:
+        stats = rows.groupBy(*keys).agg(*simple).join(
+            exact_quantiles(rows, keys, value, levels).drop("n"), list(keys))
     joined = stats.join(truth.select(*keys, F.col(true_value).alias("true_value")),
                         list(keys), "left")
-    low, high = F.col("__q")[0], F.col("__q")[2]
+    low, high = F.col("__low"), F.col("__high")
     mean, true = F.col("pred_mean"), F.col("true_value")
 
     def r(c: Column, d: int) -> Column:
         return F.bround(c, d) if digits else c
     return joined.select(
         *keys, r(true, 6).alias("true_value"), r(mean, 6).alias("pred_mean"),
-        r(F.col("__q")[1], 6).alias("pred_median"), r(F.col("pred_std"), 6).alias("pred_std"),
+        r(F.col("__mid"), 6).alias("pred_median"), r(F.col("pred_std"), 6).alias("pred_std"),
         r(low, 6).alias("pred_p2_5"), r(high, 6).alias("pred_p97_5"),
         r(high - low, 6).alias("pi_width"),
         r(F.when(mean != 0, (high - low) / mean * 100), 1).alias("pi_width_rel_pct"),
@@ -120,17 +131,20 @@ def reference_mean(plants: DataFrame, keys: Sequence[str], label: str, populatio
 def coverage_summary(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spread of the relative differences and interval coverage per group."""
     diff = F.col("rel_diff_pct")
-    return intervals.groupBy(*keys).agg(
+    medians = exact_quantiles(intervals.select(*keys, F.abs(diff).alias("__d")), keys, "__d",
+                              {"__median": 0.5}).drop("n")
+    spread = intervals.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_groups"),
         F.bround(F.avg(diff), 2).alias("rel_diff_mean_pct"),
         F.bround(F.stddev_samp(diff), 2).alias("rel_diff_std_pct"),
         F.bround(F.min(diff), 2).alias("rel_diff_min_pct"),
         F.bround(F.max(diff), 2).alias("rel_diff_max_pct"),
-        F.bround(F.median(F.abs(diff)), 2).alias("med_abs_rel_diff_pct"),
         F.bround(F.avg("pi_width_rel_pct"), 1).alias("pi_width_rel_mean_pct"),
         F.bround(F.avg("in_pi") * 100, 1).alias("pi_coverage_pct"),
         F.concat_ws("/", F.sum("in_pi").cast("string"), F.count(F.lit(1)).cast("string"))
         .alias("n_covered"))
+    return (join_null_safe(spread, medians, keys, "left")
+            .withColumn("med_abs_rel_diff_pct", F.bround("__median", 2)).drop("__median"))
 
 
 def holdout_jobs(rows: DataFrame, country: str, wanted: DataFrame,
@@ -163,7 +177,7 @@ def close_names(present: DataFrame, name: str, wanted: Sequence[str]) -> DataFra
     keys = F.array(*[F.struct(F.lit(w).alias("wanted"),
                               F.lit(w.split(",")[0].split()[0].lower()).alias("key"))
                      for w in wanted])
-    hits = F.filter(keys, lambda k: F.contains(F.lower(F.col(name)), k["key"]))
+    hits = F.filter(keys, lambda k: F.contains(F.lower(F.col("candidate")), k["key"]))
     return (present.select(F.col(name).alias("candidate")).distinct()
             .select("candidate", F.explode(hits).alias("__k"))
             .select(F.col("__k.wanted").alias("wanted"), "candidate"))
@@ -216,7 +230,6 @@ def binary_report(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 
 def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from tie-averaged ranks (one row)."""
-    from .ranking import value_ranks
     ranks = value_ranks(rows, [], score)
     positives = (rows.groupBy(F.col(score).cast("double").alias(score))
                  .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("__p")))

@@ -89,7 +89,7 @@ FROM (SELECT o_custkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice E
 def a24(t):
     rows = t.orders.select("o_custkey", F.when(F.col("o_orderpriority") != "5-LOW",
                                                F.col("o_totalprice")).alias("price"))
-    return rounded(distribution(rows, ["o_custkey"], ["price"]), 6)
+    return rounded(distribution(rows, ["o_custkey"], ["price"], bounded=False), 6)
 
 
 @query("A19_reference_mean", """
@@ -120,7 +120,8 @@ def order_intervals(t):
     groups = draws.select("g", "gas").distinct()
     means = (t.orders.where(F.col("o_orderstatus") != "P").groupBy(F.col("o_custkey").alias("g"))
              .agg(F.avg("o_totalprice").alias("true_value")))
-    return interval_summary(draws, ["g", "gas"], "v", groups.join(means, "g", "left"), digits=False)
+    return interval_summary(draws, ["g", "gas"], "v", groups.join(means, "g", "left"), digits=False,
+                            bounded=False)
 
 
 @query("A25_interval_summary", f"""
