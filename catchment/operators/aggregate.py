@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..session import materialize
 from .frames import all_of
 
 
@@ -88,13 +89,15 @@ def rollup_levels(df: DataFrame, levels: Mapping[str, Sequence[str]], sums: Sequ
 
 
 def add_global_share(df: DataFrame, columns: Sequence[str], suffix: str = "_GlobalShare_pct",
-                     totals_from: DataFrame | None = None) -> DataFrame:
+                     stored: bool = False) -> DataFrame:
     """Percentage of the overall total; NULL when the total is not positive.
 
-    The totals are a scalar subquery, so no window pulls all rows into one task.
+    The totals are a scalar subquery, so no window pulls all rows into one task. The
+    table, normally a roll-up, is written once unless it is ``stored`` already:
+    otherwise the totals would run the whole roll-up a second time.
     """
-    source = df if totals_from is None else totals_from
-    totals = source.agg(F.struct(*[F.sum(c).alias(c) for c in columns]).alias("t")).scalar()
+    df = df if stored else materialize(df, "shares")
+    totals = df.agg(F.struct(*[F.sum(c).alias(c) for c in columns]).alias("t")).scalar()
     shares = df.withColumn("__t", totals)
     return shares.select(*df.columns, *[
         ratio(F.col(c) * 100, F.col(f"__t.{c}")).alias(f"{c}{suffix}") for c in columns])

@@ -124,7 +124,7 @@ def sector_ranking(inventory: DataFrame, countries: DataFrame, gases: Sequence[s
     kept = materialize(table.join(countries.select(country).distinct(), country, "left_semi"),
                        "sector")
     labels = [*gases, combined]
-    out = add_global_share(kept, labels)
+    out = add_global_share(kept, labels, stored=True)
     for label in labels:
         out = with_rank(out, label, f"{label}_Rank", source=kept)
     return out

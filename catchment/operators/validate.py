@@ -21,9 +21,14 @@ def relative_pct(value: Column, reference: Column) -> Column:
     return F.when(reference != 0, (value - reference) / reference * 100)
 
 
-def gas_rows(plants: DataFrame, carry: Sequence[str],
-             gases: Sequence[str] = ("N2O", "CH4")) -> DataFrame:
-    """Long form (carry, gas, true, pred) from ``{gas}_true`` and ``{gas}_pred`` columns."""
+def gas_rows(plants: DataFrame, carry: Sequence[str], gases: Sequence[str] = ("N2O", "CH4"),
+             complete: bool = False) -> DataFrame:
+    """Long form (carry, gas, true, pred) from ``{gas}_true`` and ``{gas}_pred`` columns.
+
+    ``complete`` keeps only rows that have all values of all gases.
+    """
+    if complete:
+        plants = plants.dropna(subset=[f"{g}_{side}" for g in gases for side in ("true", "pred")])
     cells = F.array(*[F.struct(F.lit(g).alias("gas"), F.col(f"{g}_true").alias("true"),
                                F.col(f"{g}_pred").alias("pred")) for g in gases])
     return plants.select(*carry, F.explode(cells).alias("__c")).select(*carry, "__c.*")
@@ -128,6 +133,26 @@ def reference_mean(plants: DataFrame, keys: Sequence[str], label: str, populatio
         normalised_weight_mean(F.col("__r"), F.col(population)).alias(out))
 
 
+def group_sizes(plants: DataFrame, keys: Sequence[str], population: str, label: str,
+                within: Sequence[str] | None = None) -> DataFrame:
+    """Plants, population and reference types per group.
+
+    With ``within``, also the group's percentage of the population of those keys,
+    taken over the rows of the stratum that holds everything.
+    """
+    size = F.coalesce(F.col(population).cast("double"), F.lit(1.0))
+    sizes = plants.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_plants"),
+                                      F.sum(size).alias("pop_total"),
+                                      F.countDistinct(label).alias("n_true_types"))
+    if within is None:
+        return sizes
+    totals = sizes.groupBy(*within).agg(F.max("pop_total").alias("__all"))
+    return (join_null_safe(sizes, totals, within)
+            .withColumn("pop_share_pct", F.when(F.col("__all") > 0,
+                                                F.bround(F.col("pop_total") * 100 / F.col("__all"), 2)))
+            .drop("__all"))
+
+
 def coverage_summary(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spread of the relative differences and interval coverage per group."""
     diff = F.col("rel_diff_pct")

@@ -14,8 +14,8 @@ from ..operators.draws import (beta_classes, beta_probabilities, distribution, d
                                with_blocks, with_class_cdf)
 from ..operators.models import holdout_probabilities
 from ..operators.proba import to_arrays
-from ..operators.validate import (coverage_summary, few_plants, fold_metrics, gas_rows, holdout_jobs,
-                                  interval_summary, metric_summary, reference_mean)
+from ..operators.validate import (coverage_summary, few_plants, fold_metrics, gas_rows, group_sizes,
+                                  holdout_jobs, interval_summary, metric_summary, reference_mean)
 from ..session import materialize
 from ..sources.readers import union_all
 
@@ -108,9 +108,10 @@ def holdout_run(labelled: DataFrame, id_col: str, label: str, country: str, popu
     intervals = materialize(group_intervals(
         plants, pools, [country, "holdout"], id_col, label, population, references, classes, n_sim,
         pool_size, seed, fast=True), "intervals")
-    sizes = plants.groupBy(country, "holdout").agg(F.count(F.lit(1)).alias("n_plants"))
-    return {"jobs": jobs, "probabilities": probabilities, "intervals": intervals,
-            "summary": holdout_report(intervals, "holdout"), "few": few_plants(sizes, "n_plants")}
+    sizes = group_sizes(plants, [country, "holdout"], population, label)
+    return {"jobs": jobs, "probabilities": probabilities, "intervals": intervals, "sizes": sizes,
+            "summary": holdout_report(intervals, "holdout"),
+            "few": few_plants(sizes, "n_plants")}
 
 
 def holdout_report(intervals: DataFrame, holdout: str) -> DataFrame:

@@ -87,7 +87,9 @@ def d2(t):
 
 
 @query("A28_pool_status", f"""
-WITH {pools_sql()} SELECT class, round(avg(ch4_ef), 9) AS ch4_mean, round(avg(n2o_ef), 9) AS n2o_mean
+WITH {pools_sql()} SELECT class, round(avg(ch4_ef), 9) AS ch4_mean, round(avg(n2o_ef), 9) AS n2o_mean,
+  CASE WHEN class IN ('Pond', 'Lagoon', 'Anaerobic') THEN 'fixed default' WHEN avg(ch4_ef) IS NULL THEN 'None, CH4 forced to zero'
+    ELSE 'bootstrap records' END AS ch4_source
 FROM pool GROUP BY 1 /* {{n2o}} {{fb}} {{ch4}} */""")
 def a28_status(t):
     return rounded(pool_status(query_pools(t, POOL), "class"), 9)

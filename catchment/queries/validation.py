@@ -10,6 +10,7 @@ from ..operators.clean import reference_factors
 from ..operators.draws import distribution
 from ..operators.proba import to_arrays
 from ..operators.validate import (best_sets, coverage_summary, few_plants, fold_metrics, gas_rows,
+                                  group_sizes,
                                   interval_summary, joint_score, metric_summary, reference_mean)
 from ..plans.validation import (fold_report, group_intervals, holdout_report, plant_results,
                                 with_strata)
@@ -190,6 +191,18 @@ def d15(t):
     return rounded(out.drop("pi_width", "pi_width_rel_pct", "rel_diff_pct"), 9)
 
 
+@query("D15_stratum_sizes", f"""
+WITH vp AS (SELECT DISTINCT q.plant_id, NAME_0, served, CASE WHEN served > 3000 THEN 'CAS' WHEN served > 1000 THEN 'Pond' ELSE 'OD' END AS true_class,
+    CASE WHEN served <= 1000 THEN 'small' WHEN served <= 3000 THEN 'medium' ELSE 'large' END AS bucket
+  FROM {{predicted}} q JOIN {{plant}} p ON p.plant_id = q.plant_id),
+st AS (SELECT *, 'Pool' AS stratum FROM vp UNION ALL SELECT *, bucket FROM vp)
+SELECT NAME_0, stratum, count(*) AS n_plants, round(sum(served), 2) AS pop_total, count(DISTINCT true_class) AS n_true_types,
+  round_even(sum(served) * 100 / (SELECT sum(served) FROM vp WHERE vp.NAME_0 = st.NAME_0), 2) AS pop_share_pct FROM st GROUP BY 1, 2""")
+def d15_sizes(t):
+    plants = with_strata(validation_plants(t), "bucket", "all")
+    return rounded(group_sizes(plants, ["NAME_0", "stratum"], "served", "true_class", ["NAME_0"]), 2)
+
+
 @query("D16_holdout_intervals")
 def d16(t):
     plants = materialize(validation_plants(t).withColumn("holdout", F.lit("50")), "plants")
