@@ -18,8 +18,8 @@ from ..session import materialize
 from .aggregates import query_pools
 from .draws import FIXED_SQL, N_SIM, POOL, SEED, pools_sql
 from .helpers import rounded
-from .registry import query
-from .roles import CLASSES
+from .registry import query, u
+from .roles import CLASS_ROWS, CLASSES
 
 ROWS_SQL = """
 rows AS (SELECT o_orderkey, o_orderstatus AS fold, CASE WHEN o_orderpriority = '5-LOW' THEN 'small' ELSE 'large' END AS bucket,
@@ -212,6 +212,54 @@ def d16(t):
     return holdout_report(intervals, "holdout")
 
 
+@query("D16_holdout_fixed", f"""
+WITH {pools_sql()}, {FIXED_SQL}, {TRUTH_SQL}, {STRATA_SQL},
+iv AS (SELECT s.NAME_0, s.gas, avg(v) AS mean, max(tv) AS tv, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi
+  FROM s LEFT JOIN tr ON tr.NAME_0 = s.NAME_0 AND tr.stratum = s.stratum AND tr.gas = s.gas
+  WHERE v IS NOT NULL AND s.stratum = 'Pool' GROUP BY 1, 2),
+x AS (SELECT gas, round_even((mean - tv) / tv * 100, 2) AS d, round_even((hi - lo) / mean * 100, 1) AS w, (lo <= tv AND tv <= hi)::INT AS c FROM iv)
+SELECT '50' AS holdout, gas, count(*) AS n_groups, round_even(avg(d), 2) AS rel_diff_mean_pct, round_even(stddev_samp(d), 2) AS rel_diff_std_pct,
+  round_even(min(d), 2) AS rel_diff_min_pct, round_even(max(d), 2) AS rel_diff_max_pct, round_even(quantile_cont(abs(d), 0.5), 2) AS med_abs_rel_diff_pct,
+  round_even(avg(w), 1) AS pi_width_rel_mean_pct, round_even(avg(c) * 100, 1) AS pi_coverage_pct, sum(c) || '/' || count(*) AS n_covered
+FROM x GROUP BY 2 /* {{n2o}} {{fb}} {{ch4}} {{predicted}} {{plant}} */""")
+def d16_fixed(t):
+    plants = materialize(validation_plants(t).withColumn("holdout", F.lit("50")), "plants")
+    intervals = materialize(group_intervals(
+        plants, materialize(query_pools(t, POOL), "pools"), ["NAME_0", "holdout"], "plant_id", "true_class",
+        "served", references(t), CLASSES, N_SIM, POOL, SEED, False), "intervals")
+    return holdout_report(intervals, "holdout")
+
+
+MIX_KEY = f"'{SEED}|' || s.sim || '|' || w.plant_id || '|' || w.i"
+MIX_ROWS_SQL = f"""
+w AS (SELECT p.plant_id, c.i, p.mean / sum(p.mean) OVER (PARTITION BY p.plant_id) AS share FROM predicted p
+  JOIN (VALUES {CLASS_ROWS}) AS c(i, class) ON c.class = p.class),
+sims AS (SELECT unnest(range({N_SIM})) AS sim),
+mx AS (SELECT w.plant_id, s.sim, sum(w.share * coalesce(a.ch4_ef, 0)) AS ch4, sum(w.share * coalesce(b.n2o_ef, 0)) AS n2o
+  FROM w CROSS JOIN sims s
+  LEFT JOIN pool a ON a.class_idx = w.i AND a.slot = floor({u(MIX_KEY, 1)} * {POOL})
+  LEFT JOIN pool b ON b.class_idx = w.i AND b.slot = floor({u(MIX_KEY, 2)} * {POOL}) GROUP BY 1, 2),
+pp AS (SELECT plant_id, avg(ch4) AS ch4, avg(n2o) AS n2o FROM mx GROUP BY 1)"""
+
+
+@query("D17_validation_fixed", f"""
+WITH {pools_sql()}, {MIX_ROWS_SQL}, {TRUTH_SQL},
+vp AS (SELECT p.plant_id, served, CASE WHEN served > 3000 THEN 'CAS' WHEN served > 1000 THEN 'Pond' ELSE 'OD' END AS true_class,
+    CASE WHEN served <= 1000 THEN 'small' WHEN served <= 3000 THEN 'medium' ELSE 'large' END AS fold FROM plant p),
+g AS (SELECT 'CH4' AS gas, fold, r.ref AS t, pp.ch4 AS p FROM vp JOIN pp ON pp.plant_id = vp.plant_id JOIN refs r ON r.gas = 'CH4' AND r.class = true_class
+  UNION ALL SELECT 'N2O', fold, r.ref, pp.n2o FROM vp JOIN pp ON pp.plant_id = vp.plant_id JOIN refs r ON r.gas = 'N2O' AND r.class = true_class),
+f AS (SELECT gas, fold, round_even(sqrt(avg((p - t) * (p - t))), 6) AS rmse, round_even(avg(abs(p - t)), 6) AS mae FROM g GROUP BY 1, 2)
+SELECT gas, 'rmse' AS metric, round(avg(rmse), 6) AS mean, min(rmse) AS min, max(rmse) AS max, round(stddev_samp(rmse), 6) AS std FROM f GROUP BY 1
+UNION ALL SELECT gas, 'mae', round(avg(mae), 6), min(mae), max(mae), round(stddev_samp(mae), 6) FROM f GROUP BY 1 /* {{n2o}} {{fb}} {{ch4}} {{predicted}} {{plant}} */""")
+def d17_fixed(t):
+    plants = validation_plants(t).withColumnRenamed("bucket", "fold")
+    scored = materialize(plant_results(
+        plants, materialize(query_pools(t, POOL), "pools"), "plant_id", "true_class", references(t),
+        CLASSES, N_SIM, POOL, SEED, False), "scored")
+    _, summary = fold_report(scored, "served")
+    return rounded(summary.where(F.col("metric").isin("rmse", "mae")), 6)
+
+
 @query("D17_validation_report")
 def d17(t):
     plants = validation_plants(t).withColumnRenamed("bucket", "fold")
