@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,56 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
         return df
     chosen = F.pmod(F.xxhash64(key), F.lit(HASH_SPACE)) < int(HASH_SPACE * bound / n)
     return df.filter(chosen).limit(2 * bound)
+
+
+def whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames that hold only whole groups, from batches sorted by ``keys``.
+
+    A group that runs over the end of a batch waits for the next one; its size is bounded by
+    whoever formed the groups.
+    """
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch[keys].iloc[-1]
+        same = (batch[keys] == last).all(axis=1).to_numpy()
+        if same.all() and (not rest or (rest[0][keys].iloc[0] == last).all()):
+            rest.append(batch)
+            continue
+        cut = int(same.argmax())
+        head = pd.concat([*rest, batch.iloc[:cut]], ignore_index=True) if rest else batch.iloc[:cut]
+        if len(head):
+            yield head
+        rest = [batch.iloc[cut:]]
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def group_starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Row numbers at which a new group begins, and the number of rows."""
+    changed = np.zeros(len(frame), dtype=bool)
+    changed[:1] = True
+    for key in keys:
+        column = frame[key].to_numpy()
+        changed[1:] |= column[1:] != column[:-1]
+    return np.append(np.flatnonzero(changed), len(frame))
+
+
+def merge_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row number of the component of each of ``n`` rows under the links a - b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while True:
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        label = new
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, language_id, mixing, pii, token_counts
+from . import exact_dedup, language_id, mixing, near_dedup, pii, token_counts
 from .common import id_crc, table
 
 QUERIES, ORACLES = {}, {}
@@ -107,3 +107,8 @@ def op10(spark, sf_dir):
     return mixing.with_copies(docs).select(
         "doc_id", "__mix.size", "__mix.source_size", "__mix.target", "source",
         (F.col("__mix.copies") * F.col("__mix.size")).alias("taken"))
+
+
+@query("op7_near_duplicates")
+def op7(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
