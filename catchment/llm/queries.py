@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, language_id, mixing, near_dedup, pii, token_counts
+from . import exact_dedup, language_id, mixing, near_dedup, neighbours, pii, token_counts
 from .common import id_crc, table
 
 QUERIES, ORACLES = {}, {}
@@ -112,3 +112,8 @@ def op10(spark, sf_dir):
 @query("op7_near_duplicates")
 def op7(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_nearest_vectors")
+def op8(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
