@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, language_id, mixing, near_dedup, neighbours, pii, token_counts
+from . import exact_dedup, language_id, line_chunks, mixing, near_dedup, neighbours, pii, token_counts
 from .common import id_crc, table
 
 QUERIES, ORACLES = {}, {}
@@ -117,3 +117,10 @@ def op7(spark, sf_dir):
 @query("op8_nearest_vectors")
 def op8(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_line_chunks")
+def op5(spark, sf_dir):
+    rows = line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "__lines.n_lines", "__lines.n_removed", "__lines.removed",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
