@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, language_id, line_chunks, mixing, near_dedup, neighbours, pii, token_counts
+from . import exact_dedup, language_id, line_chunks, mixing, near_dedup, neighbours, piece_codec, pii, token_counts
 from .common import id_crc, table
 
 QUERIES, ORACLES = {}, {}
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -124,3 +125,9 @@ def op5(spark, sf_dir):
     rows = line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "__lines.n_lines", "__lines.n_removed", "__lines.removed",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op3_sentence_pieces")
+def op3(spark, sf_dir):
+    import public_tokenizers
+    return piece_codec.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
