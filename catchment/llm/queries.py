@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, language_id, line_chunks, mixing, near_dedup, neighbours, piece_codec, pii, token_counts
+from . import exact_dedup, language_id, line_chunks, mixing, near_dedup, neighbours, piece_codec, pii, token_counts, toxicity
 from .common import id_crc, table
 
 QUERIES, ORACLES = {}, {}
@@ -131,3 +131,13 @@ def op5(spark, sf_dir):
 def op3(spark, sf_dir):
     import public_tokenizers
     return piece_codec.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_crc("doc_id") % 5 == 0
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    machine = toxicity.fit_machine(docs, labels)
+    out = toxicity.score_toxicity(docs, machine)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
