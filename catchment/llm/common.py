@@ -28,16 +28,36 @@ def id_crc(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")))
 
 
-def map_pandas(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterable[pd.DataFrame]],
-               schema: str) -> DataFrame:
-    """``mapInPandas`` whose workers can import this package wherever they were started."""
-    environment = df.sparkSession.sparkContext.environment
+def reachable(spark: SparkSession) -> None:
+    """Python workers can import this package wherever the driver was started."""
+    environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, known) if p)
+
+
+def map_pandas(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterable[pd.DataFrame]],
+               schema: str) -> DataFrame:
+    reachable(df.sparkSession)
     return df.mapInPandas(fn, schema)
 
 
+def with_struct(df: DataFrame, name: str, fn: Callable[[list[str]], pd.DataFrame], text_col: str,
+                schema: str) -> DataFrame:
+    """``df`` with a struct of what ``fn`` gives for batches of whole texts.
+
+    All other columns stay where they are; only the text goes to the Python workers.
+    """
+    reachable(df.sparkSession)
+
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield fn(batch.tolist())
+
+    return df.withColumn(name, run(whole_text(text_col)))
+
+
 def pieces(texts: Iterable[str], limit: int) -> Iterator[slice]:
     """Consecutive slices of about ``limit`` characters; a longer text stands alone."""
     start = total = 0

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_SPACE, map_pandas, whole_text
+from .common import HASH_SPACE, with_struct
 
 UNDETERMINED = "und"
 TRAIN_DOCS = 1000  # documents a language is learned from, about
@@ -26,7 +26,7 @@ SMOOTHING = 0.5
 SWITCH = 8.0  # log penalty of a change of language between two words
 LIMIT = 6.0  # a word counts for so much at most against the best language
 SCRIPT_SHARE = 0.01  # letters of a script a language needs to be a candidate for it
-WORD_CACHE = 300_000
+WORD_CACHE = 500_000
 BLOCK_WORDS = 1_000_000
 
 # First code points of the ranges of scripts; a range lasts to the next one. Fixed values.
@@ -43,69 +43,102 @@ SCRIPTS = (
     (0x20000, "Han"), (0x30000, "Other"),
 )
 _STARTS = np.array([s for s, _ in SCRIPTS])
+NAMES = sorted({n for _, n in SCRIPTS})
+_SCRIPT = np.array([NAMES.index(n) for _, n in SCRIPTS])
 _LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def script_of(word: str) -> str:
-    """The script of most of its letters; the earlier one on a tie."""
-    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    found = Counter(SCRIPTS[i][1] for i in np.searchsorted(_STARTS, points, side="right") - 1)
-    return max(found, key=lambda s: found[s])
-
-
-def grams(word: str) -> list[str]:
-    """Character n-grams of one to three with both ends marked."""
-    marked = f"^{word}$"
-    return [marked[i:i + n] for n in range(1, NGRAM + 1) for i in range(len(marked) - n + 1)
-            if marked[i:i + n] not in ("^", "$")]
+_BEGIN, _END = "\1", "\2"  # ends of the letters of a word; no letters themselves
+DENSE = 1 << 24
+
+
+class Letters:
+    """The letters of many words in one row, the ends of every stretch of them marked."""
+
+    def __init__(self, words: list[str]):
+        parts = [_LETTERS.findall(w.lower()) for w in words]
+        marked = [_BEGIN + (_END + _BEGIN).join(p) + _END if p else "" for p in parts]
+        self.sizes = np.array([len(m) for m in marked], dtype=np.int64)
+        self.points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.owner = np.repeat(np.arange(len(words)), self.sizes)
+        self.letter = self.points > 2
+        self.script = _SCRIPT[np.searchsorted(_STARTS, self.points, side="right") - 1]
+        n = len(words)
+        counts = np.bincount(self.owner[self.letter] * len(NAMES) + self.script[self.letter],
+                             minlength=n * len(NAMES)).reshape(n, len(NAMES))
+        self.counts = counts.sum(1)
+        self.main = counts.argmax(1)  # the script of most letters, the first by name on a tie
+
+    def grams(self, rank: np.ndarray, size: int):
+        """(places, codes) of the n-grams of each length; a code is a number to the base ``size``."""
+        code = rank[np.minimum(self.points, len(rank) - 1)].astype(np.int64)
+        code[self.points >= len(rank)] = 0
+        inner = self.points != 2
+        at = np.flatnonzero(self.letter)
+        yield at, code[at]
+        at = np.flatnonzero(inner[:-1]) if len(code) else np.zeros(0, dtype=int)
+        yield at, code[at] * size + code[at + 1]
+        at = np.flatnonzero(inner[:-2] & inner[1:-1]) if len(code) > 2 else np.zeros(0, dtype=int)
+        yield at, (code[at] * size + code[at + 1]) * size + code[at + 2]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    rows: dict[str, int]  # n-gram to its row of weights
-    weights: np.ndarray  # n-grams and, last, an unknown one x languages
-    scripts: dict[str, np.ndarray]  # allowed languages by script
-    prior: int = 0  # the language with the most letters
+    rank: np.ndarray  # number of a code point, 0 for an unknown one
+    size: int  # of the alphabet
+    codes: list[np.ndarray]  # known n-grams of each length, sorted
+    weights: list[np.ndarray]  # their log likelihoods, the last row for an unknown one
+    scripts: np.ndarray  # scripts x languages: whether the language is a candidate
     cache: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
+    def places(self, n: int, codes: np.ndarray) -> np.ndarray:
+        """Rows of the weights of n-grams."""
+        known = self.codes[n]
+        if self.size ** (n + 1) <= DENSE:
+            if ("dense", n) not in self.cache:
+                dense = np.full(self.size ** (n + 1), len(known), dtype=np.int32)
+                dense[known] = np.arange(len(known))
+                self.cache["dense", n] = dense
+            return self.cache["dense", n][codes]
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return np.where(known[at] == codes, at, len(known))
+
 
 def train(samples: dict[str, list[str]]) -> Model:
     """A model of the texts of each language; languages are ordered by name."""
     languages = sorted(samples)
-    counts, scripts, letters = [], [], []
+    words, letters, count = [], [], []
     for language in languages:
-        words = Counter()
+        seen = Counter()
         for text in samples[language]:
-            words.update(_LETTERS.findall(text.lower()))
-        gram, script = Counter(), Counter()
-        for word, n in words.items():
-            for g in grams(word):
-                gram[g] += n
-            script[script_of(word)] += n * len(word)
-        counts.append(gram)
-        scripts.append(script)
-        letters.append(sum(script.values()))
-    rows = {g: i for i, g in enumerate(sorted(set().union(*counts)))} if counts else {}
-    table = np.zeros((len(rows) + 1, len(languages)))
-    for j, gram in enumerate(counts):
-        for g, n in gram.items():
-            table[rows[g], j] = n
-    table += SMOOTHING
-    # Likelihoods within the n-grams of one length, so that all lengths weigh alike.
-    length = np.array([len(g) for g in rows] + [NGRAM])
-    for n in range(1, NGRAM + 1):
-        table[length == n] /= table[length == n].sum(0)
-    allowed = {}
-    for name in {s for script in scripts for s in script}:
-        allowed[name] = np.array([script[name] >= SCRIPT_SHARE * max(total, 1)
-                                  for script, total in zip(scripts, letters)])
-    return Model(languages, rows, np.log(table).astype(np.float32),
-                 {k: v for k, v in allowed.items() if v.any()},
-                 int(np.argmax(letters)) if letters else 0)
+            seen.update(text.split())
+        words.append(Letters(list(seen)))
+        count.append(np.array(list(seen.values()), dtype=float))
+        letters.append(words[-1].points)
+    alphabet = np.unique(np.concatenate(letters)) if languages else np.zeros(0, dtype=np.uint32)
+    rank = np.zeros(int(alphabet.max(initial=2)) + 1, dtype=np.int32)
+    rank[alphabet] = np.arange(1, len(alphabet) + 1)
+    size = len(alphabet) + 1
+    found = [[] for _ in range(NGRAM)]
+    scripts = np.zeros((len(NAMES), len(languages)), dtype=bool)
+    for j, (own, n) in enumerate(zip(words, count)):
+        for length, (at, code) in enumerate(own.grams(rank, size)):
+            known, place = np.unique(code, return_inverse=True)
+            found[length].append((known, np.bincount(place, weights=n[own.owner[at]], minlength=len(known))))
+        share = np.bincount(own.script[own.letter], weights=n[own.owner[own.letter]], minlength=len(NAMES))
+        scripts[:, j] = share >= SCRIPT_SHARE * max(share.sum(), 1)
+    codes, weights = [], []
+    for by_language in found:
+        known = np.unique(np.concatenate([c for c, _ in by_language])) if languages else np.zeros(0, dtype=int)
+        table = np.full((len(known) + 1, len(languages)), SMOOTHING)
+        for j, (own, n) in enumerate(by_language):
+            table[np.searchsorted(known, own), j] += n
+        # Likelihoods within the n-grams of one length, so that all lengths weigh alike.
+        codes.append(known)
+        weights.append(np.log(table / table.sum(0)).astype(np.float32))
+    return Model(languages, rank, size, codes, weights, scripts)
 
 
 def word_scores(model: Model, words: list[str]) -> np.ndarray:
@@ -115,28 +148,22 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     in, or a word without letters, says nothing.
     """
     n_lang = len(model.languages)
-    flat, sizes, out = [], [], np.zeros((len(words), n_lang + 1), dtype=np.float32)
-    unknown = len(model.rows)
-    parts = [_LETTERS.findall(w.lower()) for w in words]
-    for found in parts:
-        rows = [model.rows.get(g, unknown) for part in found for g in grams(part)]
-        flat += rows
-        sizes.append(len(rows))
-    sizes = np.array(sizes)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    some = sizes > 0
-    if some.any():
-        out[some, :n_lang] = np.add.reduceat(model.weights[np.array(flat)], starts[some], axis=0)
-    for i, found in enumerate(parts):
-        if found:
-            out[i, n_lang] = sum(map(len, found))
-            allowed = model.scripts.get(script_of("".join(found)))
-            if allowed is None:
-                out[i, :n_lang] = 0
-            else:
-                out[i, :n_lang][~allowed] = -np.inf
-    best = out[:, :n_lang].max(1, keepdims=True)
-    out[:, :n_lang] = np.maximum(out[:, :n_lang] - best, -LIMIT)
+    own = Letters(words)
+    out = np.zeros((len(words), n_lang + 1), dtype=np.float32)
+    out[:, n_lang] = own.counts
+    some = own.sizes > 0
+    if some.any() and n_lang:
+        total = np.zeros((len(own.points), n_lang), dtype=np.float32)
+        for n, (at, codes) in enumerate(own.grams(model.rank, model.size)):
+            total[at] += model.weights[n][model.places(n, codes)]
+        starts = np.cumsum(own.sizes) - own.sizes
+        out[some, :n_lang] = np.add.reduceat(total, starts[some], axis=0)
+        allowed = model.scripts[own.main]
+        nobody = ~allowed.any(1)
+        out[:, :n_lang][some[:, None] & ~allowed] = -np.inf
+        out[nobody, :n_lang] = 0
+        best = out[:, :n_lang].max(1, keepdims=True)
+        out[:, :n_lang] = np.maximum(out[:, :n_lang] - best, -LIMIT)
     return out
 
 
@@ -215,16 +242,12 @@ def blocks(texts: list[str]):
         yield slice(start, len(texts))
 
 
-def _apply(model: Model):
-    def run(batches):
-        for batch in batches:
-            texts, out = batch["text"].tolist(), []
-            for part in blocks(texts):
-                out += label_texts(model, texts[part])
-            yield pd.DataFrame({
-                "id": batch["id"], "lang_pred": [o[0] for o in out],
-                "score": [o[1] for o in out],
-                "spans": [",".join(f"{name}:{a}:{b}" for a, b, name in o[2]) for o in out]})
+def _labelled(model: Model):
+    def run(texts: list[str]) -> pd.DataFrame:
+        out = [o for part in blocks(texts) for o in label_texts(model, texts[part])]
+        return pd.DataFrame({
+            "lang_pred": [o[0] for o in out], "score": [o[1] for o in out],
+            "spans": [",".join(f"{name}:{a}:{b}" for a, b, name in o[2]) for o in out]})
     return run
 
 
@@ -252,15 +275,22 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return train(samples)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, spans) of every row.
+def with_language(docs: DataFrame, model: Model, text_col: str = "text",
+                  name: str = "__language") -> DataFrame:
+    """``docs`` with a struct of lang_pred, score and spans.
 
     ``lang_pred`` has the most letters of the text; ``score`` is its share of all letters.
     Null and empty texts and texts without a letter are ``und`` with score 0 and no spans, as
     is every text when nothing was learned. Spans are ``language:first word:last word``, comma
-    joined. Repeated rows get equal results, other columns are ignored, texts are read whole.
+    joined. Repeated rows get equal results, texts are read whole, an empty table stays empty.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole_text(text_col).alias("text"))
-    out = map_pandas(rows, _apply(model), "id long, lang_pred string, score double, spans string")
-    return out.withColumnRenamed("id", id_col)
+    return with_struct(docs, name, _labelled(model), text_col,
+                       "lang_pred string, score double, spans string")
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, spans) of every row, as of ``with_language``; other columns are ignored."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = with_language(rows, model, "text")
+    return out.select(F.col("id").alias(id_col), "__language.*")
