@@ -47,7 +47,7 @@ def _signatures(batches):
             sets = [shingle_set(t) for t in part["text"]]
             found = sketches(sets)
             yield pd.DataFrame({
-                "id": part["id"].to_numpy(), "n": [len(s) for s in sets],
+                "id": part["id"], "text_key": part["text_key"], "n": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                 "sketch": [row.tobytes() for row in found]})
 
@@ -156,7 +156,7 @@ def candidates(sets: DataFrame, similarity: float, trees: int) -> DataFrame:
     """Links (a, b) that span the candidate components of ``sets`` (id, n, sketch)."""
     rows = materialize(map_pandas(sets.select("id", "sketch"), _plant(trees, DEPTH), "id long, path long"),
                        "paths")
-    compact = F.expr(f"unhex(regexp_replace(hex(sketch), '(..)......', '$1'))")
+    compact = F.expr("unhex(regexp_replace(hex(sketch), '(..)......', '$1'))")
     short = sets.select("id", "n", compact.alias("bytes"))
     found = None
     for depth in range(DEPTH, MAX_DEPTH + 1):
@@ -225,17 +225,19 @@ def exact_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     percent: int = SIMILARITY, trees: int = TREES) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row.
+    """(id, n_shingles, component_id, text_key, kept) of every row.
 
     Null and empty texts have an empty set, are linked with nothing and kept. Rows with equal
     sets are one node, named by their smallest id; rows that repeat an id are one node where
     they are named by it. A null id cannot be named: such a row is linked with nothing, its
-    component_id is null and it is kept. Other columns are ignored. Empty tables give no rows.
+    component_id is null and it is kept. ``text_key``, a hash of the text, tells rows with one
+    id apart. Other columns are ignored. Empty tables give no rows.
     Texts are read whole, whatever their length.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole_text(text_col).alias("text"))
-    signed = materialize(map_pandas(rows, _signatures, "id long, n long, set_key binary, sketch binary"),
-                         "signatures")
+    signed = materialize(map_pandas(
+        rows.withColumn("text_key", F.xxhash64("text")), _signatures,
+        "id long, text_key long, n long, set_key binary, sketch binary"), "signatures")
     usable = signed.filter("n > 0 AND id IS NOT NULL")
     classes = materialize(usable.groupBy("set_key").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
@@ -251,8 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.select("set_key", "id").join(joined.withColumnRenamed("node", "id"), "id", "left")
     named = materialize(named.select("set_key", F.coalesce("root", "id").alias("root")), "named")
-    out = signed.select("id", "n", "set_key").join(named, "set_key", "left")
+    out = signed.select("id", "text_key", "n", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      component.alias("component_id"),
+                      component.alias("component_id"), "text_key",
                       (component.isNull() | component.eqNullSafe(F.col("id"))).alias("kept"))

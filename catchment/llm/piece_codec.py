@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pandas, whole_text
+from .common import map_pandas, with_struct
 
 SPACE = "▁"
 UNIT_CACHE = 500_000
@@ -264,46 +264,51 @@ def _blocks(texts: list[str]):
         yield start, len(texts)
 
 
-def _encode(path: str, as_digest: bool):
-    def run(batches):
+def _coded(path: str):
+    def run(texts: list[str]) -> pd.DataFrame:
         own = codec(path)
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for a, b in _blocks(texts):
-                rows = own.encode(texts[a:b])
-                frame = {"id": batch["id"].iloc[a:b], "n_pieces": [len(r) // 4 for r in rows]}
-                ids = [np.frombuffer(r, dtype="<i4") for r in rows]
-                if as_digest:
-                    frame["ids_sha256"] = [hashlib.sha256(r).hexdigest() for r in rows]
-                    frame["round_trip"] = [own.decode(i.tolist()) == t.replace(SPACE, " ")
-                                           for i, t in zip(ids, texts[a:b])]
-                else:
-                    frame["piece_ids"] = ids
-                yield pd.DataFrame(frame)
+        ids: list[np.ndarray] = []
+        for a, b in _blocks(texts):
+            ids += [np.frombuffer(r, dtype="<i4") for r in own.encode(texts[a:b])]
+        return pd.DataFrame({
+            "n_pieces": [len(i) for i in ids], "piece_ids": ids,
+            "round_trip": [own.decode(i.tolist()) == t.replace(SPACE, " ") for i, t in zip(ids, texts)]})
     return run
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_pieces, piece_ids) of every row, as the model's own library numbers the pieces.
+def _digested(path: str):
+    def run(texts: list[str]) -> pd.DataFrame:
+        frame = _coded(path)(texts)
+        frame["ids_sha256"] = [hashlib.sha256(i.tobytes()).hexdigest() for i in frame.pop("piece_ids")]
+        return frame[["n_pieces", "ids_sha256", "round_trip"]]
+    return run
+
+
+def with_pieces(docs: DataFrame, model: str, text_col: str = "text", name: str = "__pieces") -> DataFrame:
+    """``docs`` with a struct of n_pieces, piece_ids and round_trip.
 
-    Null and empty texts have no pieces; repeated rows give equal rows; other columns are
-    ignored. Texts are read whole: a unit without a boundary costs time linear in its length.
+    Pieces are numbered as the model's own library does. ``round_trip`` tells whether decoding
+    gives the text again; the model's own space mark reads as a blank. Null and empty texts
+    have no pieces; repeated rows give equal rows; an empty table stays empty. Texts are read
+    whole: a unit without a boundary costs time linear in its length.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole_text(text_col).alias("text"))
-    out = map_pandas(rows, _encode(model, False), "id long, n_pieces long, piece_ids array<int>")
-    return out.withColumnRenamed("id", id_col)
+    return with_struct(docs, name, _coded(model), text_col,
+                       "n_pieces long, piece_ids array<int>, round_trip boolean")
 
 
-def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_pieces, ids_sha256, round_trip): encoded, digested and decoded where the text is.
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_pieces, piece_ids, round_trip) of every row, as of ``with_pieces``; other columns are ignored."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return with_pieces(rows, model).select(F.col("id").alias(id_col), "__pieces.*")
 
-    The digest is over the numbers as 32-bit little-endian integers. ``round_trip`` tells
-    whether decoding gives the text again; the model's own space mark reads as a blank.
-    """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole_text(text_col).alias("text"))
-    out = map_pandas(rows, _encode(model, True),
-                     "id long, n_pieces long, ids_sha256 string, round_trip boolean")
-    return out.withColumnRenamed("id", id_col)
+
+def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` with ids_sha256, the digest of the numbers as 32-bit little-endian integers,
+    in place of the numbers."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = with_struct(rows, "__pieces", _digested(model), "text",
+                      "n_pieces long, ids_sha256 string, round_trip boolean")
+    return out.select(F.col("id").alias(id_col), "__pieces.*")
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:
