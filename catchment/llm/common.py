@@ -38,8 +38,15 @@ def reachable(spark: SparkSession) -> None:
 
 def map_pandas(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterable[pd.DataFrame]],
                schema: str) -> DataFrame:
+    """``mapInPandas`` without empty frames, whose columns would have no type."""
     reachable(df.sparkSession)
-    return df.mapInPandas(fn, schema)
+
+    def run(batches):
+        for frame in fn(batches):
+            if len(frame):
+                yield frame
+
+    return df.mapInPandas(run, schema)
 
 
 def with_struct(df: DataFrame, name: str, fn: Callable[[list[str]], pd.DataFrame], text_col: str,
