@@ -36,10 +36,6 @@ def name_or_null(text: Column) -> Column:
     return F.when(text != "nan", text)
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
-
-
 def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
@@ -101,7 +97,3 @@ def split_key(key: Column) -> tuple[Column, Column]:
     """Split on the first separator only."""
     parts = F.split(key, r" \| ", 2)
     return parts[0], F.try_element_at(parts, F.lit(2))
-
-
-def round_half_even(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_f_scale, ratio
-from .frames import join_null_safe
+from ..functions.columns import is_f_scale
+from .frames import join_null_safe, small_side
 from .ranking import exact_quantiles, value_ranks
 
 # IQR rule and the lower bound of normalising ratios.
@@ -23,6 +23,7 @@ def iqr_bounds(df: DataFrame, group: str, value: str, k: float = IQR_K,
     quartiles = exact_quantiles(df.where(F.col(group).isNotNull()), [group], value,
                                 {"q1": 0.25, "q3": 0.75})
     spread = F.col("q3") - F.col("q1")
+    # The names of the methods are part of the audit.
     method = (F.when(F.col("n") < min_n, "insufficient_data")
               .when(spread == 0, "iqr_zero_skipped").otherwise("IQR"))
     enough, active = F.col("method") != "insufficient_data", F.col("method") == "IQR"
@@ -37,7 +38,7 @@ def iqr_bounds(df: DataFrame, group: str, value: str, k: float = IQR_K,
 
 def _flagged(df: DataFrame, group: str, value: str, bounds: DataFrame) -> DataFrame:
     outside = (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper"))
-    return (df.where(F.col(value).isNotNull()).join(bounds, group)
+    return (df.where(F.col(value).isNotNull()).join(small_side(bounds), group)
             .withColumn("__out", F.coalesce(outside, F.lit(False))))
 
 
@@ -89,7 +90,7 @@ def with_type_ratio(records: DataFrame, means: DataFrame, group: str,
                     out: str = "type_ratio") -> DataFrame:
     """The group's ratio, the overall one where it is unknown or zero."""
     per_group = means.where(F.col(group).isNotNull())
-    joined = records.join(per_group, group, "left")
+    joined = records.join(small_side(per_group), group, "left")
     return (joined.withColumn(out, F.coalesce(F.nullif(F.col("ratio_mean"), F.lit(0.0)),
                                               overall_ratio(means, group)))
             .drop("ratio_mean"))
@@ -176,8 +177,4 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
                         .alias("t")).scalar()
     weights = counts.withColumn("__t", totals).select(
         label, (F.col("__t.n") / (F.col("__t.k") * F.col("__n"))).alias(out))
-    return join_null_safe(df, weights, [label])
-
-
-def share_of(total: Column, part: Column) -> Column:
-    return ratio(part, total)
+    return join_null_safe(df, small_side(weights), [label])

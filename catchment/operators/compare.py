@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import contains_ci, ratio
 from ..session import materialize
 from .aggregate import add_global_share, pivot_sums
-from .ranking import with_rank
+from .frames import small_side
+from .ranking import with_rank, with_row_number
 
 
 def admin_fallback(df: DataFrame, without_provinces: Sequence[str],
@@ -56,11 +57,11 @@ def theta_rank(ours: DataFrame, sectors: DataFrame, keys: Sequence[str], value:
                measures: Sequence[str], suffix: str = "_rank") -> DataFrame:
     """1 + number of sector rows above our value, per key; NULL without sector rows.
 
-    ``ours`` has one row per key, so the equi join keeps the sector row count and
-    the counting is combined on the map side. A missing own value compares false
+    ``ours`` has one row per key and is broadcast once counted to be small, so the sector
+    rows are counted where they are read. A missing own value compares false
     everywhere and therefore ranks first.
     """
-    own = ours.select(*keys, *measures)
+    own = small_side(ours.select(*keys, *measures))
     counted = (sectors.select(*keys, F.col(value).alias("__v"))
                .join(own, list(keys))
                .groupBy(*keys).agg(*[
@@ -138,7 +139,8 @@ def absent_countries(inventory: DataFrame, countries: DataFrame, country: str =
             .join(inside, country, "left_anti"))
 
 
-def order_rows(df: DataFrame, emission: str, wealth: str) -> DataFrame:
-    """Largest wealth first, rows without emissions last."""
+def order_rows(df: DataFrame, emission: str, wealth: str, tie: str, out: str = "position") -> DataFrame:
+    """Largest wealth first, rows without emissions last; adds the position in that order."""
     idle = F.when(F.coalesce(F.col(emission), F.lit(0.0)) <= 0, 1).otherwise(0)
-    return df.orderBy(idle.asc(), F.col(wealth).desc_nulls_last())
+    order = [idle.asc(), F.col(wealth).desc_nulls_last(), F.col(tie).asc()]
+    return with_row_number(df, [], order, None, out).drop(f"{out}_total").orderBy(out)

@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+SMALL_ROWS = 100_000
+
 
 class MissingColumns(ValueError):
     pass
@@ -56,6 +60,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def small_side(groups: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A table of one row per group, broadcast if it was counted to be small.
+
+    It is written first, so the rows it sums up are not read again. Beyond ``limit`` rows the
+    join is left to adaptive execution, which splits hot groups.
+    """
+    stored = materialize(groups, "groups")
+    return F.broadcast(stored) if stored.count() <= limit else stored
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str,
            values: Sequence[str], default: str | None = None) -> DataFrame:
     """Left join of values by key, with a default where the key is unknown."""

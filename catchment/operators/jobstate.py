@@ -29,7 +29,10 @@ def changed_settings(old: DataFrame, new: DataFrame, keys: Sequence[str],
 
 
 def keep_last(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last row per key; one running maximum per key, no sort."""
+    """The last row per key; one running maximum per key, no sort.
+
+    Rows with the same order value are told apart by their other columns, the largest wins.
+    """
     others = [c for c in rows.columns if c not in keys and c != order]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(order, *others), order).alias("__last"))
+    last = rows.groupBy(*keys).agg(F.max(F.struct(order, *others)).alias("__last"))
     return last.select(*keys, "__last.*").select(*rows.columns)

@@ -1,12 +1,11 @@
 """Exact ranks, row numbers and quantiles for groups of any size.
 
 A plain window puts a whole group into one task, and ``percentile`` holds a
-group's distinct values in one buffer. Here every group is first cut into
-ordered value buckets. Counts per bucket are pre-aggregated on the map side,
-their running sums give each bucket its offset, and only the rows of one
-bucket are ever sorted together. A group with a third of all rows is thereby
-spread over as many tasks as it has buckets, and results stay exact.
-Quantiles shuffle only the rows of the few buckets that hold a wanted rank.
+group's distinct values in one buffer. Here equal values are combined first, then
+the keys and the value together are cut into ranges of about equal size, which the
+engine samples. Counts per range give each its offset within the group, and only
+the values of one range are ever sorted together. That holds for any distribution
+of numbers or texts, and results stay exact.
 """
 
 from __future__ import annotations
@@ -17,27 +16,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import join_null_safe
-
-BUCKETS_PER_E_FOLD = 512
-_ZERO_GAP = 2 ** 20
-
-
-def value_bucket(value: Column) -> Column:
-    """Order-preserving integer bucket of a number, about 0.2 % of its size wide."""
-    size = F.least(F.abs(value), F.lit(1e308))
-    step = F.floor(F.ln(size) * BUCKETS_PER_E_FOLD) + _ZERO_GAP
-    return (F.when(value > 0, step).when(value < 0, -step).otherwise(0)).cast("long")
+from ..session import materialize
+from .frames import join_null_safe, small_side
 
+def hash_bucket(digest: Column) -> Column:
+    """Order-preserving, evenly filled bucket of a hex digest: 65,536 values a group."""
+    return F.substring(digest, 1, 4)
 
-def text_bucket(value: Column) -> Column:
-    """Order-preserving bucket of a text: its first two characters."""
-    return F.substring(value, 1, 2)
 
+def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` with ``__b``, the number of its range in ``order``.
 
-def hash_bucket(digest: Column) -> Column:
-    """Order-preserving, evenly filled bucket of a hex digest: 4096 values."""
-    return F.substring(digest, 1, 3)
+    Ranges come from a sample, so the numbers are written with the rows.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()), "ranges")
 
 
 def _with_offsets(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,35 +42,29 @@ def _with_offsets(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _value_counts(df: DataFrame, keys: Sequence[str], value: str, text: bool = False) -> DataFrame:
-    bucket = text_bucket(F.col("__v")) if text else value_bucket(F.col("__v"))
     typed = F.col(value) if text else F.col(value).cast("double")
-    return (df.where(F.col(value).isNotNull())
-            .select(*keys, typed.alias("__v"))
-            .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-            .withColumn("__b", bucket))
+    counts = (df.where(F.col(value).isNotNull())
+              .select(*keys, typed.alias("__v"))
+              .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")))
+    return in_ranges(counts, [*keys, "__v"])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Mapping[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group: keys, ``n`` and one column per name.
 
-    Only buckets that hold a wanted rank are sorted. NULL values are skipped.
+    Only ranges that hold a wanted rank are sorted. NULL values are skipped.
     """
     keys = list(keys)
-    rows = (df.where(F.col(value).isNotNull())
-            .select(*keys, F.col(value).cast("double").alias("__v"))
-            .withColumn("__b", value_bucket(F.col("__v"))))
-    offsets = _with_offsets(
-        rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__in")), keys)
+    counts = _value_counts(df, keys, value)
+    offsets = _with_offsets(counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__in")), keys)
 
     position = {name: F.lit(float(p)) * (F.col("__total") - 1) for name, p in probs.items()}
     ranks = [edge(pos) for pos in position.values() for edge in (F.floor, F.ceil)]
     wanted = reduce(lambda a, b: a | b, [
         (r >= F.col("__before")) & (r < F.col("__before") + F.col("__in")) for r in ranks])
 
-    inside_bucket = ["__b", "__before", "__total"]
-    candidates = (join_null_safe(rows, offsets.where(wanted).drop("__in"), [*keys, "__b"])
-                  .groupBy(*keys, *inside_bucket, "__v").agg(F.count(F.lit(1)).alias("__n")))
+    candidates = join_null_safe(counts, small_side(offsets.where(wanted).drop("__in")), [*keys, "__b"])
     inside = Window.partitionBy(*keys, "__b").orderBy("__v")
     placed = (candidates
               .withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
@@ -157,13 +143,14 @@ def with_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = (),
 
 
 def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                    bucket: Column, out: str) -> DataFrame:
+                    bucket: Column | None, out: str) -> DataFrame:
     """One-based row number in a total order; ``bucket`` must not decrease along it.
 
-    Also adds ``{out}_total``, the group size.
+    Without a bucket the rows are cut into sampled ranges. Also adds ``{out}_total``, the
+    group size.
     """
     keys = list(keys)
-    cut = df.withColumn("__b", bucket)
+    cut = in_ranges(df, [*keys, *order]) if bucket is None else df.withColumn("__b", bucket)
     offsets = _with_offsets(
         cut.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__in")), keys)
     placed = join_null_safe(cut, offsets, [*keys, "__b"])

@@ -91,10 +91,10 @@ def best_sets(scores: DataFrame, key: str, order: str, n: int = 1) -> DataFrame:
 
 def interval_summary(draws: DataFrame, keys: Sequence[str], value: str,
                      truth: DataFrame, true_value: str = "true_value",
-                     digits: bool = True, bounded: bool = True) -> DataFrame:
+                     digits: bool = True, bounded: bool = False) -> DataFrame:
     """Mean, median, std and 95 % interval of the iterations, against the reference value.
 
-    ``bounded`` groups hold one value per iteration; others are cut into value buckets.
+    ``bounded`` groups hold one value per iteration; others are cut into ranges.
     """
     rows = draws.where(F.col(value).isNotNull())
     simple = [F.avg(value).alias("pred_mean"), F.stddev_pop(value).alias("pred_std")]

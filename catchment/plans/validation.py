@@ -48,7 +48,7 @@ def group_intervals(plants: DataFrame, pools: DataFrame, keys: Sequence[str], id
         part = reference_mean(plants, keys, label, population, table, "class", "reference")
         part = part.withColumn("gas", F.lit(gas))
         truth = part if truth is None else truth.unionByName(part)
-    return interval_summary(long, [*keys, "gas"], "value", truth, digits=digits)
+    return interval_summary(long, [*keys, "gas"], "value", truth, digits=digits, bounded=True)
 
 
 def with_strata(plants: DataFrame, bucket: str, mode: str = "pool_only",
@@ -66,7 +66,7 @@ def plant_results(plants: DataFrame, pools: DataFrame, id_col: str, label: str,
                else plants.select(id_col, F.col("means").alias("probs")))
     mixed = mixture_factors(weights, pool_table(pools, classes), id_col, n_sim, pool_size, seed,
                             classes)
-    stats = distribution(mixed, [id_col], list(GASES.values()))
+    stats = distribution(mixed, [id_col], list(GASES.values()), bounded=True)
     out = plants.drop("means", "stds").join(stats, id_col)
     for gas, table in references.items():
         side = table.select(F.col("class").alias(label), F.col("reference").alias(f"{gas}_true"))

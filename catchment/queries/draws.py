@@ -88,8 +88,8 @@ def d2(t):
 
 @query("A28_pool_status", f"""
 WITH {pools_sql()} SELECT class, round(avg(ch4_ef), 9) AS ch4_mean, round(avg(n2o_ef), 9) AS n2o_mean,
-  CASE WHEN class IN ('Pond', 'Lagoon', 'Anaerobic') THEN 'fixed default' WHEN avg(ch4_ef) IS NULL THEN 'None, CH4 forced to zero'
-    ELSE 'bootstrap records' END AS ch4_source
+  CASE WHEN class IN ('Pond', 'Lagoon', 'Anaerobic') THEN 'default value' WHEN avg(ch4_ef) IS NULL THEN 'no record, counted as zero'
+    ELSE 'drawn records' END AS ch4_source
 FROM pool GROUP BY 1 /* {{n2o}} {{fb}} {{ch4}} */""")
 def a28_status(t):
     return rounded(pool_status(query_pools(t, POOL), "class"), 9)
@@ -194,7 +194,7 @@ def d7(t):
     pools = pool_table(materialize(query_pools(t, POOL), "pools"), CLASSES)
     mixed = mixture_factors(arrays.select("plant_id", F.col("means").alias("probs")), pools,
                             "plant_id", N_SIM, POOL, SEED, CLASSES)
-    return rounded(distribution(mixed, ["plant_id"], ["ch4_ef", "n2o_ef"]), 9)
+    return rounded(distribution(mixed, ["plant_id"], ["ch4_ef", "n2o_ef"], bounded=True), 9)
 
 
 @query("D7_plant_mixture_beta")
@@ -203,7 +203,7 @@ def d7_beta(t):
     pools = pool_table(materialize(query_pools(t, POOL), "pools"), CLASSES)
     mixed = mixture_factors(beta_probabilities(arrays, "plant_id", N_SIM, SEED), pools,
                             "plant_id", N_SIM, POOL, SEED, CLASSES)
-    return distribution(mixed, ["plant_id"], ["ch4_ef", "n2o_ef"])
+    return distribution(mixed, ["plant_id"], ["ch4_ef", "n2o_ef"], bounded=True)
 
 
 def grouped_plants(t):

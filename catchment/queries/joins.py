@@ -155,8 +155,8 @@ k AS (SELECT c.plant_id, sim, min(i) FILTER (WHERE {u("'11|' || sim || '|' || c.
 pool AS (SELECT (o_orderkey % 6)::INT AS class_idx, (o_orderkey // 6)::INT AS slot, o_totalprice AS v
          FROM orders)
 SELECT k.plant_id, k.sim::INT AS sim, k.ci::INT AS class_idx, a.v AS ch4_ef, b.v * 2 AS n2o_ef
-FROM k LEFT JOIN pool a ON a.class_idx = k.ci AND a.slot = floor({u("'11|' || k.sim || '|' || k.plant_id", 1)} * 200)
-LEFT JOIN pool b ON b.class_idx = k.ci AND b.slot = floor({u("'11|' || k.sim || '|' || k.plant_id", 2)} * 200)""")
+FROM k CROSS JOIN (SELECT max(slot) + 1 AS size FROM pool) LEFT JOIN pool a ON a.class_idx = k.ci AND a.slot = floor({u("'11|' || k.sim || '|' || k.plant_id", 1)} * size)
+LEFT JOIN pool b ON b.class_idx = k.ci AND b.slot = floor({u("'11|' || k.sim || '|' || k.plant_id", 2)} * size)""")
 def j11(t):
     arrays = with_class_cdf(to_arrays(t.role("predicted"), "plant_id", CLASSES), len(CLASSES))
     # Orders dealt out as pool slots: six classes in turn.
@@ -166,7 +166,9 @@ def j11(t):
         F.floor(F.col("o_orderkey") / 6).cast("int").alias("slot"),
         F.col("o_totalprice").alias("ch4_ef"), (F.col("o_totalprice") * 2).alias("n2o_ef"))
     draws = expand_draws(arrays.select("plant_id", "cdf"), "plant_id", 20, 11, len(CLASSES), None)
-    out = draw_factors(draws, pool_table(pools, CLASSES), len(CLASSES), 200)
+    # The pool grows with the orders: slots are drawn from all of it, and it is not broadcast.
+    size = pools.agg(F.max("slot") + 1).first()[0] or 0
+    out = draw_factors(draws, pool_table(pools, CLASSES), len(CLASSES), size, broadcast_rows=0)
     return out.select("plant_id", "sim", "class_idx", "ch4_ef", "n2o_ef")
 
 

@@ -13,7 +13,7 @@ from ..operators.compare import (absent_countries, admin_fallback, order_rows, s
                                  year_column)
 from ..operators.frames import available, lookup, replace_names, unmatched
 from ..operators.proba import one_hot, wide_classes
-from ..operators.ranking import with_rank
+from ..operators.ranking import with_row_number
 from ..operators.validate import close_names, held_out
 from ..sources.readers import union_all
 from .helpers import rounded
@@ -261,20 +261,22 @@ def a30(t):
 
 
 @query("O1_zero_last_order", """
-SELECT row_id, rank() OVER (ORDER BY CASE WHEN Population <= 0 THEN 1 ELSE 0 END,
-  CASE WHEN Population <= 0 THEN 0 ELSE -Population END) AS pos FROM {city}""")
+SELECT row_id, row_number() OVER (ORDER BY CASE WHEN coalesce(Population, 0) <= 0 THEN 1 ELSE 0 END,
+  Population DESC NULLS LAST, row_id) AS pos FROM {city}""")
 def o1(t):
-    ordered = order_rows(t.role("city").select("row_id", "Population"), "Population", "Population")
-    return with_rank(ordered, "Population", "pos").select("row_id", "pos")
+    return order_rows(t.role("city").select("row_id", "Population"), "Population", "Population",
+                      "row_id", "pos").select("row_id", "pos")
 
 
 @query("O2_descending_order", """
-SELECT n_name, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation
-  ON s_nationkey = n_nationkey GROUP BY 1""")
+SELECT n_name, total, row_number() OVER (ORDER BY total DESC NULLS LAST, n_name) AS pos
+FROM (SELECT n_name, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation
+  ON s_nationkey = n_nationkey GROUP BY 1)""")
 def o2(t):
     rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return rounded(rows.groupBy("n_name").agg(F.sum("s_acctbal").alias("total")), 2).orderBy(
-        F.col("total").desc_nulls_last())
+    totals = rounded(rows.groupBy("n_name").agg(F.sum("s_acctbal").alias("total")), 2)
+    order = [F.col("total").desc_nulls_last(), F.col("n_name").asc()]
+    return with_row_number(totals, [], order, None, "pos").drop("pos_total").orderBy("pos")
 
 
 @query("O3_top_ten", """

@@ -37,11 +37,17 @@ def s2(t):
 
 
 @query("S3_glob_union", """
-SELECT p_partkey, p_name, p_type, NULL::INTEGER AS r_regionkey, NULL::VARCHAR AS r_name FROM part
-UNION ALL SELECT NULL, NULL, NULL, r_regionkey, r_name FROM region""")
+SELECT p_partkey, p_name, p_type, NULL::INTEGER AS r_regionkey, NULL::VARCHAR AS r_name, 'nation' AS skipped FROM part
+UNION ALL SELECT NULL, NULL, NULL, r_regionkey, r_name, 'nation' FROM region""")
 def s3(t):
-    union = read_union(t.spark, f"{t.folder}/{{part,region}}.parquet")
-    return union.select("p_partkey", "p_name", "p_type", "r_regionkey", "r_name")
+    """Two good files and one whose content is no parquet."""
+    folder = scratch_path(t.spark, "union")
+    write_table(t.part, f"{folder}/part.parquet")
+    write_table(t.region, f"{folder}/region.parquet")
+    write_csv(t.nation, f"{folder}/nation.parquet")
+    union, skipped = read_union(t.spark, f"{folder}/*.parquet")
+    names = ",".join(p.rsplit("/", 1)[-1].removesuffix(".parquet") for p in skipped)
+    return union.select("p_partkey", "p_name", "p_type", "r_regionkey", "r_name", F.lit(names).alias("skipped"))
 
 
 @query("S4_optional_sources", """

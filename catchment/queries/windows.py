@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.draws import with_class_cdf
 from ..operators.jobstate import keep_last
 from ..operators.proba import (stratified_folds, stratified_holdout, stratified_split, to_arrays)
-from ..operators.ranking import (exact_quantiles, running_sum, text_bucket, with_rank,
+from ..operators.ranking import (exact_quantiles, running_sum, value_ranks, with_rank,
                                  with_row_number)
 from ..operators.validate import best_sets
 from .helpers import rounded
@@ -100,5 +100,25 @@ SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_par
   count(*) OVER (PARTITION BY p_brand) AS pos_total FROM part""")
 def w1_row_number(t):
     out = with_row_number(t.part, ["p_brand"], [F.col("p_name"), F.col("p_partkey")],
-                          text_bucket(F.col("p_name")), "pos")
+                          None, "pos")
     return out.select("p_partkey", "pos", "pos_total")
+
+
+@query("W1_offset_ranks", """
+SELECT ts, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY ts) - count(*) AS BIGINT) AS below,
+  row_number() OVER (ORDER BY ts) - 1 AS dense
+FROM (SELECT CAST(epoch_us(ts) AS DOUBLE) AS ts FROM events) GROUP BY 1""")
+def w1_offset_ranks(t):
+    """Times as numbers lie close together, far from zero."""
+    rows = t.events.select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts"))
+    return value_ranks(rows, [], "ts").select("ts", "n", "below", "dense")
+
+
+@query("A24_offset_quantiles", """
+SELECT event_type, count(*) AS n, round(quantile_cont(ts, 0.25), 3) AS q1, round(quantile_cont(ts, 0.5), 3) AS median,
+  round(quantile_cont(ts, 0.975), 3) AS p97_5
+FROM (SELECT event_type, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS ts FROM events) GROUP BY 1""")
+def a24_offset(t):
+    rows = t.events.select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("ts"))
+    return rounded(exact_quantiles(rows, ["event_type"], "ts",
+                                   {"q1": 0.25, "median": 0.5, "p97_5": 0.975}), 3)

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_stages: dict[str, list[str]] = {}
+
+
 def build_session(app: str = "catchment", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution on; a cluster's own settings are left alone."""
@@ -27,19 +30,44 @@ def build_session(app: str = "catchment", master: str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only a session whose driver is its one executor may go without: it gets a temporary
+    folder. On a cluster every node would write to its own disk, so that is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all nodes share")
     folder = tempfile.mkdtemp(prefix="catchment-")
     spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executor are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, never used twice."""
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, never used twice; see ``drop_stages``."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _stages.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> list[str]:
+    """Delete the stages this application has written, once their results are stored.
+
+    Tables that were not yet written elsewhere can no longer be read afterwards.
+    """
+    paths = _stages.pop(spark.sparkContext.applicationId, [])
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return paths
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:

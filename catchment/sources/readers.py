@@ -7,6 +7,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
+from pyspark.errors.exceptions.captured import CapturedException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -49,15 +50,15 @@ def read_named(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
 
 
 def read_union(spark: SparkSession, pattern: str, fmt: str = "parquet",
-               **options: str) -> DataFrame | None:
-    """All files of a pattern, columns united by name; unreadable files are skipped."""
-    frames = []
+               **options: str) -> tuple[DataFrame | None, list[str]]:
+    """All readable files of a pattern, columns united by name, and the paths of the others."""
+    frames, skipped = [], []
     for path in _hadoop_glob(spark, pattern):
         try:
             frames.append(read_table(spark, path, fmt, **options))
-        except (AnalysisException, Py4JJavaError):
-            continue
-    return union_all(frames) if frames else None
+        except (AnalysisException, Py4JJavaError, SparkException):
+            skipped.append(path)
+    return (union_all(frames) if frames else None), skipped
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

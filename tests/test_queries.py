@@ -53,3 +53,28 @@ def test_no_pairwise_joins(spark, name):
 
 def test_nearest_reference_needs_no_shuffle_beyond_the_role(spark):
     assert plan(spark, "J5_nearest_reference").count("Exchange hashpartitioning") == 0
+
+
+@pytest.mark.parametrize("name,key", [("A14_iqr_audit", ""), ("I4_balanced_weights", ""),
+                                      ("J10_theta_rank", "Country")])
+def test_wide_tables_are_not_dealt_out_by_their_groups(spark, name, key):
+    """Without static broadcasting, as at scale, only what was summed up before is exchanged."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(spark, name).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("BroadcastHashJoin" in line for line in lines)
+    for line, child in zip(lines, lines[1:]):
+        if f"Exchange hashpartitioning({key}" in line:
+            assert "HashAggregate" in child, child
+
+
+def test_orders_as_a_pool_are_not_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, "J11_drawn_pool_slot")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for part in text.split("BroadcastExchange")[1:]:
+        assert "orders.parquet" not in part

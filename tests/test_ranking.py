@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from catchment.functions.uniform import digest
-from catchment.operators.ranking import (exact_quantiles, hash_bucket, value_bucket, value_ranks,
+from catchment.operators.ranking import (exact_quantiles, hash_bucket, in_ranges, value_ranks,
                                          with_rank, with_row_number)
 
 
@@ -19,12 +20,33 @@ def skewed(n=4000):
     return rows
 
 
-def test_bucket_keeps_order(frame):
-    values = sorted({r[2] for r in skewed() if r[2] is not None} | {-1e300, 1e-300, -1e-300, 1e300})
-    got = frame([(i, v) for i, v in enumerate(values)], "i int, v double").select(
-        "i", value_bucket(F.col("v")).alias("b")).orderBy("i").collect()
-    buckets = [r.b for r in got]
-    assert buckets == sorted(buckets)
+@pytest.mark.parametrize("draw", [
+    lambda rng: 1.6e15 + rng.randrange(10**9),  # times as numbers
+    lambda rng: rng.choice([0.0, 1e300, 1e9 + rng.random()]),  # a narrow hill between outliers
+    lambda rng: f"same start {rng.random()}",
+])
+def test_no_range_holds_much_more_than_the_mean(spark, frame, draw):
+    rng = random.Random(3)
+    values = sorted({draw(rng) for _ in range(6000)})
+    kind = "string" if isinstance(values[0], str) else "double"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = in_ranges(frame([(v,) for v in values], f"v {kind}").repartition(6), ["v"])
+        sizes = [r["count"] for r in cut.groupBy("__b").count().collect()]
+        bounds = sorted((r.b, r.low, r.high) for r in cut.groupBy(F.col("__b").alias("b")).agg(
+            F.min("v").alias("low"), F.max("v").alias("high")).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 2 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    assert all(a[2] < b[1] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_row_numbers_over_sampled_ranges(frame):
+    df = frame([(i, f"name {i * 7919 % 500:04d}") for i in range(1500)], "id int, name string")
+    got = with_row_number(df, [], [F.col("name").desc(), F.col("id").asc()], None, "pos").collect()
+    want = sorted(got, key=lambda r: r.id)
+    want.sort(key=lambda r: r.name, reverse=True)
+    assert [r.pos for r in want] == list(range(1, 1501))
 
 
 def test_quantiles_match_numpy(frame):

@@ -1,6 +1,10 @@
+import os
+from types import SimpleNamespace
+
 import pytest
 
-from catchment.operators.jobstate import changed_settings, fingerprint
+from catchment import session
+from catchment.operators.jobstate import changed_settings, fingerprint, keep_last
 from catchment.session import materialize, scratch_path, shared_dir
 from catchment.sources.readers import read_named, read_optional, read_probabilities, read_union
 from catchment.sources.writers import (latest_version, read_versioned, upsert, write_buckets,
@@ -13,6 +17,31 @@ def test_scratch_is_in_the_configured_folder(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
 
 
+def test_only_a_local_session_may_choose_its_folder():
+    """A cluster without the setting is refused; so is one whose executors are processes."""
+    for master, allowed in (("local[4]", True), ("local", True), ("yarn", False), ("spark://a:7077", False),
+                            ("local-cluster[2,1,1024]", False), ("k8s://https://a", False)):
+        conf = {}
+        made = SimpleNamespace(
+            conf=SimpleNamespace(get=conf.get, set=conf.__setitem__),
+            sparkContext=SimpleNamespace(master=master, setCheckpointDir=lambda folder: None))
+        if allowed:
+            assert shared_dir(made) == conf["spark.checkpoint.dir"]
+        else:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                shared_dir(made)
+
+
+def test_stages_can_be_dropped(spark, frame, monkeypatch):
+    monkeypatch.setattr(session, "_stages", {})
+    stage = session.materialize(frame([(1,)], "a int"))
+    path = stage.inputFiles()[0]
+    assert os.path.exists(path.removeprefix("file://"))
+    assert len(session.drop_stages(spark)) == 1
+    assert not os.path.exists(path.removeprefix("file://"))
+    assert session.drop_stages(spark) == []
+
+
 def test_named_table_error_lists_tables(spark, frame):
     folder = scratch_path(spark, "named")
     write_tables({"one": frame([(1,)], "a int"), "two": frame([(2,)], "a int")}, folder)
@@ -36,9 +65,10 @@ def test_union_skips_unreadable_files(spark, frame):
     write_table(frame([(1, 2.0)], "a int, b double"), f"{folder}/x_formatted_1.parquet")
     write_table(frame([(3, "t")], "a int, c string"), f"{folder}/y_formatted_2.parquet")
     write_csv(frame([("junk",)], "j string"), f"{folder}/z_formatted_3.parquet")
-    got = read_union(spark, f"{folder}/*_formatted*.parquet")
+    got, skipped = read_union(spark, f"{folder}/*_formatted*.parquet")
+    assert [p.rsplit("/", 1)[-1] for p in skipped] == ["z_formatted_3.parquet"]
     assert sorted((r.a, r.b, r.c) for r in got.collect()) == [(1, 2.0, None), (3, None, "t")]
-    assert read_union(spark, f"{folder}/nothing*") is None
+    assert read_union(spark, f"{folder}/nothing*") == (None, [])
 
 
 def test_upsert_keeps_last_and_survives_a_dead_writer(spark, frame):
@@ -89,3 +119,11 @@ def test_fingerprint_changes_with_a_setting(frame):
 def test_materialize_keeps_rows(frame):
     df = frame([(1, "a"), (2, None)], "x int, y string")
     assert sorted(materialize(df).collect()) == sorted(df.collect())
+
+
+def test_last_row_of_ties_is_the_same_in_any_order(frame):
+    rows = [(1, 5, "a", 2.0), (1, 5, "b", 1.0), (1, 4, "z", 9.0), (2, None, "c", 1.0)]
+    for order in (rows, rows[::-1]):
+        df = frame(order, "k int, seq int, v string, w double").repartition(3)
+        assert sorted(tuple(r) for r in keep_last(df, ["k"], "seq").collect()) == [
+            (1, 5, "b", 1.0), (2, None, "c", 1.0)]
