@@ -30,6 +30,7 @@ SWEEPS = 30
 DAMPING = 0.5
 CONFIDENCE = 0.9
 BATCH_NODES = 200_000
+SKIP_PRIOR = 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -157,7 +158,8 @@ def token_labels(spans, base) -> list[int]:
 def train(texts: list[str]) -> Field:
     """Piecewise training on the labels of the fixed patterns."""
     rows, labels = [], []
-    joint = {"chain": np.ones((5, 5)), "skip": np.ones((5, 5))}
+    # Repeats are rare in some corpora: the skips start out believing in one label.
+    joint = {"chain": np.ones((5, 5)), "skip": np.ones((5, 5)) + SKIP_PRIOR * np.eye(5)}
     for text in texts:
         spans, chain, skip = graph(text)
         own = token_labels(spans, base_spans(text))
@@ -243,7 +245,7 @@ def added_spans(text: str, spans, base, belief: np.ndarray) -> list[tuple[int, i
         s, e = s + len(token) - len(token.lstrip(_OUTER)), e - len(token) + len(token.rstrip(_OUTER))
         if s >= e:
             continue
-        if out and out[-1][1] == label - 1 and not text[out[-1][2]:s].strip():
+        if out and out[-1][1] == label - 1 and not text[out[-1][2]:s].strip(_OUTER):
             out[-1] = (out[-1][0], label - 1, e)
         else:
             out.append((s, label - 1, e))
