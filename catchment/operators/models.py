@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -14,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.readers import union_all
 from .clean import balanced_weights, column_medians, dense_codes, encode, impute_medians
 from .frames import available
@@ -22,23 +23,39 @@ from .proba import (bootstrap_multiplicity, predicted_class, replicate_stats, re
                     stratified_folds, stratified_holdout, stratified_split)
 
 MIN_TRAIN = 10
+MAX_CLASSES = 1000
 PARALLEL_FITS = 4
 T = TypeVar("T")
 
 
+_inside = threading.local()
+
+
 def _together(spark: SparkSession, tasks: Sequence[Callable[[], T]]) -> list[T]:
-    """Submit independent fits from several driver threads, as cross-validation does."""
-    if len(tasks) < 2:
+    """Submit independent fits from several driver threads, as cross-validation does.
+
+    There is one pool at a time: tasks that are themselves run by the pool run theirs in
+    turn, so no more than ``PARALLEL_FITS`` fits are under way.
+    """
+    if len(tasks) < 2 or getattr(_inside, "pool", False):
         return [task() for task in tasks]
+
+    def run(task: Callable[[], T]) -> T:
+        _inside.pool = True
+        try:
+            return inheritable_thread_target(spark)(task)()
+        finally:
+            _inside.pool = False
+
     with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
-        return pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks)
+        return pool.map(run, tasks)
 
 
 @dataclass(frozen=True)
 class ForestSettings:
     """One parameter set of the bagged classifier."""
 
-    num_trees: int = 20
+    num_trees: int = 100
     max_depth: int = 5
     min_instances: int = 1
     features: str = "auto"
@@ -50,20 +67,21 @@ class ForestSettings:
             minInstancesPerNode=self.min_instances, featureSubsetStrategy=self.features,
             seed=seed, cacheNodeIds=False)
 
-
     def probabilities(self, train: DataFrame, wanted: DataFrame, carry: Sequence[str],
                       n_classes: int, seed: int) -> DataFrame:
         """``wanted`` scored: the carried columns and a probability array."""
         model = self.build(seed).fit(train)
-        return model.transform(wanted).select(
-            *carry, F.slice(vector_to_array("probability"), 1, n_classes).alias("__p"))
+        seen = F.slice(vector_to_array("probability"), 1, n_classes)
+        # Classes that are missing in this table have probability 0.
+        rest = F.array_repeat(F.lit(0.0), F.lit(n_classes) - F.size(seen))
+        return model.transform(wanted).select(*carry, F.concat(seen, rest).alias("__p"))
 
 
 @dataclass(frozen=True)
 class BoostedSettings:
     """One parameter set of boosted trees: a binary booster per class, normalised."""
 
-    n_estimators: int = 20
+    n_estimators: int = 100
     max_depth: int = 5
     learning_rate: float = 0.1
     min_instances: int = 1
@@ -72,7 +90,8 @@ class BoostedSettings:
     def probabilities(self, train: DataFrame, wanted: DataFrame, carry: Sequence[str],
                       n_classes: int, seed: int) -> DataFrame:
         scored = wanted
-        for c in range(n_classes):
+        present = {int(r[0]) for r in train.select("__y").distinct().collect()}
+        for c in present:
             booster = GBTClassifier(
                 featuresCol="features", labelCol="__one", weightCol="multiplicity",
                 maxIter=self.n_estimators, maxDepth=self.max_depth, stepSize=self.learning_rate,
@@ -81,7 +100,7 @@ class BoostedSettings:
             booster = booster.setProbabilityCol(f"__q{c}").setRawPredictionCol(f"__r{c}")
             one = train.withColumn("__one", F.when(F.col("__y") == c, 1.0).otherwise(0.0))
             scored = booster.fit(one).transform(scored)
-        each = [vector_to_array(f"__q{c}")[1] for c in range(n_classes)]
+        each = [vector_to_array(f"__q{c}")[1] if c in present else F.lit(0.0) for c in range(n_classes)]
         cells = scored.select(*carry, F.array(*each).alias("__e"))
         total = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
         return cells.select(*carry, F.transform("__e", lambda x: x / total).alias("__p"))
@@ -106,41 +125,62 @@ def prepare_features(train: DataFrame, predict: DataFrame, numeric: Sequence[str
 
 def bagged_probabilities(train: DataFrame, predict: DataFrame, id_col: str, label: str,
                          features: Sequence[str], settings: ForestSettings | BoostedSettings,
-                         replicates: int, seed: int, carry: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+                         replicates: int, seed: int, carry: Sequence[str] = (),
+                         classes: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """(replicate, id, class, proba) from one model per bootstrap replicate.
 
-    Replicates are weights on one training table, so no copy of it is made. The
-    classes are the sorted training labels, a list of labels and not of rows.
+    Replicates are weights on one training table, so no copy of it is made; they are stored
+    by replicate, and each replicate's scores are written when it is done and read back with
+    the others. The classes are those given, or else the sorted training labels.
     """
-    classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
+    classes = list(classes) if classes is not None else table_classes(train, label)
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
     table = materialize(_assembled(train.withColumn("__y", position.cast("double")), features)
                         .select(id_col, "__y", "features"), "train")
     wanted = materialize(_assembled(predict, features).select(id_col, *carry, "features"),
                          "predict")
-    weights = materialize(bootstrap_multiplicity(table, id_col, replicates, seed), "weights")
+    spark = train.sparkSession
+    drawn_path, cube_path = scratch_path(spark, "weights"), scratch_path(spark, "cube")
+    weights = bootstrap_multiplicity(table, id_col, replicates, seed)
+    weights.repartition("replicate").write.partitionBy("replicate").parquet(drawn_path)
+    stored = spark.read.schema(weights.schema).parquet(drawn_path)
     names = F.array(*[F.lit(c) for c in classes])
+    kept: list[DataFrame] = []
 
-    def replicate(b: int) -> DataFrame:
-        drawn = table.join(weights.where(F.col("replicate") == b).drop("replicate"), id_col)
+    def replicate(b: int) -> None:
+        drawn = table.join(stored.where(F.col("replicate") == b).drop("replicate"), id_col)
         scored = settings.probabilities(drawn, wanted, [id_col, *carry], len(classes), seed + b)
         cells = scored.select(id_col, *carry, F.posexplode("__p").alias("__c", "proba"))
-        return cells.select(F.lit(b).alias("replicate"), id_col, *carry,
-                            F.get(names, F.col("__c")).alias("class"), "proba")
+        out = cells.select(F.lit(b).alias("replicate"), id_col, *carry,
+                           F.get(names, F.col("__c")).alias("class"), "proba")
+        kept.append(out.limit(0))
+        out.write.parquet(f"{cube_path}/part={b:06d}")
+
+    _together(spark, [lambda b=b: replicate(b) for b in range(replicates)])
+    return spark.read.schema(kept[0].schema).parquet(f"{cube_path}/part=*"), classes
+
 
-    tasks = [lambda b=b: replicate(b) for b in range(replicates)]
-    return union_all(_together(train.sparkSession, tasks)), classes
+def table_classes(rows: DataFrame, label: str, limit: int = MAX_CLASSES) -> list[str]:
+    """The sorted labels of a table: a list of classes, not of rows, which is checked."""
+    found = [r[0] for r in rows.where(F.col(label).isNotNull()).select(label).distinct()
+             .limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"{label} has more than {limit} classes")
+    return sorted(found)
 
 
 def bucket_probabilities(train: DataFrame, predict: DataFrame, id_col: str, label: str,
                          numeric: Sequence[str], bucket: str,
                          settings: Mapping[str, ForestSettings], replicates: int, seed: int,
                          allowed: Sequence[str] | None = None, level: str | None = None,
-                         categorical: Sequence[str] = ()) -> DataFrame:
+                         categorical: Sequence[str] = (), min_train: int = MIN_TRAIN,
+                         all_classes: bool = False) -> DataFrame:
     """(bucket, id, class, mean, std, …) for the rows to predict, bucket by bucket.
 
-    Buckets with fewer than ten training rows or nothing to predict are skipped.
+    Buckets with fewer than ``min_train`` training rows are left out; ``skipped_buckets`` lists
+    them. The classes are those of the bucket or, with ``all_classes``, of the whole table.
     """
+    classes = table_classes(train, label) if all_classes else None
     numeric = available(train, numeric)
     sizes = {r[bucket]: r["n"] for r in
              train.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -152,17 +192,27 @@ def bucket_probabilities(train: DataFrame, predict: DataFrame, id_col: str, labe
         carry = [level] if level else []
         cube, _ = bagged_probabilities(tr, pr, id_col, label,
                                        [*numeric, *[f"{c}_code" for c in categorical]],
-                                       settings[name], replicates, seed, carry)
+                                       settings[name], replicates, seed, carry, classes)
         if level and allowed:
             cube = restrict_advanced(cube, ["replicate", id_col], level, allowed)
         return replicate_stats(cube, id_col).withColumn(bucket, F.lit(name))
 
-    usable = [n for n in sorted(sizes) if sizes[n] >= MIN_TRAIN and n in wanted]
+    usable = [n for n in sorted(sizes) if sizes[n] >= min_train and n in wanted]
     if not usable:
-        raise RuntimeError("no bucket produced predicted probabilities")
+        raise RuntimeError(f"none of the buckets {sorted(wanted)} has {min_train} rows to learn from")
     return union_all(_together(train.sparkSession, [lambda n=n: one(n) for n in usable]))
 
 
+def skipped_buckets(train: DataFrame, predict: DataFrame, bucket: str,
+                    min_train: int = MIN_TRAIN) -> DataFrame:
+    """(bucket, n_train, n_predict) of the buckets whose rows to predict get no probabilities."""
+    known = train.groupBy(bucket).agg(F.count(F.lit(1)).alias("n_train"))
+    return (predict.groupBy(bucket).agg(F.count(F.lit(1)).alias("n_predict"))
+            .join(known, bucket, "left")
+            .select(bucket, F.coalesce("n_train", F.lit(0)).alias("n_train"), "n_predict")
+            .where(F.col("n_train") < min_train))
+
+
 def fold_probabilities(labelled: DataFrame, id_col: str, label: str, numeric: Sequence[str],
                        bucket: str, settings: Mapping[str, ForestSettings], folds: int,
                        replicates: int, seed: int) -> DataFrame:
@@ -216,8 +266,8 @@ def score_parameters(labelled: DataFrame, id_col: str, label: str, numeric: Sequ
 
 @dataclass(frozen=True)
 class BoosterSettings:
-    max_iter: int = 20
-    max_depth: int = 4
+    max_iter: int = 2000
+    max_depth: int = 6
     step: float = 0.1
     tolerance: float = 0.01
     subsample: float = 0.8

@@ -11,7 +11,7 @@ from ..operators.clean import balanced_weights, column_medians, dense_codes, enc
 from ..operators.jobstate import changed_settings, fingerprint
 from ..operators.models import (BoostedSettings, BoosterSettings, ForestSettings,
                                 bagged_probabilities, bucket_probabilities, class_probabilities,
-                                feature_importance, fold_probabilities, holdout_probabilities,
+                                feature_importance, fold_probabilities, holdout_probabilities, skipped_buckets,
                                 predict_binary, train_binary)
 from ..operators.proba import (bootstrap_multiplicity, full_matrix, predicted_class,
                                replicate_stats, restrict_advanced, to_wide)
@@ -183,6 +183,31 @@ def i10(t):
     return class_probabilities(stats, "p_partkey", CLASSES)
 
 
+@query("I6_cube_facts", f"""
+WITH p AS (SELECT p_partkey, p_size, {CLASS_OF_TYPE} AS class FROM part)
+SELECT p_partkey, replicate::INT AS replicate,
+  (SELECT count(DISTINCT class) FROM p WHERE p_size <= 40) AS n_classes, TRUE AS adds_up
+FROM p, (SELECT unnest(range(3)) AS replicate) WHERE p_size > 40""")
+def i6_facts(t):
+    """What is certain about a cube: every class once per row and replicate, adding up to 1."""
+    rows = part_rows(t)
+    cube, _ = bagged_probabilities(rows.where(F.col("label").isNotNull()),
+                                   rows.where(F.col("label").isNull()), "p_partkey", "label",
+                                   FEATURES, FOREST, 3, 7)
+    return cube.groupBy("p_partkey", "replicate").agg(
+        F.countDistinct("class").alias("n_classes"),
+        ((F.abs(F.sum("proba") - 1) < 1e-9) & (F.min("proba") >= 0)).alias("adds_up"))
+
+
+@query("I10_skipped_buckets", """
+SELECT p_brand, count(*) FILTER (WHERE p_size <= 40) AS n_train, count(*) FILTER (WHERE p_size > 40) AS n_predict
+FROM part GROUP BY 1 HAVING n_train < 65 AND n_predict > 0""")
+def i10_skipped(t):
+    rows = part_rows(t)
+    return skipped_buckets(rows.where(F.col("label").isNotNull()), rows.where(F.col("label").isNull()),
+                           "p_brand", 65)
+
+
 @query("I11_fold_probabilities")
 def i11(t):
     rows = part_rows(t).where(F.col("label").isNotNull())
