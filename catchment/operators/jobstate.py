@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +37,28 @@ def keep_last(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     others = [c for c in rows.columns if c not in keys and c != order]
     last = rows.groupBy(*keys).agg(F.max(F.struct(order, *others)).alias("__last"))
     return last.select(*keys, "__last.*").select(*rows.columns)
+
+
+class SettingsChanged(RuntimeError):
+    """A run was resumed with other settings than it began with."""
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a job has stored so far, None before its first append."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def same_settings(settings: DataFrame, path: str) -> None:
+    """Store the settings (key, value) of a run, or stop if others are stored there."""
+    old = finished(settings.sparkSession, path)
+    if old is None:
+        settings.write.parquet(path)
+        return
+    changed = changed_settings(old, settings, ["key"], "value").orderBy("key").collect()
+    if changed:
+        raise SettingsChanged("; ".join(f"{r.key}: {r.old_value} -> {r.new_value}" for r in changed))

@@ -31,7 +31,7 @@ T = TypeVar("T")
 _inside = threading.local()
 
 
-def _together(spark: SparkSession, tasks: Sequence[Callable[[], T]]) -> list[T]:
+def run_together(spark: SparkSession, tasks: Sequence[Callable[[], T]]) -> list[T]:
     """Submit independent fits from several driver threads, as cross-validation does.
 
     There is one pool at a time: tasks that are themselves run by the pool run theirs in
@@ -156,7 +156,7 @@ def bagged_probabilities(train: DataFrame, predict: DataFrame, id_col: str, labe
         kept.append(out.limit(0))
         out.write.parquet(f"{cube_path}/part={b:06d}")
 
-    _together(spark, [lambda b=b: replicate(b) for b in range(replicates)])
+    run_together(spark, [lambda b=b: replicate(b) for b in range(replicates)])
     return spark.read.schema(kept[0].schema).parquet(f"{cube_path}/part=*"), classes
 
 
@@ -200,7 +200,7 @@ def bucket_probabilities(train: DataFrame, predict: DataFrame, id_col: str, labe
     usable = [n for n in sorted(sizes) if sizes[n] >= min_train and n in wanted]
     if not usable:
         raise RuntimeError(f"none of the buckets {sorted(wanted)} has {min_train} rows to learn from")
-    return union_all(_together(train.sparkSession, [lambda n=n: one(n) for n in usable]))
+    return union_all(run_together(train.sparkSession, [lambda n=n: one(n) for n in usable]))
 
 
 def skipped_buckets(train: DataFrame, predict: DataFrame, bucket: str,
@@ -226,7 +226,7 @@ def fold_probabilities(labelled: DataFrame, id_col: str, label: str, numeric: Se
         return bucket_probabilities(train, known, id_col, label, numeric, bucket, settings,
                                     replicates, seed).withColumn("fold", F.lit(fold))
 
-    return union_all(_together(labelled.sparkSession,
+    return union_all(run_together(labelled.sparkSession,
                                [lambda f=f: one(f) for f in range(1, folds + 1)]))
 
 
@@ -259,7 +259,7 @@ def score_parameters(labelled: DataFrame, id_col: str, label: str, numeric: Sequ
                                   {n: sets[key] for n in names}, folds, replicates,
                                   seed).withColumn("param_key", F.lit(key))
 
-    return union_all(_together(labelled.sparkSession, [lambda k=k: one(k) for k in sets]))
+    return union_all(run_together(labelled.sparkSession, [lambda k=k: one(k) for k in sets]))
 
 
 # --- binary model ---------------------------------------------------------

@@ -173,16 +173,32 @@ def coverage_summary(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def holdout_jobs(rows: DataFrame, country: str, wanted: DataFrame,
-                 large: int = LARGE_COUNTRY_MIN, small: int = SMALL_COUNTRY_MIN) -> DataFrame:
-    """(country, n, fraction, status) for every wanted country."""
+                 large: int = LARGE_COUNTRY_MIN, small: int = SMALL_COUNTRY_MIN,
+                 large_fractions: Sequence[float] = (LARGE_FRACTION,),
+                 small_fractions: Sequence[float] = (SMALL_FRACTION,),
+                 whole: bool = False, below: str = "skip") -> DataFrame:
+    """(country, n, fraction, status): the holdouts of every wanted country, one row each.
+
+    A NULL fraction of a job that runs leaves the whole country out; ``whole`` does so for
+    all. Countries with fewer than ``small`` rows are left alone (``below="skip"``), left out
+    whole (``"whole"``) or held out like small ones (``"small"``).
+    """
+    if below not in ("skip", "whole", "small"):
+        raise ValueError(f"unknown choice {below!r} for small countries")
+
+    def part(fractions: Sequence[float | None]) -> Column:
+        return F.array(*[F.lit(f).cast("double") for f in fractions])
+
     counts = rows.groupBy(country).agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
+    rest = part(small_fractions) if below == "small" else part([None])
+    fractions = (F.when((n == 0) | F.lit(whole), part([None])).when(n > large, part(large_fractions))
+                 .when(n >= small, part(small_fractions)).otherwise(rest))
+    status = (F.when(n == 0, "name not found")
+              .when((n < small) & F.lit(below == "skip" and not whole), "too few plants").otherwise("run"))
     return (wanted.select(country).join(counts, country, "left")
-            .select(country, n.cast("long").alias("n"),
-                    F.when(n > large, LARGE_FRACTION).when(n >= small, SMALL_FRACTION)
-                    .alias("fraction"),
-                    F.when(n == 0, "name not found").when(n < small, "too few plants")
-                    .otherwise("run").alias("status")))
+            .select(country, n.cast("long").alias("n"), F.explode(fractions).alias("fraction"),
+                    status.alias("status")))
 
 
 def few_plants(intervals: DataFrame, n: str, limit: int = MIN_PLANTS_WARN) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.frames import join_null_safe
+from ..operators.jobstate import finished, same_settings
 from ..operators.models import score_parameters
 from ..operators.proba import to_arrays
 from ..operators.validate import best_sets, fold_metrics, gas_rows, joint_score
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .validation import plant_results
 
 
@@ -32,13 +33,31 @@ def fold_scores(probabilities: DataFrame, labelled: DataFrame, id_col: str, labe
 def search(labelled: DataFrame, id_col: str, label: str, features: Sequence[str], bucket: str,
            population: str, sets: Mapping[str, object], folds: int, replicates: int, seed: int,
            pools: DataFrame, references: Mapping[str, DataFrame], classes: Sequence[str],
-           n_sim: int, pool_size: int, keep: int = 1) -> DataFrame:
-    """The retained parameter sets with their fold metrics, best first per bucket."""
-    probabilities = materialize(
-        score_parameters(labelled, id_col, label, features, bucket, sets, folds, replicates, seed)
-        .withColumnRenamed(bucket, "bucket"), "search")
-    rows = materialize(fold_scores(probabilities, labelled, id_col, label, population, pools,
-                                   references, classes, n_sim, pool_size, seed), "scores")
+           n_sim: int, pool_size: int, keep: int = 1, progress: str | None = None) -> DataFrame:
+    """The retained parameter sets with their fold metrics, best first per bucket.
+
+    With ``progress``, a folder that all nodes share, the fold metrics of every set are added
+    to it when the set is done. A later run with the same settings leaves those sets out; one
+    with other settings stops with ``SettingsChanged``.
+    """
+    spark = labelled.sparkSession
+    folder = progress or scratch_path(spark, "search")
+    settings = spark.createDataFrame(
+        [(k, str(v)) for k, v in {
+            "label": label, "features": sorted(features), "bucket": bucket, "population": population,
+            "folds": folds, "replicates": replicates, "seed": seed, "n_sim": n_sim,
+            "pool_size": pool_size, "classes": list(classes)}.items()], "key string, value string")
+    same_settings(settings, f"{folder}/settings")
+    done = finished(spark, f"{folder}/scores")
+    known = set() if done is None else {r[0] for r in done.select("param_key").distinct().collect()}
+    for key in [k for k in sets if k not in known]:
+        probabilities = materialize(
+            score_parameters(labelled, id_col, label, features, bucket, {key: sets[key]}, folds,
+                             replicates, seed).withColumnRenamed(bucket, "bucket"), "search")
+        fold_scores(probabilities, labelled, id_col, label, population, pools, references, classes,
+                    n_sim, pool_size, seed).write.mode("append").parquet(f"{folder}/scores")
+    wanted = F.array(*[F.lit(k) for k in sets])
+    rows = finished(spark, f"{folder}/scores").where(F.array_contains(wanted, F.col("param_key")))
     order = F.array_position(F.array(*[F.lit(k) for k in sets]), F.col("param_key"))
     scores = joint_score(rows, ["bucket", "param_key"]).withColumn("evaluated", order)
     best = best_sets(scores, "bucket", "evaluated", keep)

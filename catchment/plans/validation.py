@@ -12,7 +12,7 @@ from ..functions.reference import HOLDOUT_COUNTRIES
 from ..operators.draws import (beta_classes, beta_probabilities, distribution, draw_factors,
                                expand_draws, group_factors, mixture_factors, pool_table,
                                with_blocks, with_class_cdf)
-from ..operators.models import holdout_probabilities
+from ..operators.models import holdout_probabilities, run_together
 from ..operators.proba import to_arrays
 from ..operators.validate import (coverage_summary, few_plants, fold_metrics, gas_rows, group_sizes,
                                   holdout_jobs, interval_summary, metric_summary, reference_mean)
@@ -88,22 +88,32 @@ def holdout_run(labelled: DataFrame, id_col: str, label: str, country: str, popu
                 features: Sequence[str], settings, pools: DataFrame,
                 references: dict[str, DataFrame], classes: Sequence[str], n_sim: int, pool_size: int,
                 replicates: int, seed: int, countries: Sequence[str] = HOLDOUT_COUNTRIES,
-                bucket: str = "population_bucket") -> dict[str, DataFrame]:
-    """Country by country: train without the held-out rows, predict them, compare intervals."""
+                bucket: str = "population_bucket", **modes) -> dict[str, DataFrame]:
+    """Country by country: train without the held-out rows, predict them, compare intervals.
+
+    ``modes`` are those of ``holdout_jobs``. The holdout of a whole country is named LCO. Jobs
+    are submitted together, and each one's probabilities are written when it is done.
+    """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label).isNotNull() & F.col(country).isNotNull()).withColumn(
         bucket, population_bucket(F.col(population)))
     wanted = spark.createDataFrame([(c,) for c in countries], f"`{country}` string")
-    jobs = holdout_jobs(rows, country, wanted)
+    jobs = holdout_jobs(rows, country, wanted, **modes)
     # At most one entry per wanted country, a driver-side list to begin with.
     todo = [(r[country], r["fraction"]) for r in jobs.where("status = 'run'").collect()]
-    frames = [holdout_probabilities(rows, id_col, label, features, bucket, settings, country, name,
-                                    fraction, replicates, seed)
-              .withColumn("holdout", F.lit(str(round(fraction * 100)))) for name, fraction in todo]
-    if not frames:
+    if not todo:
         raise RuntimeError("no country has enough labelled rows")
-    probabilities = materialize(union_all(frames), "holdout")
-    plants = materialize(to_arrays(probabilities, id_col, classes, ["holdout"]).join(
+
+    def one(name: str, fraction: float | None) -> DataFrame:
+        found = holdout_probabilities(rows, id_col, label, features, bucket, settings, country,
+                                      name, fraction, replicates, seed)
+        mark = "LCO" if fraction is None else str(round(fraction * 100))
+        return materialize(found.withColumn("holdout", F.lit(mark)), "holdout")
+
+    probabilities = union_all(run_together(spark, [lambda j=j: one(*j) for j in todo]))
+    # A row may be held out more than once, by several fractions.
+    keyed = probabilities.withColumn("__run", F.concat_ws("#", "holdout", F.col(id_col)))
+    plants = materialize(to_arrays(keyed, "__run", classes, ["holdout", id_col]).drop("__run").join(
         rows.select(id_col, country, label, population), id_col), "plants")
     intervals = materialize(group_intervals(
         plants, pools, [country, "holdout"], id_col, label, population, references, classes, n_sim,

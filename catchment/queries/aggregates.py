@@ -17,6 +17,7 @@ from ..operators.hierarchy import region_totals
 from ..operators.match import by_climate, sewer_emissions
 from ..operators.proba import full_matrix
 from ..operators.validate import holdout_jobs
+from ..sources.readers import union_all
 from ..plans.emission import LEVELS, city_loads
 from .helpers import rounded
 from .joins import MATRIX_SQL, SEWER_MATCH_SQL
@@ -345,6 +346,30 @@ def a29(t):
     return holdout_jobs(rows, "country", wanted, 400, 100)
 
 
+HOLDOUT_MODES = {
+    "skip": {}, "whole_below": {"below": "whole"}, "small_below": {"below": "small"}, "whole": {"whole": True}}
+
+
+@query("A29_holdout_modes", """
+WITH c AS (SELECT n_name AS country, count(o.o_orderkey) AS n FROM nation
+  LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 1000 * n_nationkey
+  LEFT JOIN orders o ON o_custkey = c_custkey GROUP BY 1),
+j AS (SELECT mode, country, n, unnest(CASE WHEN n = 0 OR mode = 'whole' THEN [NULL::DOUBLE] WHEN n > 400 THEN [0.1, 0.2]
+    WHEN n >= 100 OR mode = 'small_below' THEN [0.3, 0.5] ELSE [NULL::DOUBLE] END) AS fraction
+  FROM c, (VALUES ('skip'), ('whole_below'), ('small_below'), ('whole')) AS m(mode))
+SELECT mode, country, n, fraction::DOUBLE AS fraction, CASE WHEN n = 0 THEN 'name not found'
+  WHEN n < 100 AND mode = 'skip' THEN 'too few plants' ELSE 'run' END AS status FROM j""")
+def a29_modes(t):
+    rows = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .where(F.col("c_acctbal") > 1000 * F.col("n_nationkey"))
+            .select(F.col("n_name").alias("country")))
+    wanted = t.nation.select(F.col("n_name").alias("country"))
+    return union_all([
+        holdout_jobs(rows, "country", wanted, 400, 100, (0.1, 0.2), (0.3, 0.5), **options)
+        .withColumn("mode", F.lit(name)) for name, options in HOLDOUT_MODES.items()])
+
+
 @query("A1_bucket_sums", """
 SELECT CASE WHEN o_totalprice <= 100000 THEN 's' WHEN o_totalprice <= 300000 THEN 'm' ELSE 'l' END AS bucket,
   round(sum(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY 1""")

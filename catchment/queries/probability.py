@@ -18,6 +18,7 @@ from ..operators.proba import (bootstrap_multiplicity, full_matrix, predicted_cl
 from ..operators.validate import binary_report, roc_auc
 from ..plans.search import search
 from .aggregates import query_pools
+from ..session import scratch_path
 from .helpers import rounded
 from .joins import MATRIX_SQL
 from .registry import query, u
@@ -275,46 +276,25 @@ def i15_auc(t):
     return rounded(roc_auc(t.documents.join(t.labels, "doc_id"), "quality", "n_chars"), 9)
 
 
-@query("I17_parameter_search")
-def i17(t):
+def parameter_search(t, keys, **options):
     rows = part_rows(t).where(F.col("label").isNotNull()).withColumn(
         "size", F.col("p_retailprice"))
     sets = {"5|3": ForestSettings(5, 3), "5|5": ForestSettings(5, 5)}
     reference = t.role("n2o").groupBy("class").agg(F.avg("N2OEF").alias("reference"))
     ch4 = t.role("ch4").where(F.col("class").isNotNull()).groupBy("class").agg(
         F.avg("CH4EF").alias("reference"))
-    return search(rows, "p_partkey", "label", FEATURES, "bucket", "size", sets, 2, 1, 42,
-                  query_pools(t, 50), {"N2O": reference, "CH4": ch4}, CLASSES, 10, 50)
-
-
-SETTINGS_SQL = "SELECT o_orderstatus AS run, o_orderpriority AS k, count(*) AS v FROM orders GROUP BY 1, 2"
-
+    return search(rows, "p_partkey", "label", FEATURES, "bucket", "size", {k: sets[k] for k in keys}, 2, 1,
+                  42, query_pools(t, 50), {"N2O": reference, "CH4": ch4}, CLASSES, 10, 50, **options)
 
-def settings_rows(t):
-    return t.orders.groupBy(F.col("o_orderstatus").alias("run"), F.col("o_orderpriority").alias("k")).agg(
-        F.count(F.lit(1)).alias("v"))
 
-
-@query("I18_config_fingerprint", f"""
-SELECT run, md5(string_agg(k || '=' || v, chr(10) ORDER BY k || '=' || v)) AS fingerprint FROM ({SETTINGS_SQL}) GROUP BY 1""")
-def i18(t):
-    return fingerprint(settings_rows(t), "k", "v", ["run"])
-
-
-@query("I18_changed_settings", f"""
-WITH s AS ({SETTINGS_SQL}), a AS (SELECT k, v FROM s WHERE run = 'F' AND k <> '5-LOW'), b AS (SELECT k, v FROM s WHERE run = 'O')
-SELECT coalesce(a.k, b.k) AS k, a.v AS old_value, b.v AS new_value FROM a FULL JOIN b ON a.k = b.k
-WHERE a.v IS DISTINCT FROM b.v""")
-def i18_changed(t):
-    rows = settings_rows(t)
-    old = rows.where((F.col("run") == "F") & (F.col("k") != "5-LOW"))
-    return changed_settings(old, rows.where(F.col("run") == "O"), ["k"], "v")
+@query("I17_parameter_search")
+def i17(t):
+    return parameter_search(t, ["5|3", "5|5"])
 
 
-@query("I19_bucket_settings", """
-SELECT CASE WHEN o_totalprice <= 2000 THEN 'small: 0-2000' WHEN o_totalprice <= 10000 THEN 'medium: 2000-10000' ELSE 'large: 10000+' END AS population_bucket,
-  CASE WHEN o_totalprice <= 2000 THEN 8 WHEN o_totalprice <= 10000 THEN 5 ELSE 6 END::INT AS max_depth, count(*) AS n FROM orders GROUP BY 1, 2""")
-def i19(t):
-    rows = t.orders.select(population_bucket(F.col("o_totalprice")).alias("population_bucket"))
-    return (rows.join(bucket_settings(t.spark), "population_bucket")
-            .groupBy("population_bucket", "max_depth").agg(F.count(F.lit(1)).alias("n")))
+@query("I17_resumed_search")
+def i17_resumed(t):
+    """A search that stopped after its first set, and goes on where it was."""
+    folder = scratch_path(t.spark, "progress")
+    parameter_search(t, ["5|3"], progress=folder)
+    return parameter_search(t, ["5|3", "5|5"], progress=folder)

@@ -2,18 +2,21 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from catchment.functions.emissions import ACTIVITY_COLUMNS
 from catchment.operators.draws import build_pools, index_records
+from catchment.operators.jobstate import SettingsChanged
 from catchment.operators.models import BoosterSettings, ForestSettings
 from catchment.operators.proba import full_matrix
 from catchment.plans.analysis import ATTRIBUTES, SUM_COLUMNS, WEIGHTED_COLUMNS, analyse
 from catchment.plans.digestion import FEATURES, POP
 from catchment.plans.digestion import estimate as estimate_digestion
+from catchment.plans import search as search_plan
 from catchment.plans.emission import RunSettings, estimate
 from catchment.plans.validation import holdout_run
-from catchment.session import materialize
+from catchment.session import materialize, scratch_path
 
 CLASSES = ["A", "B", "C"]
 
@@ -133,3 +136,29 @@ def test_holdout_run(spark):
     assert all(r.pred_p2_5 <= r.pred_median <= r.pred_p97_5 for r in got)
     assert out["few"].first().n_plants == out["probabilities"].select("id").distinct().count() in range(18, 23)
     assert out["summary"].count() == 2
+
+
+def test_a_search_goes_on_and_stops_on_other_settings(spark, monkeypatch):
+    rows = spark.range(90).select(
+        F.col("id"), F.lit("small").alias("bucket"),
+        F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("id") % 3 + 1).cast("int")).alias("label"),
+        (F.col("id") % 7 + 1.0).alias("pop"), (F.col("id") % 3 + F.rand(1)).alias("x"))
+    reference = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("C", 3.0)], "class string, reference double")
+    sets = {"a": ForestSettings(2, 2), "b": ForestSettings(2, 3)}
+    fits = []
+    real = search_plan.score_parameters
+    monkeypatch.setattr(search_plan, "score_parameters", lambda *a, **k: fits.append(list(a[5])) or real(*a, **k))
+
+    def run(keys, seed=1, progress=None):
+        out = search_plan.search(rows, "id", "label", ["x"], "bucket", "pop", {k: sets[k] for k in keys}, 2, 1,
+                                 seed, pools_of(spark, 30), {"N2O": reference, "CH4": reference}, CLASSES, 20, 30,
+                                 keep=2, progress=progress)
+        return sorted(map(str, out.collect()))
+
+    folder = scratch_path(spark, "progress")
+    run(["a"], progress=folder)
+    resumed = run(["a", "b"], progress=folder)
+    assert fits == [["a"], ["b"]]
+    assert resumed == run(["a", "b"])
+    with pytest.raises(SettingsChanged, match="seed: 1 -> 2"):
+        run(["a", "b"], seed=2, progress=folder)

@@ -153,6 +153,21 @@ def test_jobs_by_size(frame):
                    "none": (0, None, "name not found")}
 
 
+def test_holdout_modes(frame):
+    rows = frame([("big",)] * 12 + [("mid",)] * 5 + [("low",)], "c string")
+    wanted = frame([("big",), ("mid",), ("low",), ("none",)], "c string")
+
+    def jobs(**modes):
+        return sorted((r.c, r.fraction, r.status) for r in holdout_jobs(rows, "c", wanted, 10, 5, **modes).collect())
+
+    several = jobs(large_fractions=(0.1, 0.2), small_fractions=(0.3,), below="small")
+    assert several == [("big", 0.1, "run"), ("big", 0.2, "run"), ("low", 0.3, "run"), ("mid", 0.3, "run"),
+                       ("none", None, "name not found")]
+    assert ("low", None, "run") in jobs(below="whole")
+    assert {s for c, f, s in jobs(whole=True) if c != "none"} == {"run"}
+    assert all(f is None for _, f, _ in jobs(whole=True))
+
+
 def test_grid_order(frame):
     out = with_grid(frame([("b",)], "bucket string"), {"x": [1, 2], "y": [0.1, 0.2, 0.3]})
     got = [(r.ordinal, r.x, r.y) for r in out.orderBy("ordinal").collect()]
