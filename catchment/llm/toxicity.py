@@ -26,18 +26,20 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, map_pandas, pieces, whole_text
 
 TRAIN_TOXIC, TRAIN_CLEAN = 800, 1600  # documents learned from, about
-CLEAN_SENTENCES = 20_000
+CLEAN_SENTENCES = 15_000  # about
 INSULTS, NEAR, HARD = 48, 16, 48  # landmarks: suspects, clean units like them, clean units mistaken for them
-ORDINARY, HARD_UNITS = 100_000, 3000  # clean units searched for, and used as, mistakes
+ORDINARY, HARD_UNITS = 50_000, 3000  # clean units searched for, and used as, mistakes
 DECAY = 0.75
 SPAN = 8  # characters that a subsequence may stretch over
 POWER = 5
 WINDOW, STRIDE = 24, 12  # units longer than a window are read in windows
 MIN_ODDS = 2.0
+CHUNK = 1000  # units whose subsequences are held at a time
+SENTENCES = 1500  # mapped at a time in training
 ALPHABET = 80
 MARK = "^"
 UNIT_CACHE = 400_000
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 _SINGLES = re.compile(r"(?<!\S)[^\W\d_](?:\s[^\W\d_]){2,}(?!\S)")
 _ENDS = (".", "!", "?")
@@ -56,6 +58,8 @@ def tokens(text: str) -> list[str]:
 def unit(token: str) -> str:
     """A token without what is neither letter nor digit at its ends."""
     a, b = 0, len(token)
+    if token[0].isalnum() and token[-1].isalnum():
+        return token
     while a < b and not token[a].isalnum():
         a += 1
     while b > a and not token[b - 1].isalnum():
@@ -87,24 +91,34 @@ class Kernel:
     """Subsequence kernel of units against landmarks."""
     alphabet: dict[str, int]
     landmarks: list[str] = field(default_factory=list)
-    row: np.ndarray = None  # code of a subsequence to its row of the table, or -1
-    table: np.ndarray = None  # weights of the subsequences in the normalised landmarks
+    row: np.ndarray = None  # code of a subsequence to its number, or -1
+    first: np.ndarray = None  # where the landmarks with a subsequence begin
+    holder: np.ndarray = None  # those landmarks
+    weight: np.ndarray = None  # and its weight in them, normalised
 
     def codes(self, units: list[str]):
         """(numbers of the units, codes, weights) of their subsequences, by length of the unit."""
         size = len(self.alphabet) + 2
-        lengths = np.array([len(u) for u in units])
+        number = np.zeros(max(map(ord, self.alphabet), default=0) + 2, dtype=np.int64)
+        for c, n in self.alphabet.items():
+            number[ord(c)] = n
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letters = number[np.minimum(points, len(number) - 1)]
+        lengths = np.array([len(u) for u in units], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
         for length in np.unique(lengths):
             places, weight = triples(int(length))
             if not len(places):
                 continue
             which = np.flatnonzero(lengths == length)
-            letter = np.array([[self.alphabet.get(c, 0) for c in units[i]] for i in which], dtype=np.int64)
-            a, b, c = (letter[:, places[:, i]] for i in range(3))
-            code = (a * size + b) * size + c
-            # A character outside the alphabet is a gap: nothing shares it.
-            code[(a == 0) | (b == 0) | (c == 0)] = -1
-            yield which, code, weight
+            for at in range(0, len(which), CHUNK):
+                part = which[at:at + CHUNK]
+                letter = letters[starts[part][:, None] + np.arange(length)]
+                a, b, c = (letter[:, places[:, i]] for i in range(3))
+                code = (a * size + b) * size + c
+                # A character outside the alphabet is a gap: nothing shares it.
+                code[(a == 0) | (b == 0) | (c == 0)] = -1
+                yield part, code, weight
 
     def image(self, units: list[str]) -> list[dict[int, float]]:
         """Normalised weights of the subsequences of a few units."""
@@ -122,29 +136,34 @@ class Kernel:
     def prepare(self, landmarks: list[str]):
         self.landmarks = landmarks
         images = self.image(landmarks)
-        found = sorted({c for image in images for c in image})
+        entries = sorted((c, j, v) for j, image in enumerate(images) for c, v in image.items())
+        codes = np.array([e[0] for e in entries], dtype=np.int64)
+        found, self.first = np.unique(codes, return_index=True)
+        self.first = np.append(self.first, len(codes))
         self.row = np.full((len(self.alphabet) + 2) ** 3, -1, dtype=np.int32)
         self.row[found] = np.arange(len(found))
-        self.table = np.zeros((len(found), len(landmarks)), dtype=np.float32)
-        for j, image in enumerate(images):
-            for c, v in image.items():
-                self.table[self.row[c], j] = v
+        self.holder = np.array([e[1] for e in entries], dtype=np.int64)
+        self.weight = np.array([e[2] for e in entries])
 
     def values(self, units: list[str]) -> np.ndarray:
         """Powers of the normalised kernel, (units x landmarks)."""
         out = np.zeros((len(units), len(self.landmarks)), dtype=np.float32)
         for which, code, weight in self.codes(units):
-            for at in range(0, len(which), 4000):
-                part, mine = code[at:at + 4000], which[at:at + 4000]
-                row = np.where(part >= 0, self.row[part], -1)
-                hit, place = np.nonzero(row >= 0)
-                if not len(hit):
-                    continue
-                share = self.table[row[hit, place]] * weight[place][:, None]
-                starts = np.flatnonzero(np.append(True, hit[1:] != hit[:-1]))
-                own = hit[starts]
-                out[mine[own]] = np.add.reduceat(share, starts, axis=0) / self.norms(part[own], weight)[:, None]
-        return np.minimum(out, 1) ** POWER
+            row = np.where(code >= 0, self.row[code], -1)
+            hit, place = np.nonzero(row >= 0)
+            if not len(hit):
+                continue
+            number = row[hit, place]
+            count = self.first[number + 1] - self.first[number]
+            entry = np.repeat(self.first[number] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            total = np.bincount(np.repeat(hit, count) * len(self.landmarks) + self.holder[entry],
+                                weights=np.repeat(weight[place], count) * self.weight[entry],
+                                minlength=len(which) * len(self.landmarks)).reshape(len(which), -1)
+            own = np.unique(hit)
+            out[which[own]] = total[own] / self.norms(code[own], weight)[:, None]
+        np.minimum(out, 1, out=out)
+        out **= POWER
+        return out
 
     @staticmethod
     def norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -172,10 +191,12 @@ class Machine:
 
     def unit_values(self, found: list[str]) -> np.ndarray:
         """What each token adds to its sentence: of long units, the worst window."""
-        split = [windows(unit(t)) for t in found]
-        value = self.kernel.values([w for ws in split for w in ws]) @ self.weights
-        starts = np.cumsum([0, *map(len, split)])[:-1]
-        return np.maximum.reduceat(value, starts) if len(found) else value
+        out = [np.zeros(0)]
+        for at in range(0, len(found), 20_000):
+            split = [windows(unit(t)) for t in found[at:at + 20_000]]
+            value = self.kernel.values([w for ws in split for w in ws]) @ self.weights
+            out.append(np.maximum.reduceat(value, np.cumsum([0, *map(len, split)])[:-1]))
+        return np.concatenate(out)
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """The worst sentence's margin for each text; without a token, that of an empty one."""
@@ -290,9 +311,9 @@ def train(toxic: list[str], clean: list[str], share: float = 0.2) -> Machine:
     near = [ordinary[i] for i in np.argsort(-like, kind="stable")[:NEAR]]
     kernel.prepare(chosen + near)
 
-    negative = [s for text in clean for s in sentences(text)]
-    keep = np.random.default_rng(5).permutation(len(negative))[:CLEAN_SENTENCES]
-    negative = [marked_units(negative[i]) for i in sorted(keep)]
+    chance = CLEAN_SENTENCES / max(1, sum(1 + sum(map(text.count, _ENDS)) for text in clean))
+    draw = np.random.default_rng(5)
+    negative = [marked_units(s) for text in clean for s in sentences(text) if draw.random() < chance]
     positive = []
     for text in toxic:
         for s in sentences(text):
@@ -320,7 +341,9 @@ def train(toxic: list[str], clean: list[str], share: float = 0.2) -> Machine:
         positive = [s for s, keep in zip(positive, believed) if keep] or positive
         kernel.prepare(list(dict.fromkeys(chosen + near + hard[:HARD])))
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    machine.slope, machine.offset = fit_curve(machine.margins(toxic + clean), y, share)
+    texts = toxic + clean
+    margin = [machine.margins(texts[part]) for part in pieces(texts, BATCH_CHARS // 4)]
+    machine.slope, machine.offset = fit_curve(np.concatenate(margin), y, share)
     machine.cache.clear()
     return machine
 
@@ -337,15 +360,17 @@ def whitening(kernel: Kernel) -> np.ndarray:
 
 
 def sentence_images(kernel: Kernel, root: np.ndarray, many: list[list[str]]) -> np.ndarray:
-    """Nyström images: the sum of the units' images."""
-    flat = [w for s in many for w in s]
-    owner = np.repeat(np.arange(len(many)), [len(s) for s in many])
-    distinct = {u: i for i, u in enumerate(dict.fromkeys(flat))}
-    mapped = kernel.values(list(distinct)).astype(float) @ root
-    place = np.array([distinct[w] for w in flat], dtype=np.int64)
-    out = np.empty((len(many), mapped.shape[1]))
-    for j in range(out.shape[1]):
-        out[:, j] = np.bincount(owner, weights=mapped[place, j], minlength=len(many))
+    """Nyström images: the sum of the units' images, some sentences at a time."""
+    root = root.astype(np.float32)
+    out = np.empty((len(many), root.shape[1]), dtype=np.float32)
+    for at in range(0, len(many), SENTENCES):
+        part = many[at:at + SENTENCES]
+        distinct = {u: i for i, u in enumerate(dict.fromkeys(w for s in part for w in s))}
+        mapped = kernel.values(list(distinct)) @ root
+        place = np.array([distinct[w] for s in part for w in s], dtype=np.int64)
+        owner = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        for j in range(out.shape[1]):
+            out[at:at + len(part), j] = np.bincount(owner, weights=mapped[place, j], minlength=len(part))
     return out
 
 
