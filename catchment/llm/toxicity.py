@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, map_pandas, pieces, whole_text
 
-TRAIN_TOXIC, TRAIN_CLEAN = 800, 1600  # documents learned from, about
+TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000  # documents learned from, about
 CLEAN_SENTENCES = 15_000  # about
-INSULTS, NEAR, HARD = 48, 16, 48  # landmarks: suspects, clean units like them, clean units mistaken for them
+INSULTS, NEAR, HARD = 80, 16, 48  # landmarks: suspects, clean units like them, clean units mistaken for them
 ORDINARY, HARD_UNITS = 50_000, 3000  # clean units searched for, and used as, mistakes
 DECAY = 0.75
 SPAN = 8  # characters that a subsequence may stretch over
