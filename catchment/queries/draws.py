@@ -148,6 +148,26 @@ def d5(t):
     return beta_probabilities(arrays, "plant_id", N_SIM, SEED)
 
 
+@query("D5_beta_moments", """
+WITH x AS (SELECT plant_id, class, mean, std, least(greatest(mean, 0.001), 0.999) AS m FROM {predicted}),
+z AS (SELECT *, CASE WHEN std > 0 THEN m * (1 - m) / least(std * std, m * (1 - m) * 0.99) - 1 END AS cf FROM x)
+SELECT plant_id, class, 1500::BIGINT AS n, coalesce(mean > 0 AND cf > 0, FALSE) AS drawn, TRUE AS mean_fits FROM z""")
+def d5_moments(t):
+    """1500 draws, more than one block: which cells vary, and whether each mean is within six
+    standard errors of its probability."""
+    cells = t.role("predicted")
+    drawn = beta_probabilities(to_arrays(cells, "plant_id", CLASSES), "plant_id", 1500, SEED)
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    stats = (drawn.select("plant_id", F.posexplode("probs").alias("i", "p"))
+             .groupBy("plant_id", F.get(names, F.col("i")).alias("class"))
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("avg"), (F.max("p") > F.min("p")).alias("drawn")))
+    m = F.least(F.greatest("mean", F.lit(0.001)), F.lit(0.999))
+    goal = F.when(F.col("mean") <= 0, 0.0).when(F.col("std") > 0, m).otherwise(F.least("mean", F.lit(1.0)))
+    error = F.when(F.col("drawn"), F.least("std", F.sqrt(m * (1 - m)))).otherwise(0.0) / F.sqrt(F.lit(1500.0))
+    return stats.join(cells.select("plant_id", "class", "mean", "std"), ["plant_id", "class"]).select(
+        "plant_id", "class", "n", "drawn", (F.abs(F.col("avg") - goal) <= 6 * error + 1e-9).alias("mean_fits"))
+
+
 ARRAYS_SQL = f"""
 cells AS (SELECT plant_id, i, mean, is_known, sum(mean) OVER (PARTITION BY plant_id ORDER BY i) AS cum,
     sum(mean) OVER (PARTITION BY plant_id) AS total FROM matrix),
