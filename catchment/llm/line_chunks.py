@@ -108,7 +108,9 @@ def removable(docs: DataFrame, min_words: int) -> DataFrame:
     places = map_pandas(docs.select("row", "text"), _rows(False),
                         "row long, place int, hash long, kind byte, a int, b int, words int")
     ids = docs.select("row", "id").distinct()
-    hits = materialize(places.join(found, ["hash", "kind"]).distinct().join(ids, "row"), "hits")
+    # What repeats grows with the corpus, hence none of it is broadcast.
+    hits = places.hint("merge").join(found, ["hash", "kind"]).distinct()
+    hits = materialize(hits.hint("merge").join(ids, "row"), "hits")
 
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")
     first = (hits.filter("kind = 0").groupBy("hash").agg(F.min(order).alias("first"))
@@ -142,7 +144,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed.withColumn("row", F.xxhash64("id", "text"))
 
     ranges = materialize(removable(keyed.select("id", "row", "text"), min_words), "ranges")
-    out = keyed.join(ranges, "row", "left")
+    out = keyed.hint("merge").join(ranges, "row", "left")
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.exists("ranges", lambda r: (r["a"] <= i) & (i < r["b"])))
     text = F.when(F.col("ranges").isNull(), F.col(at[text_col])).otherwise(F.array_join(left, "\n"))
