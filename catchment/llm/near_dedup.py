@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wide = components(candidates(classes, percent / 100, trees))
     wide = materialize(wide.withColumnRenamed("node", "id"), "wide")
     sizes = wide.groupBy("root").agg(F.count("*").alias("size"))
-    members = rows.join(wide.join(sizes, "root"), "id")
+    # The members grow with the corpus: they are dealt out with the texts, never broadcast.
+    members = rows.hint("merge").join(wide.join(sizes, "root"), "id")
     blocks = in_blocks(members, "size", EXACT_BLOCK, "root")
     blocks = blocks.repartition(*EXACT_KEYS).sortWithinPartitions(*EXACT_KEYS)
     links = map_pandas(blocks.select(*EXACT_KEYS, "id", "text"), _confirm(percent), "a long, b long")
