@@ -43,7 +43,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = near_dedup.near_duplicates(docs)
     gone = rows.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), "text_key")
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_key"))
-    return docs.join(gone, same, "left_anti")
+    # What goes grows with the corpus, hence it is not broadcast.
+    return docs.hint("merge").join(gone, same, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
