@@ -54,7 +54,8 @@ class Letters:
     """The letters of many words in one row, the ends of every stretch of them marked."""
 
     def __init__(self, words: list[str]):
-        parts = [_LETTERS.findall(w.lower()) for w in words]
+        # Superscripts, fractions and the like are numbers.
+        parts = [[p for p in _LETTERS.findall(w.lower()) if not p.isnumeric()] for w in words]
         marked = [_BEGIN + (_END + _BEGIN).join(p) + _END if p else "" for p in parts]
         self.sizes = np.array([len(m) for m in marked], dtype=np.int64)
         self.points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

@@ -35,6 +35,11 @@ def test_spans_of_mixed_text(languages):
     assert abs(spans[1][0] - 30) <= 2 and 0 < score < 0.7
 
 
+def test_numbers_of_any_kind_are_no_letters(languages):
+    got = list(language_id.label_texts(languages, ["\u00b2 \u2167 \u00bd 12", "x\u00b2"]))
+    assert got[0] == ("und", 0.0, []) and got[1][0] != "und"
+
+
 def test_script_rules_out_languages(languages):
     ((lang, score, _),) = language_id.label_texts(languages, ["слова"])
     assert (lang, score) == ("ru", 1.0)
