@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 HASH_SPACE = 1 << 31
+STRUCT_CHARS = 2_000_000  # of the texts whose results go back together
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,17 +51,24 @@ def map_pandas(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterable[pd
 
 
 def with_struct(df: DataFrame, name: str, fn: Callable[[list[str]], pd.DataFrame], text_col: str,
-                schema: str) -> DataFrame:
+                schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """``df`` with a struct of what ``fn`` gives for batches of whole texts.
 
-    All other columns stay where they are; only the text goes to the Python workers.
+    All other columns stay where they are; only the text goes to the Python workers. ``done``
+    runs at the end of a task, to free what a worker would carry on to its next one.
     """
     reachable(df.sparkSession)
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield fn(batch.tolist())
+        try:
+            for batch in batches:
+                texts = batch.tolist()
+                for part in pieces(texts, STRUCT_CHARS):
+                    yield fn(texts[part])
+        finally:
+            if done:
+                done()
 
     return df.withColumn(name, run(whole_text(text_col)))
 

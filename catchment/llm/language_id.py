@@ -26,8 +26,8 @@ SMOOTHING = 0.5
 SWITCH = 8.0  # log penalty of a change of language between two words
 LIMIT = 6.0  # a word counts for so much at most against the best language
 SCRIPT_SHARE = 0.01  # letters of a script a language needs to be a candidate for it
-WORD_CACHE = 500_000
-BLOCK_WORDS = 1_000_000
+WORD_CACHE = 200_000
+BLOCK_WORDS = 400_000
 
 # First code points of the ranges of scripts; a range lasts to the next one. Fixed values.
 SCRIPTS = (

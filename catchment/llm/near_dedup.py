@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import group_starts, map_pandas, merge_labels, whole_groups, whole_text
 from .components import components
-from .shingles import COORDINATES, mixed, shingle_set, sketches
+from .shingles import COORDINATES, forget, mixed, shingle_set, sketches
 
 SIMILARITY = 85  # percent
 TREES = 3
@@ -50,6 +50,7 @@ def _signatures(batches):
                 "id": part["id"], "text_key": part["text_key"], "n": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                 "sketch": [row.tobytes() for row in found]})
+    forget()
 
 
 def _tokens(column) -> np.ndarray:
@@ -193,6 +194,7 @@ def _confirm(percent: int):
                 label = merge_labels(e - s, a, b)
                 linked = np.flatnonzero(label != np.arange(e - s))
                 yield pd.DataFrame({"a": ids[s:e][linked], "b": ids[s:e][label[linked]]})
+        forget()
     return run
 
 

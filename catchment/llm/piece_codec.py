@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import map_pandas, with_struct
 
 SPACE = "▁"
-UNIT_CACHE = 500_000
+UNIT_CACHE = 200_000
 PAIR_CACHE = 1_000_000
 NONE = -1
-BATCH_POINTS = 1_000_000  # characters of one suffix array, but for a longer unit
-BLOCK_CHARS = 4_000_000
+BATCH_POINTS = 250_000  # characters of one suffix array, but for a longer unit
+BLOCK_CHARS = 2_000_000
 
 
 class Codec:
@@ -253,6 +253,12 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def _forget() -> None:
+    """Drop the units that the worker's codecs keep."""
+    for own in _CODECS.values():
+        own.cache = {}
+
+
 def _blocks(texts: list[str]):
     start = total = 0
     for i, t in enumerate(texts):
@@ -293,7 +299,7 @@ def with_pieces(docs: DataFrame, model: str, text_col: str = "text", name: str =
     whole: a unit without a boundary costs time linear in its length.
     """
     return with_struct(docs, name, _coded(model), text_col,
-                       "n_pieces long, piece_ids array<int>, round_trip boolean")
+                       "n_pieces long, piece_ids array<int>, round_trip boolean", _forget)
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +313,7 @@ def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
     in place of the numbers."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = with_struct(rows, "__pieces", _digested(model), "text",
-                      "n_pieces long, ids_sha256 string, round_trip boolean")
+                      "n_pieces long, ids_sha256 string, round_trip boolean", _forget)
     return out.select(F.col("id").alias(id_col), "__pieces.*")
 
 

@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 COORDINATES = 128
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 BLOCK = 1 << 17
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -49,6 +49,11 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def forget() -> None:
+    """Drop the words that a worker keeps."""
+    _known.clear()
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """The minimum of each of the coordinates' hash functions over each set, (sets x 128)."""
     out = np.full((len(sets), COORDINATES), 0xFFFFFFFF, dtype=np.uint32)
