@@ -10,12 +10,15 @@ What the sketches call similar within a wide margin is only a candidate. Candida
 gathered to components, and within these all pairs are decided on the full sets.
 
 Two sets with similarity s meet in one tree with depth 3 and two choices a node with
-probability 0.969 at s = 0.85 (x -> 1 - (1 - s x)^2 from x = 1), in one of three trees with
-0.99997. The margin of the sketches loses 2 in 100,000 there.
+probability 0.970 at s = 0.85 and 0.941 at 0.80 (x -> 1 - (1 - s x)^2 from x = 1). The number
+of trees and the margin of the sketches follow from the similarity asked for: each may lose 5
+in 100,000 of the links that are just as similar, by the number of equal tokens being binomial.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -28,17 +31,38 @@ from .components import components
 from .shingles import COORDINATES, forget, mixed, shingle_set, sketches
 
 SIMILARITY = 85  # percent
-TREES = 3
+LOSS = 5e-5  # of the links at the similarity asked for, by the trees and by the margin each
 BRANCHES = 2
 DEPTH = 3  # levels that all documents pass
 MAX_DEPTH = 8
 SMALL = 4096  # a node up to this size is compared, a larger one branches
 BLOCK = 512  # documents of a block of comparisons
-MARGIN = 92  # equal tokens of 128 that make a candidate at a similarity of 0.85
 EXACT_BLOCK = 256
 BATCH = 1024
 
 
+def tree_count(percent: int) -> int:
+    """Trees that lose no more than ``LOSS`` of the links at ``percent``."""
+    meet = 1.0
+    for _ in range(DEPTH):
+        meet = 1 - (1 - percent / 100 * meet) ** BRANCHES
+    return 1 if meet >= 1 else max(1, math.ceil(math.log(LOSS) / math.log(1 - meet)))
+
+
+def margin(percent: int) -> int:
+    """Equal bytes of the sketches that make a candidate; fewer are found in ``LOSS`` of the links.
+
+    One byte of a token is compared: different tokens agree in it once in 256.
+    """
+    p = percent / 100 + (1 - percent / 100) / 256
+    lost = 0.0
+    for equal in range(COORDINATES + 1):
+        lost += math.comb(COORDINATES, equal) * p ** equal * (1 - p) ** (COORDINATES - equal)
+        if lost > LOSS:
+            return equal
+    return COORDINATES
+
+
 def _signatures(batches):
     """(id, n, set_key, sketch) of every text."""
     for batch in batches:
@@ -105,8 +129,10 @@ def _grow(batches):
 KEYS = ["path", "first", "second"]
 
 
-def _compare(similarity: float):
+def _compare(percent: int):
     """Links that span the candidates of each block: every row with the first of its component."""
+    enough = margin(percent)
+
     def run(batches):
         for frame in whole_groups(batches, KEYS):
             n = frame["n"].to_numpy()
@@ -121,11 +147,11 @@ def _compare(similarity: float):
                 if len(a) == 0:
                     break
                 b = a + step
-                fits = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
+                fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
                 a, b = a[fits], b[fits]
                 for at in range(0, len(a), 1 << 14):
                     x, y = a[at:at + (1 << 14)], b[at:at + (1 << 14)]
-                    near = (small[x] == small[y]).sum(1, dtype=np.int16) >= MARGIN
+                    near = (small[x] == small[y]).sum(1, dtype=np.int16) >= enough
                     left.append(x[near])
                     right.append(y[near])
             if not left:
@@ -153,7 +179,7 @@ def in_blocks(rows: DataFrame, size: int, block: int, key: str) -> DataFrame:
             .drop("__blocks", "__own", "__other", size))
 
 
-def candidates(sets: DataFrame, similarity: float, trees: int) -> DataFrame:
+def candidates(sets: DataFrame, percent: int, trees: int) -> DataFrame:
     """Links (a, b) that span the candidate components of ``sets`` (id, n, sketch)."""
     rows = materialize(map_pandas(sets.select("id", "sketch"), _plant(trees, DEPTH), "id long, path long"),
                        "paths")
@@ -167,7 +193,7 @@ def candidates(sets: DataFrame, similarity: float, trees: int) -> DataFrame:
         ready = shared if last else shared.filter(F.col("size") <= SMALL)
         blocks = in_blocks(ready.join(short, "id"), "size", BLOCK, "path")
         blocks = blocks.repartition(*KEYS).sortWithinPartitions(*KEYS)
-        links = materialize(map_pandas(blocks.select(*KEYS, "id", "n", "bytes"), _compare(similarity),
+        links = materialize(map_pandas(blocks.select(*KEYS, "id", "n", "bytes"), _compare(percent),
                                        "a long, b long"), "candidates")
         found = links if found is None else found.unionByName(links)
         if last:
@@ -226,7 +252,7 @@ def exact_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    percent: int = SIMILARITY, trees: int = TREES) -> DataFrame:
+                    percent: int = SIMILARITY, trees: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id, text_key, kept) of every row.
 
     Null and empty texts have an empty set, are linked with nothing and kept. Rows with equal
@@ -244,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(usable.groupBy("set_key").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
 
-    wide = components(candidates(classes, percent / 100, trees))
+    wide = components(candidates(classes, percent, trees or tree_count(percent)))
     wide = materialize(wide.withColumnRenamed("node", "id"), "wide")
     sizes = wide.groupBy("root").agg(F.count("*").alias("size"))
     # The members grow with the corpus: they are dealt out with the texts, never broadcast.

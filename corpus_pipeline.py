@@ -15,6 +15,7 @@ from catchment.llm.common import id_crc
 from catchment.session import materialize
 
 LANGUAGE_SHARE = 0.34  # of a text's letters in one language: of three that share it, none is its own
+SIMILARITY = 80  # percent of shared word shingles that makes near-duplicates
 PIECES = "piece_bpe_32k.model"
 
 
@@ -40,7 +41,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates stays."""
-    rows = near_dedup.near_duplicates(docs)
+    rows = near_dedup.near_duplicates(docs, percent=SIMILARITY)
     gone = rows.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), "text_key")
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_key"))
     # What goes grows with the corpus, hence it is not broadcast.

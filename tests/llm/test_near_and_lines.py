@@ -95,6 +95,35 @@ def test_exact_rule_at_its_edge():
     assert links == {(0, 1), (1, 2)}
 
 
+def prefixes(shared, n):
+    """Pairs of texts of which one holds the first ``shared`` of the other's 100 shingles."""
+    out = []
+    for i in range(n):
+        words = [f"w{shared}x{i}x{k}" for k in range(104)]
+        out += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:shared + 4]))]
+    return out
+
+
+@pytest.mark.parametrize("shared, n", [(80, 1200), (82, 300), (79, 100)])
+def test_links_at_the_edge_of_eighty_percent(frame, shared, n):
+    rows = prefixes(shared, n)
+    out = near_dedup.near_duplicates(frame(rows, "doc_id long, text string"), percent=80).collect()
+    apart = sum(r.kept for r in out if r.doc_id % 2)
+    assert apart == (0 if shared >= 80 else n)
+
+
+def test_margin_and_trees_follow_the_similarity():
+    assert (near_dedup.margin(85), near_dedup.tree_count(85)) == (92, 3)
+    assert (near_dedup.margin(80), near_dedup.tree_count(80)) == (84, 4)
+
+
+def test_the_pipeline_drops_near_duplicates_from_eighty_percent(spark, frame):
+    import corpus_pipeline
+    rows = [(i + 10 * s, t) for s in (79, 80, 84) for i, t in prefixes(s, 1)]
+    left = corpus_pipeline.dedup_documents(spark, frame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == [790, 791, 800, 840]
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (3, 4), (9, 8)], [(i, i + 1) for i in range(40)],
                                    [(0, i) for i in range(1, 30)] + [(5, 5)]])
 def test_components(frame, edges):
