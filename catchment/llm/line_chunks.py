@@ -4,7 +4,8 @@ Line hashes, and a rolling hash over pairs of them, choose where a text is cut,
 passage is cut alike wherever it stands, whatever lines come before it. Chunks are counted
 over the whole corpus; of those that repeat, the bytes are compared. Neighbouring repeated
 chunks whose sequence repeats too are one passage, and a passage of enough words loses every
-chunk that is not the first of its kind.
+chunk that is not the first of its kind. Blank lines are no chunks: a passage goes on over them,
+and those inside it go with it.
 """
 
 from __future__ import annotations
@@ -43,17 +44,19 @@ def cuts(hashes: np.ndarray) -> list[int]:
 
 
 def chunks(text: str) -> list[tuple[int, int, int, str]]:
-    """(first line, end, hash, text) of the chunks of a text; an empty text has none."""
-    if not text:
-        return []
-    lines = text.split("\n")
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines),
+    """(first line, end, hash, text) of the chunks of a text.
+
+    Lines of white space belong to no chunk: the others are cut as if these were not there.
+    """
+    lines = [(n, x) for n, x in enumerate(text.split("\n")) if x and not x.isspace()]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for _, x in lines),
                          dtype=np.uint64, count=len(lines))
-    at = cuts(hashes)
+    at = cuts(hashes) if lines else []
     out = []
     for a, b in zip(at, at[1:]):
-        content = lines[a] if b == a + 1 else "\n".join(lines[a:b])
-        out.append((a, b, xxhash.xxh3_64_intdigest(content.encode("utf-8", "surrogatepass"), seed=1), content))
+        content = lines[a][1] if b == a + 1 else "\n".join(x for _, x in lines[a:b])
+        out.append((lines[a][0], lines[b - 1][0] + 1,
+                    xxhash.xxh3_64_intdigest(content.encode("utf-8", "surrogatepass"), seed=1), content))
     return out
 
 
@@ -62,7 +65,7 @@ def pair_hash(a: int, b: int) -> int:
 
 
 def _rows(with_text: bool):
-    """Chunks (kind 0) and sequences of two chunks (kind 1); white space alone is no chunk."""
+    """Chunks (kind 0) and sequences of two chunks (kind 1)."""
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), BATCH):
@@ -71,9 +74,6 @@ def _rows(with_text: bool):
                 for row, text in zip(part["row"].tolist(), part["text"].tolist()):
                     before = None
                     for n, (a, b, h, words) in enumerate(chunks(text)):
-                        if not words or words.isspace():
-                            before = None
-                            continue
                         out.append((row, n, h, 0, a, b, 0 if with_text else len(words.split())))
                         content.append(words)
                         if before is not None:
@@ -123,6 +123,10 @@ def removable(docs: DataFrame, min_words: int) -> DataFrame:
     runs = parts.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(line))
     runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "run")))
     gone = runs.filter((F.col("run_words") >= min_words) & F.col("is_first").isNull())
+    # Blank lines between two neighbouring chunks of a run go with them.
+    blank = F.lag("place").over(Window.partitionBy("row", "run").orderBy("place")) == F.col("place") - 1
+    start = F.when(blank, F.lag("b").over(Window.partitionBy("row", "run").orderBy("place"))).otherwise(F.col("a"))
+    gone = gone.withColumn("a", start)
     return gone.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
 
 

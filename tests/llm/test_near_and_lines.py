@@ -154,6 +154,17 @@ def test_repeated_passage_goes_from_all_but_the_first(frame):
             assert out[i]["__lines"]["n_removed"] == 2
 
 
+@pytest.mark.parametrize("blank", ["", "  \t", "\n"])
+def test_a_passage_goes_on_over_blank_lines(frame, blank):
+    parts = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(4)]
+    rows = [(i, "\n".join([f"own {i}", "", f"\n{blank}\n".join(parts), "", f"end {i}"])) for i in range(4)]
+    out = {r.doc_id: r for r in line_chunks.dedup_lines(frame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1]
+    for i in (1, 2, 3):
+        assert out[i].text == f"own {i}\n\n\nend {i}"
+        assert out[i]["__lines"]["n_removed"] == rows[i][1].count("\n") - 3
+
+
 def test_boilerplate_and_short_repeats_stay(frame):
     rows = [(i, "\n".join(["one two three four", prose(300 + i, 30), "five six"])) for i in range(5)]
     out = line_chunks.dedup_lines(frame(rows, "doc_id long, text string")).collect()
