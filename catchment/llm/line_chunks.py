@@ -2,14 +2,17 @@
 
 Line hashes, and a rolling hash over pairs of them, choose where a text is cut, so that a
 passage is cut alike wherever it stands, whatever lines come before it. Chunks are counted
-over the whole corpus; of those that repeat, the bytes are compared. Neighbouring repeated
-chunks whose sequence repeats too are one passage, and a passage of enough words loses every
-chunk that is not the first of its kind. Blank lines are no chunks: a passage goes on over them,
+over the whole corpus; of those that repeat, the bytes are compared. A passage is a sequence
+of repeated chunks with enough words. It is named by a 128-bit digest of its chunks and goes
+wherever the same sequence stands earlier; its first copy stays.
+Blank lines are no chunks: a passage goes on over them,
 and those inside it go with it.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -17,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import map_pandas, whole_text
+from .common import map_pandas, whole_groups, whole_text
 
 MIN_WORDS = 50  # of a passage
 KEEP = 8  # one in so many lines does not end (or begin) a chunk by its own hash
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 BATCH = 2000
-COLUMNS = ("row", "place", "hash", "kind", "a", "b", "words")
+COLUMNS = ("place", "hash", "a", "b", "words")
 
 
 def cuts(hashes: np.ndarray) -> list[int]:
@@ -60,74 +63,122 @@ def chunks(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def pair_hash(a: int, b: int) -> int:
-    return xxhash.xxh3_64_intdigest(a.to_bytes(8, "little") + b.to_bytes(8, "little"), seed=2)
-
-
 def _rows(with_text: bool):
-    """Chunks (kind 0) and sequences of two chunks (kind 1)."""
+    """Chunks, with their text or with their places."""
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at:at + BATCH]
-                out, content = [], []
-                for row, text in zip(part["row"].tolist(), part["text"].tolist()):
-                    before = None
+                out, content, source = [], [], []
+                for k, text in enumerate(part["text"].tolist()):
                     for n, (a, b, h, words) in enumerate(chunks(text)):
-                        out.append((row, n, h, 0, a, b, 0 if with_text else len(words.split())))
+                        out.append((n, h, a, b, 0 if with_text else len(words.split())))
                         content.append(words)
-                        if before is not None:
-                            out.append((row, n, pair_hash(before, h), 1, a, b, 0))
-                            content.append(None)
-                        before = h
-                columns = list(zip(*out)) if out else [()] * 7
-                kinds = (np.int64, np.int32, np.uint64, np.int8, np.int32, np.int32, np.int32)
+                        source.append(k)
+                columns = list(zip(*out)) if out else [()] * len(COLUMNS)
+                kinds = (np.int32, np.uint64, np.int32, np.int32, np.int32)
                 frame = {c: np.array(v, dtype=k) for c, v, k in zip(COLUMNS, columns, kinds)}
                 frame["hash"] = frame["hash"].view(np.int64)
                 if with_text:
-                    frame = {"hash": frame["hash"], "kind": frame["kind"], "content": content}
+                    frame = {"hash": frame["hash"], "content": content}
+                else:
+                    frame |= {c: part[c].to_numpy()[np.array(source, dtype=int)] for c in ("none", "id", "row")}
                 yield pd.DataFrame(frame)
     return run
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(hash, kind) of the chunks and sequences found twice or more in ``docs`` (row, text).
+    """(hash) of the chunks found twice or more in ``docs`` (row, text).
 
     Copies of a chunk are combined before the shuffle. Chunks with one hash but different
     bytes do not count as repeated.
     """
-    rows = map_pandas(docs.select("row", "text"), _rows(True), "hash long, kind byte, content string")
-    groups = rows.groupBy("hash", "kind").agg(
+    rows = map_pandas(docs.select("row", "text"), _rows(True), "hash long, content string")
+    groups = rows.groupBy("hash").agg(
         F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    return groups.filter("n > 1 AND low <=> high").select("hash", "kind")
+    return groups.filter("n > 1 AND low <=> high").select("hash")
+
+
+def shortest(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """The shortest sequences (first, end) of ``min_words`` or more from each first and to each last chunk.
+
+    Any sequence of so many words is covered by those that lie within it.
+    """
+    total = np.concatenate([[0], np.cumsum(words)])
+    every = np.arange(len(words))
+    end = np.searchsorted(total, total[:-1] + min_words)
+    first = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    out = {*zip(every[end <= len(words)].tolist(), end[end <= len(words)].tolist())}
+    out.update(zip(first[first >= 0].tolist(), (every[first >= 0] + 1).tolist()))
+    return sorted(out)
+
+
+def _passages(min_words: int):
+    """Passages of each row's repeated chunks: the shortest sequences, named by a digest.
+
+    ``before`` is the end of the chunk in front; ``again`` says that the row has had the passage.
+    """
+    def run(batches):
+        for frame in whole_groups(batches, ["row"]):
+            place, hashes = frame["place"].to_numpy(), frame["hash"].to_numpy()
+            a, b, words = frame["a"].to_numpy(), frame["b"].to_numpy(), frame["words"].to_numpy()
+            cut = np.append(True, (place[1:] != place[:-1] + 1)
+                            | (frame["row"].to_numpy()[1:] != frame["row"].to_numpy()[:-1]))
+            at = np.append(np.flatnonzero(cut), len(frame))
+            out, had, row = [], set(), None
+            rows = frame["row"].to_numpy()
+            for s, e in zip(at, at[1:]):
+                if rows[s] != row:
+                    row, had = rows[s], set()
+                if words[s:e].sum() < min_words:
+                    continue
+                for x, y in shortest(words[s:e], min_words):
+                    x, y = s + x, s + y
+                    name = hashlib.blake2b(hashes[x:y].tobytes(), digest_size=16).digest()
+                    out.append((name, x, y - 1, name in had))
+                    had.add(name)
+            if not out:
+                continue
+            names, first, last, again = (list(v) for v in zip(*out))
+            first, last = np.array(first), np.array(last)
+            front = np.where(place == 0, 0, np.append(0, b[:-1]))
+            front = np.where(cut & (place > 0), a, front)  # the chunk in front does not repeat
+            yield pd.DataFrame({
+                "digest": names, "none": frame["none"].to_numpy()[first], "id": frame["id"].to_numpy()[first],
+                "row": rows[first], "a": a[first], "before": front[first], "b": b[last],
+                "again": again})
+    return run
+
+
+PASSAGES = "digest binary, none boolean, id long, row long, a int, before int, b int, again boolean"
 
 
 def removable(docs: DataFrame, min_words: int) -> DataFrame:
-    """(row, ranges): the ranges of lines that each row of ``docs`` (id, row, text) loses."""
+    """(row, ranges): the ranges of lines that each row of ``docs`` (id, row, text) loses.
+
+    A passage goes unless its row is the first in the order to hold it; there only its repeats
+    further down go. Of a text that repeats within fewer words than a passage has, the first
+    period stays.
+    """
     found = materialize(repeated_chunks(docs), "chunks")
-    places = map_pandas(docs.select("row", "text"), _rows(False),
-                        "row long, place int, hash long, kind byte, a int, b int, words int")
-    ids = docs.select("row", "id").distinct()
+    named = docs.select(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "row", "text")
+    places = map_pandas(named, _rows(False), "none boolean, id long, row long, place int, hash long, a int, b int, "
+                                             "words int")
     # What repeats grows with the corpus, hence none of it is broadcast.
-    hits = places.hint("merge").join(found, ["hash", "kind"]).distinct()
-    hits = materialize(hits.hint("merge").join(ids, "row"), "hits")
-
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")
-    first = (hits.filter("kind = 0").groupBy("hash").agg(F.min(order).alias("first"))
-             .select("hash", "first.row", "first.place", F.lit(True).alias("is_first")))
-    parts = (hits.filter("kind = 0").join(first, ["hash", "row", "place"], "left")
-             .join(hits.filter("kind = 1").select("row", "place", F.lit(True).alias("joined")),
-                   ["row", "place"], "left"))
-    line = Window.partitionBy("row").orderBy("place")
-    follows = F.col("joined") & (F.lag("place").over(line) == F.col("place") - 1)
-    runs = parts.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(line))
-    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "run")))
-    gone = runs.filter((F.col("run_words") >= min_words) & F.col("is_first").isNull())
-    # Blank lines between two neighbouring chunks of a run go with them.
-    blank = F.lag("place").over(Window.partitionBy("row", "run").orderBy("place")) == F.col("place") - 1
-    start = F.when(blank, F.lag("b").over(Window.partitionBy("row", "run").orderBy("place"))).otherwise(F.col("a"))
-    gone = gone.withColumn("a", start)
-    return gone.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
+    hits = places.hint("merge").join(found, "hash").distinct()
+    hits = hits.repartition("row").sortWithinPartitions("row", "place")
+    passages = materialize(map_pandas(hits, _passages(min_words), PASSAGES), "passages")
+
+    first = (passages.groupBy("digest").agg(F.min(F.struct("none", "id", "row")).alias("first"))
+             .select("digest", "first.row", F.lit(True).alias("is_first")))
+    gone = passages.hint("merge").join(first, ["digest", "row"], "left").filter("is_first IS NULL OR again")
+    gone = gone.groupBy("row", "a", "before").agg(F.max("b").alias("b"))
+    # Passages that overlap, or with nothing but blank lines between them, are one range.
+    line = Window.partitionBy("row").orderBy("a")
+    reached = F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(reached >= F.col("before"), 0).otherwise(1)).over(line)
+    ranges = gone.withColumn("part", part).groupBy("row", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return ranges.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -135,7 +186,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``text_col`` rewritten, and ``__lines``: n_lines, n_removed, removed.
 
     ``removed`` lists the removed ranges of lines, ``first:end``, comma joined. The first of a
-    repeated chunk is the one with the smallest id, then the smallest hash of its row, then the
+    repeated passage is the one with the smallest id, then the smallest hash of its row, then the
     first in the text; a null id comes last. Rows that repeat both id and text are one row to
     this operator and are rewritten alike. Null texts stay null, empty ones empty, both with no
     lines. All other columns are carried along, whatever their names. Repeats inside one text

@@ -165,6 +165,62 @@ def test_a_passage_goes_on_over_blank_lines(frame, blank):
         assert out[i]["__lines"]["n_removed"] == rows[i][1].count("\n") - 3
 
 
+def sentence(name, words):
+    return " ".join(f"{name}{i}" for i in range(words))
+
+
+def deduped(frame, rows):
+    out = line_chunks.dedup_lines(frame(rows, "doc_id long, text string")).collect()
+    return {r.doc_id: r.text for r in out}
+
+
+def test_the_first_copy_keeps_lines_that_stand_earlier_alone(frame):
+    passage = "\n".join(["A heading", sentence("a", 30), "And.", sentence("b", 30)])
+    rows = [(1, "A heading\nother\nAnd."), (2, f"x\n{passage}\ny"), (3, f"{passage}\nz")]
+    assert deduped(frame, rows) == {1: rows[0][1], 2: rows[1][1], 3: "z"}
+
+
+def test_pairs_that_repeat_in_different_places_are_no_passage(frame):
+    a, b, c = (sentence(x, 20) for x in "abc")
+    rows = [(1, f"{a}\n{b}\none"), (2, f"{b}\n{c}\ntwo"), (3, f"{a}\n{b}\n{c}\nthree")]
+    assert deduped(frame, rows) == dict(rows)
+
+
+def test_the_first_period_of_a_repeated_line_stays(frame):
+    line = sentence("a", 10)
+    rows = [(1, "\n".join([line] * 12)), (2, "\n".join([line] * 7))]
+    assert deduped(frame, rows) == {1: line, 2: ""}
+
+
+def brute_passages(rows, min_words):
+    """Chunks in any sequence of enough words that an earlier text, or this one before, holds too."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        parts = line_chunks.chunks(text)
+        here, drop = set(), set()
+        for x in range(len(parts)):
+            for y in range(x + 1, len(parts) + 1):
+                key = tuple(p[3] for p in parts[x:y])
+                if sum(len(k.split()) for k in key) < min_words:
+                    continue
+                if key in seen or key in here:
+                    drop.update(range(x, y))
+                here.add(key)
+        seen.update(here)
+        lines = {j for n in drop for j in range(parts[n][0], parts[n][1])}
+        out[i] = "\n".join(s for j, s in enumerate(text.split("\n")) if j not in lines)
+    return out
+
+
+def test_passages_equal_brute_force(frame):
+    rng = random.Random(9)
+    pool = [sentence(f"p{i}x", rng.choice((1, 3, 9, 20, 60))) for i in range(40)]
+    runs = [[rng.choice(pool) for _ in range(rng.randint(2, 7))] for _ in range(12)]
+    rows = [(i, "\n".join(x for k in range(rng.randint(1, 4)) for x in
+                          [*rng.choice(runs), *[sentence(f"d{i}k{k}x", 12)] * rng.randint(0, 1)])) for i in range(100)]
+    assert deduped(frame, rows) == brute_passages(rows, line_chunks.MIN_WORDS)
+
+
 def test_boilerplate_and_short_repeats_stay(frame):
     rows = [(i, "\n".join(["one two three four", prose(300 + i, 30), "five six"])) for i in range(5)]
     out = line_chunks.dedup_lines(frame(rows, "doc_id long, text string")).collect()
