@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, language_id, line_chunks, mixing, near_dedup, neighbours, piece_codec, pii, token_counts, toxicity
+from . import exact_dedup, hard_negatives, language_id, line_chunks, mixing, near_dedup, neighbours, piece_codec, pii, token_counts, toxicity
 from .common import id_crc, table
 
 QUERIES, ORACLES = {}, {}
@@ -141,3 +141,30 @@ def op1(spark, sf_dir):
     machine = toxicity.fit_machine(docs, labels)
     out = toxicity.score_toxicity(docs, machine)
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op13_hard_negatives", """
+    WITH plain AS (
+      SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    scored AS (
+      SELECT a.id AS anchor, r.id AS id, a.label = r.label AS same,
+             CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score
+      FROM plain a JOIN plain r ON a.id <> r.id WHERE a.id % 100 = 0),
+    positive AS (
+      SELECT anchor, id, score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor AS anchor_id, p.id AS positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+           s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM positive p JOIN scored s ON s.anchor = p.anchor AND NOT s.same
+      AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+    QUALIFY rank <= 5""")
+def op13(spark, sf_dir):
+    """Every seventh label is made wrong first, as the contract of this query has it."""
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows)
