@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, hard_negatives, language_id, line_chunks, mixing, near_dedup, neighbours, piece_codec, pii, token_counts, toxicity
+from . import exact_dedup, hard_negatives, language_id, line_chunks, mixing, near_dedup, neighbours, piece_codec, pii, token_counts, toxicity, whitening
 from .common import id_crc, table
 
 QUERIES, ORACLES = {}, {}
@@ -168,3 +168,8 @@ def op13(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn(
         "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return hard_negatives.mine(rows)
+
+
+@query("op11_whiten_embeddings")
+def op11(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
