@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 HASH_SPACE = 1 << 31
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 STRUCT_CHARS = 2_000_000  # of the texts whose results go back together
 
 
@@ -30,7 +32,13 @@ def id_crc(column: str) -> Column:
 
 
 def reachable(spark: SparkSession) -> None:
-    """Python workers can import this package wherever the driver was started."""
+    """Python workers can import this package wherever the driver was started.
+
+    What goes to them in one batch is bounded in bytes where the session sets no bound itself, so
+    that long texts come a few at a time.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):

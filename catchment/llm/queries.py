@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, hard_negatives, language_id, line_chunks, mixing, near_dedup, neighbours, piece_codec, pii, token_counts, toxicity, whitening
+from . import (exact_dedup, hard_negatives, jaccard_join, language_id, line_chunks, mixing, near_dedup, neighbours,
+               piece_codec, pii, token_counts, toxicity, whitening)
 from .common import id_crc, table
 
 QUERIES, ORACLES = {}, {}
@@ -173,3 +174,32 @@ def op13(spark, sf_dir):
 @query("op11_whiten_embeddings")
 def op11(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_jaccard_join", r"""
+    WITH RECURSIVE worded AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS total FROM worded),
+    grams AS (
+      SELECT doc_id, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o,
+               lead(word, 4) OVER o) AS g
+      FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY i <= greatest(total - 4, 1)),
+    sets AS (SELECT DISTINCT doc_id, g FROM grams),
+    flat AS (SELECT doc_id, g, count(*) OVER (PARTITION BY doc_id) AS n FROM sets),
+    pairs AS (
+      SELECT a.doc_id AS a, b.doc_id AS b
+      FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n
+      HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+    reach AS (
+      SELECT doc_id AS a, doc_id AS b FROM documents
+      UNION
+      SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a)
+    SELECT d.doc_id, coalesce(f.n, 0) AS n_shingles, r.c AS component_id
+    FROM documents d JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON d.doc_id = r.a
+      LEFT JOIN (SELECT DISTINCT doc_id, n FROM flat) f ON d.doc_id = f.doc_id""")
+def op12(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("text_key")
