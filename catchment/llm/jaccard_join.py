@@ -35,7 +35,7 @@ PERCENT = 80
 LOCAL = 4  # texts of a batch that make a shingle a candidate for the end of the order
 OFTEN = 32  # texts that put a shingle there
 COMMON = 200_000  # shingles there at most: the commonest; the order changes no result
-SMALL = 512  # sets of a tile that are compared at once
+SMALL = 64  # sets of a tile that are all compared; larger ones are settled first
 BLOCK = 512
 STARS = 3  # sets of a large tile that all others are compared with first
 TILE = ["tile", "band"]
@@ -56,12 +56,14 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits((flips & 1).astype(np.uint8)).tobytes()
 
 
-def folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of 64-bit words, the longer ones folded to the shortest."""
-    words = min(map(len, maps)) // 8
+def folded(maps: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps as rows of so many 64-bit words, longer ones folded."""
+    sizes = np.array([len(m) // 8 for m in maps])
     out = np.empty((len(maps), words), dtype=np.uint64)
-    for own, one in zip(out, maps):
-        own[:] = np.bitwise_xor.reduce(np.frombuffer(one, dtype=np.uint64).reshape(-1, words), axis=0)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        flat = np.frombuffer(b"".join([maps[i] for i in at]), dtype=np.uint64)
+        out[at] = np.bitwise_xor.reduce(flat.reshape(len(at), size // words, words), axis=1)
     return out
 
 
@@ -83,7 +85,7 @@ def _facts(batches):
 
 
 def _heads(percent: int, common: np.ndarray):
-    """The first shingles of every set, (shingle, key, n, common)."""
+    """The first shingles of every set: rare ones as ``deal``, common ones by name and dealt at random."""
     def run(batches):
         for batch in batches:
             seen, parts = set(), []
@@ -103,11 +105,14 @@ def _heads(percent: int, common: np.ndarray):
             if not parts:
                 continue
             sizes = [len(p[0]) for p in parts]
+            shingle = np.concatenate([p[0] for p in parts])
+            key = np.repeat(np.frombuffer(b"".join(p[1] for p in parts), dtype=np.int64), sizes)
+            often = np.concatenate([np.arange(c) >= c - p[3] for p, c in zip(parts, sizes)])
+            deal = np.where(often, mixed(shingle ^ mixed(key.view(np.uint64))), shingle).view(np.int64)
             yield pd.DataFrame({
-                "shingle": np.concatenate([p[0] for p in parts]).view(np.int64),
-                "key": np.repeat(np.frombuffer(b"".join(p[1] for p in parts), dtype=np.int64), sizes),
-                "n": np.repeat([p[2] for p in parts], sizes),
-                "common": np.concatenate([np.arange(c) >= c - p[3] for p, c in zip(parts, sizes)])})
+                "deal": deal, "key": key, "n": np.repeat(np.array([p[2] for p in parts], dtype=np.int32), sizes),
+                "common": pd.array(shingle.view(np.int64), dtype="Int64")}).assign(
+                    common=lambda f: f["common"].mask(~often))
         forget()
     return run
 
@@ -116,11 +121,19 @@ def _runs(percent: int):
     """Sets that share a shingle and may be alike in size; tiles are named by their sets.
 
     Frames hold whole shingles, sorted by size. A stretch ends where the next size is out of
-    reach; equal lists of sets have equal names, whatever their shingle.
+    reach; equal lists of sets have equal names, whatever their shingle. Common shingles are
+    dealt out evenly in place of by name: they name tiles themselves.
     """
     def run(batches):
-        for frame in whole_groups(batches, ["shingle"]):
-            shingle, key, n = (frame[c].to_numpy() for c in ("shingle", "key", "n"))
+        for frame in whole_groups(batches, ["deal"]):
+            common = frame["common"].notna()
+            if common.any():
+                shared = frame.loc[common, ["common", "key", "n"]].rename(columns={"common": "tile"})
+                yield shared.astype({"tile": np.int64}).drop_duplicates()
+                frame = frame[~common]
+            if not len(frame):
+                continue
+            shingle, key, n = (frame[c].to_numpy() for c in ("deal", "key", "n"))
             new = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
             shingle, key, n = shingle[new], key[new], n[new]
             cut = np.append(True, (shingle[1:] != shingle[:-1]) | (100 * n[:-1] < percent * n[1:]))
@@ -144,34 +157,44 @@ def _pairs(percent: int, keys: list[str], labelled: bool):
     def run(batches):
         for frame in whole_groups(batches, keys):
             starts = group_starts(frame, keys)
-            nodes, n, own = (frame[c].to_numpy() for c in ("node", "n", "home"))
-            label = frame["label"].to_numpy() if labelled else nodes
-            left, right = [], []
-            for s, e in zip(starts, starts[1:]):
-                if e - s < 2 or not own[s:e].any():
-                    continue
-                maps = folded(frame["bitmap"].iloc[s:e].tolist())
-                size, mine, part = n[s:e], own[s:e], label[s:e]
-                for i in range(e - s - 1):
-                    # Visitors among each other meet in their own band.
-                    fits = (mine[i] | mine[i + 1:]) & (part[i + 1:] != part[i])
-                    fits &= 100 * np.minimum(size[i + 1:], size[i]) >= percent * np.maximum(size[i + 1:], size[i])
-                    at = np.flatnonzero(fits) + i + 1
-                    if not len(at):
-                        continue
-                    differ = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
-                    total = size[at] + size[i]
-                    at = at[(100 + percent) * (total - differ) >= 2 * percent * total]
-                    left.append(np.full(len(at), nodes[s + i]))
-                    right.append(nodes[s + at])
-                if sum(map(len, left)) > 1 << 18:
-                    yield _ordered(left, right)
-                    left, right = [], []
-            if left:
-                yield _ordered(left, right)
+            tile = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            # Bitmaps of a tile are compared at the length of its shortest.
+            sizes = np.array([len(m) // 8 for m in frame["bitmap"]])
+            words = np.minimum.reduceat(sizes, starts[:-1])[tile]
+            for length in np.unique(words).tolist():
+                part = frame[words == length]
+                label = part["label" if labelled else "node"].to_numpy()
+                yield from _allowed(percent, tile[words == length], part["node"].to_numpy(), part["n"].to_numpy(),
+                                    part["home"].to_numpy(), label, folded(part["bitmap"].tolist(), length))
     return run
 
 
+def _allowed(percent, tile, node, n, home, label, maps):
+    """Compares every row with the next of its tile, then with the one after that, and so on."""
+    everyone, left, right = np.arange(len(tile)), [], []
+    for step in range(1, len(tile)):
+        a = everyone[:-step][tile[:-step] == tile[step:]]
+        if not len(a):
+            break
+        b = a + step
+        # Visitors among each other meet in their own band.
+        fits = (home[a] | home[b]) & (label[a] != label[b])
+        fits &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[fits], b[fits]
+        for at in range(0, len(a), max(1, (1 << 20) // maps.shape[1])):
+            x, y = (v[at:at + max(1, (1 << 20) // maps.shape[1])] for v in (a, b))
+            differ = np.bitwise_count(maps[x] ^ maps[y]).sum(1, dtype=np.int64)
+            total = n[x] + n[y]
+            near = (100 + percent) * (total - differ) >= 2 * percent * total
+            left.append(node[x[near]])
+            right.append(node[y[near]])
+        if sum(map(len, left)) > 1 << 18:
+            yield _ordered(left, right)
+            left, right = [], []
+    if left:
+        yield _ordered(left, right)
+
+
 def _ordered(left, right) -> pd.DataFrame:
     a, b = np.concatenate(left), np.concatenate(right)
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
@@ -223,12 +246,10 @@ def linked_sets(rows: DataFrame, classes: DataFrame, counted: DataFrame, percent
              .orderBy(F.desc("texts"), "shingle").limit(COMMON).select("shingle").collect())
     common = np.sort(np.array([r[0] for r in often], dtype=np.int64).view(np.uint64))
 
-    heads = materialize(map_pandas(rows.select("text"), _heads(percent, common),
-                                   "shingle long, key long, n long, common boolean"), "heads")
-    rare = heads.filter("NOT common").select("shingle", "key", "n").repartition("shingle")
-    rare = map_pandas(rare.sortWithinPartitions("shingle", "n", "key"), _runs(percent), "tile long, key long, n long")
-    shared = heads.filter("common").select(F.col("shingle").alias("tile"), "key", "n")
-    tiles = rare.unionByName(shared).distinct().join(classes.select("key", "node", "n"), ["key", "n"]).drop("key")
+    heads = map_pandas(rows.select("text"), _heads(percent, common), "deal long, key long, n int, common long")
+    heads = heads.repartition("deal").sortWithinPartitions("deal", "n", "key")
+    tiles = map_pandas(heads, _runs(percent), "tile long, key long, n long")
+    tiles = tiles.distinct().join(classes.select("key", "node", "n"), ["key", "n"]).drop("key")
 
     # Every set lies in its own band and visits the one above.
     places = F.explode(F.array(F.struct(F.lit(True).alias("home"), band(F.col("n"), percent).alias("band")),
