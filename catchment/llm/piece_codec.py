@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import map_pandas, with_struct
 
 SPACE = "▁"
-UNIT_CACHE = 200_000
+UNIT_CACHE = 150_000  # units of a generation, of eight characters on average at most
 PAIR_CACHE = 1_000_000
 NONE = -1
-BATCH_POINTS = 250_000  # characters of one suffix array, but for a longer unit
+BATCH_POINTS = 500_000  # characters of one suffix array, but for a longer unit
 BLOCK_CHARS = 2_000_000
 
 
@@ -54,6 +54,9 @@ class Codec:
         self.ids = np.array([ids.get(p, -1) for p in self.pieces], dtype=np.int64)
         self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
         self.depth = int(self.lengths.max(initial=1))
+        self.spelt = np.zeros((len(self.pieces), self.depth), dtype=np.uint32)  # code points, then zeros
+        for row, p in enumerate(self.pieces):
+            self.spelt[row, :len(p)] = np.frombuffer(p.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         # Where the characters of a boundary stand together in no piece, nothing crosses it.
         plain_text = [self.text[i] for i in plain]
         inside = {c for p in plain_text if len(p) > 1 for c in p}
@@ -61,7 +64,11 @@ class Codec:
         alone = "\n" if "\n" not in inside else ""
         self.units = (re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|{alone}" if alone else ""))
                       if not crosses else re.compile(r"(?s).+"))
+        self.shown = ["" if i in special else t for i, t in enumerate(self.text)]
+        self.odd = np.zeros(size, dtype=bool)  # numbers of bytes, which only decode together
+        self.odd[list(self.byte)] = True
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs = np.zeros(0, dtype=np.int64)  # sorted; of the numbers of two pieces
         self.fits = np.zeros(0, dtype=bool)
 
@@ -121,21 +128,19 @@ class Codec:
         wide = np.zeros(len(points) + self.depth, dtype=kind)
         wide[:len(points)] = rank
         width = self.depth * np.dtype(kind).itemsize
-        columns = np.arange(self.depth)
-        keys = wide[suffixes[:, None] + columns].view(f"S{width}").ravel()
-
-        number = {chr(c): int(r) for c, r in zip(alphabet, np.arange(len(alphabet)) + (alphabet[0] != 0)) if c}
-        known = [i for i, p in enumerate(self.pieces) if all(c in number for c in p)]
-        low = np.zeros((len(known), self.depth), dtype=kind)
-        high = np.full((len(known), self.depth), top, dtype=kind)
-        for row, i in enumerate(known):
-            values = [number[c] for c in self.pieces[i]]
-            low[row, :len(values)] = values
-            high[row, :len(values)] = values
+        keys = np.lib.stride_tricks.sliding_window_view(wide, self.depth)[suffixes].view(f"S{width}").ravel()
+
+        # Pieces in ranks; only those whose characters all occur can be found.
+        place = np.minimum(np.searchsorted(alphabet, self.spelt), len(alphabet) - 1)
+        inside = self.spelt > 0
+        known = np.flatnonzero(((alphabet[place] == self.spelt) | ~inside).all(1))
+        inside = inside[known]
+        low = np.where(inside, place[known] + (alphabet[0] != 0), 0).astype(kind)
+        high = np.where(inside, low, top).astype(kind)
         first = np.searchsorted(keys, low.view(f"S{width}").ravel(), "left")
         last = np.searchsorted(keys, high.view(f"S{width}").ravel(), "right")
         count = last - first
-        which = np.repeat(np.array(known, dtype=np.int64), count)
+        which = np.repeat(known, count)
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = suffixes[np.repeat(first, count) + offset]
         return start, start + self.lengths[which], which
@@ -196,14 +201,18 @@ class Codec:
         return np.repeat(ends, repeat), fill
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Piece numbers of whole texts; a zero character splits units, since it is no piece."""
-        if len(self.cache) > UNIT_CACHE:
-            self.cache = {}
-        known = self.cache
+        """Piece numbers of whole texts; a zero character splits units, since it is no piece.
+
+        Units used lately are kept: when one generation of them is full, the one before it goes.
+        """
         split = [self.units.findall(self.normalise(t)) if t else [] for t in texts]
-        new = list({u for units in split for u in units if u not in known})
+        known, older = self.cache, self.older
+        asked = {u for units in split for u in units if u not in known}
         block, total = [], 0
-        for unit in [*new, None]:
+        for unit in [*asked, None]:
+            if unit in older:
+                known[unit] = older[unit]
+                continue
             if unit is None or total > BATCH_POINTS:
                 if block:
                     known.update(zip(block, self.encode_units(block)))
@@ -211,7 +220,11 @@ class Codec:
             if unit is not None:
                 block.append(unit)
                 total += len(unit) + 1
-        return [b"".join(map(known.__getitem__, units)) for units in split]
+        out = [b"".join(map(known.__getitem__, units)) for units in split]
+        if len(known) > UNIT_CACHE or sum(map(len, asked)) > UNIT_CACHE * 8:
+            self.older = known if len(known) <= 2 * UNIT_CACHE else {}
+            self.cache = {}
+        return out
 
     def encode_units(self, units: list[str]) -> list[bytes]:
         if not any("\0" in u for u in units):
@@ -225,21 +238,22 @@ class Codec:
             at += len(part)
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of piece numbers; bytes that are no UTF-8 become replacement characters."""
-        out: list[str] = []
+        ids = np.asarray(ids, dtype=np.int64)
+        shown = self.shown.__getitem__
+        at = np.flatnonzero(self.odd[ids])
+        # Neighbouring bytes, with hidden pieces between them or not, decode together.
+        out, done, plain = [], 0, ids.tolist()
         pending = bytearray()
-        byte, hidden, text = self.byte, self.hidden, self.text
-        for i in ids:
-            if i in byte:
-                pending.append(byte[i])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
+        for i in at.tolist():
+            between = "".join(map(shown, plain[done:i])) if i > done else ""
+            if between or any(p not in self.hidden for p in plain[done:i]):
+                out += [pending.decode("utf-8", "replace"), between]
                 pending.clear()
-            if i not in hidden:
-                out.append(text[i])
-        out.append(pending.decode("utf-8", "replace"))
+            pending.append(self.byte[plain[i]])
+            done = i + 1
+        out += [pending.decode("utf-8", "replace"), *map(shown, plain[done:])]
         whole = "".join(out).replace(SPACE, " ")
         return whole[1:] if whole[:1] == " " else whole
 
@@ -253,12 +267,6 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _forget() -> None:
-    """Drop the units that the worker's codecs keep."""
-    for own in _CODECS.values():
-        own.cache = {}
-
-
 def _blocks(texts: list[str]):
     start = total = 0
     for i, t in enumerate(texts):
@@ -278,7 +286,7 @@ def _coded(path: str):
             ids += [np.frombuffer(r, dtype="<i4") for r in own.encode(texts[a:b])]
         return pd.DataFrame({
             "n_pieces": [len(i) for i in ids], "piece_ids": ids,
-            "round_trip": [own.decode(i.tolist()) == t.replace(SPACE, " ") for i, t in zip(ids, texts)]})
+            "round_trip": [own.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)]})
     return run
 
 
@@ -299,7 +307,7 @@ def with_pieces(docs: DataFrame, model: str, text_col: str = "text", name: str =
     whole: a unit without a boundary costs time linear in its length.
     """
     return with_struct(docs, name, _coded(model), text_col,
-                       "n_pieces long, piece_ids array<int>, round_trip boolean", _forget)
+                       "n_pieces long, piece_ids array<int>, round_trip boolean")
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,7 +321,7 @@ def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
     in place of the numbers."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = with_struct(rows, "__pieces", _digested(model), "text",
-                      "n_pieces long, ids_sha256 string, round_trip boolean", _forget)
+                      "n_pieces long, ids_sha256 string, round_trip boolean")
     return out.select(F.col("id").alias(id_col), "__pieces.*")
 
 

@@ -192,15 +192,23 @@ def test_the_first_period_of_a_repeated_line_stays(frame):
     assert deduped(frame, rows) == {1: line, 2: ""}
 
 
+def lines_of(text):
+    """Each line that is not white space as a chunk of its own: (number, next, text)."""
+    return [(n, n + 1, x) for n, x in enumerate(text.split("\n")) if x.strip()]
+
+
 def brute_passages(rows, min_words):
-    """Chunks in any sequence of enough words that an earlier text, or this one before, holds too."""
+    """Lines in any sequence of enough words that an earlier text, or this one before, holds too.
+
+    Independent of the operator's boundaries: texts whose lines are all cut apart have to agree.
+    """
     seen, out = set(), {}
     for i, text in sorted(rows):
-        parts = line_chunks.chunks(text)
+        parts = lines_of(text)
         here, drop = set(), set()
         for x in range(len(parts)):
             for y in range(x + 1, len(parts) + 1):
-                key = tuple(p[3] for p in parts[x:y])
+                key = tuple(p[2] for p in parts[x:y])
                 if sum(len(k.split()) for k in key) < min_words:
                     continue
                 if key in seen or key in here:
@@ -218,6 +226,9 @@ def test_passages_equal_brute_force(frame):
     runs = [[rng.choice(pool) for _ in range(rng.randint(2, 7))] for _ in range(12)]
     rows = [(i, "\n".join(x for k in range(rng.randint(1, 4)) for x in
                           [*rng.choice(runs), *[sentence(f"d{i}k{k}x", 12)] * rng.randint(0, 1)])) for i in range(100)]
+    single = [r for r in rows if all(b == a + 1 for a, b, *_ in line_chunks.chunks(r[1]))]
+    assert len(single) > 80
+    rows = single
     assert deduped(frame, rows) == brute_passages(rows, line_chunks.MIN_WORDS)
 
 
@@ -227,53 +238,6 @@ def test_boilerplate_and_short_repeats_stay(frame):
     assert {r.doc_id: r.text for r in out} == dict(rows)
 
 
-def brute_lines(rows, min_words):
-    """The same rule, with dictionaries of texts in place of hashes and joins."""
-    seen, pairs, cut = {}, collections.Counter(), {}
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
-    count = collections.Counter()
-    for i in order:
-        parts = line_chunks.chunks(rows[i][1] or "")
-        cut[i] = parts
-        for n, (_, _, _, text) in enumerate(parts):
-            if not text or text.isspace():
-                continue
-            count[text] += 1
-            seen.setdefault(text, (i, n))
-            if n and parts[n - 1][3] and not parts[n - 1][3].isspace():
-                pairs[parts[n - 1][3], text] += 1
-    out = {}
-    for i, parts in cut.items():
-        gone, run = set(), []
-
-        def close():
-            if sum(len(parts[n][3].split()) for n in run) >= min_words:
-                gone.update(n for n in run if seen[parts[n][3]] != (i, n))
-            run.clear()
-
-        for n, (_, _, _, text) in enumerate(parts):
-            repeated = count[text] > 1
-            if not repeated or (run and pairs[parts[n - 1][3], text] < 2):
-                close()
-            if repeated:
-                run.append(n)
-        close()
-        lines = (rows[i][1] or "").split("\n")
-        drop = {j for n in gone for j in range(parts[n][0], parts[n][1])}
-        out[rows[i][0]] = "\n".join(x for j, x in enumerate(lines) if j not in drop)
-    return out
-
-
-def test_lines_equal_brute_force(frame):
-    rng = random.Random(4)
-    pool = [prose(i, rng.choice((3, 9, 20, 60))).replace("\n", " ") for i in range(60)]
-    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else prose(5000 + 31 * i + k, 12)
-                          for k in range(rng.randint(1, 15)))) for i in range(120)]
-    rows += [(200 + i, rows[i][1]) for i in range(5)]
-    out = {r.doc_id: r.text for r in line_chunks.dedup_lines(frame(rows, "doc_id long, text string")).collect()}
-    assert out == brute_lines(rows, line_chunks.MIN_WORDS)
-
-
 def test_lines_of_odd_rows(frame):
     df = odd_frame(frame)
     out = line_chunks.dedup_lines(df)
