@@ -58,11 +58,19 @@ def map_pandas(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterable[pd
     return df.mapInPandas(run, schema)
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores behind as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_struct(df: DataFrame, name: str, fn: Callable[[list[str]], pd.DataFrame], text_col: str,
                 schema: str, done: Callable[[], None] | None = None) -> DataFrame:
-    """``df`` with a struct of what ``fn`` gives for batches of whole texts.
+    """``df`` with a struct of what ``fn`` gives for batches of whole texts, as its last column.
 
-    All other columns stay where they are; only the text goes to the Python workers. ``done``
+    The struct has the first free of the names ``name``, ``name_`` and so on. All other columns stay; only the text goes to the Python workers. ``done``
     runs at the end of a task, to free what a worker would carry on to its next one.
     """
     reachable(df.sparkSession)
@@ -78,7 +86,7 @@ def with_struct(df: DataFrame, name: str, fn: Callable[[list[str]], pd.DataFrame
             if done:
                 done()
 
-    return df.withColumn(name, run(whole_text(text_col)))
+    return df.select("*", run(whole_text(text_col)).alias(free_name(df.columns, name)))
 
 
 def pieces(texts: Iterable[str], limit: int) -> Iterator[slice]:
@@ -103,7 +111,15 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     if n <= bound:
         return df
     chosen = F.pmod(F.xxhash64(key), F.lit(HASH_SPACE)) < int(HASH_SPACE * bound / n)
-    return df.filter(chosen).limit(2 * bound)
+    return at_most(df.filter(chosen), 2 * bound)
+
+
+def at_most(df: DataFrame, bound: int) -> DataFrame:
+    """``df``, or of more than ``bound`` rows the first by their hash: the same in any run.
+
+    Samples by the hash of an id are longer than expected only where one id has many rows.
+    """
+    return df.orderBy(F.xxhash64(*df.columns), *df.columns).limit(bound)
 
 
 def whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_SPACE, with_struct
+from .common import HASH_SPACE, at_most, with_struct
 
 UNDETERMINED = "und"
 TRAIN_DOCS = 1000  # documents a language is learned from, about
@@ -54,8 +54,8 @@ class Letters:
     """The letters of many words in one row, the ends of every stretch of them marked."""
 
     def __init__(self, words: list[str]):
-        # Superscripts, fractions and the like are numbers.
-        parts = [[p for p in _LETTERS.findall(w.lower()) if not p.isnumeric()] for w in words]
+        # Superscripts, fractions and the like are no letters; Han numerals are.
+        parts = [[p for p in _LETTERS.findall(w.lower()) if p.isalpha() or any(map(str.isalpha, p))] for w in words]
         marked = [_BEGIN + (_END + _BEGIN).join(p) + _END if p else "" for p in parts]
         self.sizes = np.array([len(m) for m in marked], dtype=np.int64)
         self.points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -271,14 +271,14 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     chosen = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(HASH_SPACE)) < share[F.col("lang")]
     samples: dict[str, list[str]] = {name: [] for name in sizes}
     bound = 2 * sum(min(n, train_docs) for n in sizes.values())
-    for row in rows.filter(chosen).select("lang", "text").limit(bound).collect():
+    for row in at_most(rows.filter(chosen).select("lang", "text"), bound).collect():
         samples[row.lang].append(row.text)
     return train(samples)
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text",
                   name: str = "__language") -> DataFrame:
-    """``docs`` with a struct of lang_pred, score and spans.
+    """``docs`` with a struct of lang_pred, score and spans as its last column.
 
     ``lang_pred`` has the most letters of the text; ``score`` is its share of all letters.
     Null and empty texts and texts without a letter are ``und`` with score 0 and no spans, as

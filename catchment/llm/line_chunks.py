@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import map_pandas, whole_groups, whole_text
+from .common import free_name, map_pandas, whole_groups, whole_text
 
 MIN_WORDS = 50  # of a passage
 KEEP = 8  # one in so many lines does not end (or begin) a chunk by its own hash
@@ -183,7 +183,9 @@ def removable(docs: DataFrame, min_words: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text_col`` rewritten, and ``__lines``: n_lines, n_removed, removed.
+    """``docs`` with ``text_col`` rewritten, and last ``__lines``: n_lines, n_removed, removed.
+
+    Where ``docs`` has such a column, underscores are put behind the name.
 
     ``removed`` lists the removed ranges of lines, ``first:end``, comma joined. The first of a
     repeated passage is the one with the smallest id, then the smallest hash of its row, then the
@@ -209,4 +211,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(
         *[(text if n == at[text_col] else F.col(n)).alias(c) for c, n in zip(docs.columns, own)],
         F.struct(n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"),
-                 F.coalesce(removed, F.lit("")).alias("removed")).alias("__lines"))
+                 F.coalesce(removed, F.lit("")).alias("removed")).alias(free_name(docs.columns, "__lines")))

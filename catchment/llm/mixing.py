@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import whole_text
+from .common import free_name, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # words of the mix, as a multiple of all words
@@ -71,9 +71,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
                 share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
-    """``docs`` with ``__mix``: struct of size, source_size, target and copies.
+    """``docs`` with, last, ``__mix``: struct of size, source_size, target and copies.
 
-    All other columns are carried along, whatever their names. Null texts have size 0, null
+    Where ``docs`` has such a column, underscores are put behind the name. All other columns are carried along, whatever their names. Null texts have size 0, null
     sources are a source of their own. A source of size 0 has target 0 and no copies, nor has
     any document of size 0. Repeated rows are separate documents next to each other in the
     order. An empty table stays empty. The same rows and seed give the same copies in any run;
@@ -120,7 +120,7 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *[F.col(n).alias(c) for c, n in zip(docs.columns, own)],
         F.struct("size", "source_size", "target",
                  F.when(F.col("size") > 0, F.least(copies, F.lit(math.ceil(cap)))).otherwise(0)
-                 .cast("int").alias("copies")).alias("__mix"))
+                 .cast("int").alias("copies")).alias(free_name(docs.columns, "__mix")))
 
 
 def _with_part(rows: DataFrame, bands: DataFrame) -> DataFrame:
@@ -136,6 +136,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
     rows = with_copies(docs, **options)
     names = [f"`{c}`" for c in docs.columns]
-    return (rows.filter(F.col("__mix.copies") > 0)
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies"))))
-            .select(*names))
+    copies = F.col(f"`{rows.columns[-1]}`.copies")
+    return rows.filter(copies > 0).select(
+        *names, F.explode(F.sequence(F.lit(1), copies)).alias(free_name(docs.columns, "__copy"))).select(*names)

@@ -299,7 +299,7 @@ def _digested(path: str):
 
 
 def with_pieces(docs: DataFrame, model: str, text_col: str = "text", name: str = "__pieces") -> DataFrame:
-    """``docs`` with a struct of n_pieces, piece_ids and round_trip.
+    """``docs`` with a struct of n_pieces, piece_ids and round_trip as its last column.
 
     Pieces are numbered as the model's own library does. ``round_trip`` tells whether decoding
     gives the text again; the model's own space mark reads as a blank. Null and empty texts

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_pandas, pieces, whole_text
+from .common import at_most, bounded_sample, map_pandas, pieces, whole_text
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000  # documents learned from, about
 CLEAN_SENTENCES = 15_000  # about
@@ -390,9 +390,9 @@ def fit_machine(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         # At most twice the bound of ids, hence small enough to broadcast.
         ids = known.filter(keep).select("id")
         sizes.append(ids.count())
-        chosen = bounded_sample(ids, F.col("id"), bound).limit(2 * bound)
-        found = (rows.join(F.broadcast(chosen), F.col("doc") == F.col("id"), "left_semi")
-                 .dropna(subset=["text"]).limit(2 * bound))
+        chosen = bounded_sample(ids, F.col("id"), bound)
+        found = at_most(rows.join(F.broadcast(chosen), F.col("doc") == F.col("id"), "left_semi")
+                        .dropna(subset=["text"]), 2 * bound)
         texts.append(sorted(r.text for r in found.select("text").collect()))
     return train(*texts, share=sizes[0] / max(sum(sizes), 1))
 
