@@ -26,17 +26,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     model = language_id.fit_languages(docs.filter(id_crc("doc_id") % 3 != 1))
     found = language_id.with_language(docs, model)
-    found = found.filter((F.col("__language.lang_pred") != language_id.UNDETERMINED)
-                         & (F.col("__language.score") >= LANGUAGE_SHARE))
-    return found.withColumn("lang", F.coalesce("lang", "__language.lang_pred")).select(*docs.columns)
+    own = found.columns[-1]
+    found = found.filter((F.col(f"{own}.lang_pred") != language_id.UNDETERMINED)
+                         & (F.col(f"{own}.score") >= LANGUAGE_SHARE))
+    return found.withColumn("lang", F.coalesce("lang", f"{own}.lang_pred")).select(
+        *[f"`{c}`" for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat are cut from all documents but the first; who loses every line goes."""
     left = line_chunks.dedup_lines(docs)
-    emptied = (F.col("__lines.n_removed") > 0) & (F.trim("text") == "")
+    emptied = (F.col(f"{left.columns[-1]}.n_removed") > 0) & (F.trim("text") == "")
     return left.filter(~F.coalesce(emptied, F.lit(False))).withColumn(
-        "n_chars", F.length("text").cast("long")).select(*docs.columns)
+        "n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The numbers of the pieces of each text, and whether decoding them gives it again."""
     rows = piece_codec.with_pieces(docs, public_tokenizers.path(PIECES))
-    return rows.select("doc_id", "lang", "source", "__pieces.*")
+    return rows.select("doc_id", "lang", "source", f"{rows.columns[-1]}.*")
 
 
 STAGES = [
