@@ -86,7 +86,8 @@ def with_struct(df: DataFrame, name: str, fn: Callable[[list[str]], pd.DataFrame
             if done:
                 done()
 
-    return df.select("*", run(whole_text(text_col)).alias(free_name(df.columns, name)))
+    # A filter on the struct would else be evaluated apart, with a second Python worker for each task.
+    return df.select("*", run.asNondeterministic()(whole_text(text_col)).alias(free_name(df.columns, name)))
 
 
 def pieces(texts: Iterable[str], limit: int) -> Iterator[slice]:
