@@ -19,6 +19,7 @@ from ..session import materialize, scratch_path
 from ..sources.readers import union_all
 from .clean import balanced_weights, column_medians, dense_codes, encode, impute_medians
 from .frames import available
+from .ledger import Ledger, content
 from .proba import (bootstrap_multiplicity, predicted_class, replicate_stats, restrict_advanced,
                     stratified_folds, stratified_holdout, stratified_split)
 
@@ -215,8 +216,14 @@ def skipped_buckets(train: DataFrame, predict: DataFrame, bucket: str,
 
 def fold_probabilities(labelled: DataFrame, id_col: str, label: str, numeric: Sequence[str],
                        bucket: str, settings: Mapping[str, ForestSettings], folds: int,
-                       replicates: int, seed: int) -> DataFrame:
-    """Out-of-fold probabilities: every row predicted by models that did not see it."""
+                       replicates: int, seed: int, ledger: Ledger | None = None) -> DataFrame:
+    """Out-of-fold probabilities: every row predicted by models that did not see it.
+
+    With a ``ledger`` the folds that an earlier run has finished, from the same rows and settings,
+    are reused.
+    """
+    given = {"settings": dict(settings), "features": list(numeric), "folds": folds, "replicates": replicates, "seed": seed}
+    based_on = [] if ledger is None else [content(labelled.select(id_col, label, bucket, *numeric))]
     assigned = materialize(stratified_folds(labelled, id_col, [label], folds, seed), "folds")
 
     def one(fold: int) -> DataFrame:
@@ -226,8 +233,11 @@ def fold_probabilities(labelled: DataFrame, id_col: str, label: str, numeric: Se
         return bucket_probabilities(train, known, id_col, label, numeric, bucket, settings,
                                     replicates, seed).withColumn("fold", F.lit(fold))
 
+    def stage(fold: int) -> DataFrame:
+        return ledger.stage("fold", str(fold), given, lambda: one(fold), based_on) if ledger else one(fold)
+
     return union_all(run_together(labelled.sparkSession,
-                               [lambda f=f: one(f) for f in range(1, folds + 1)]))
+                               [lambda f=f: stage(f) for f in range(1, folds + 1)]))
 
 
 def holdout_probabilities(labelled: DataFrame, id_col: str, label: str, numeric: Sequence[str],

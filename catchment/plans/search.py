@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.frames import join_null_safe
 from ..operators.jobstate import finished, same_settings
+from ..operators.ledger import content
 from ..operators.models import score_parameters
 from ..operators.proba import to_arrays
 from ..operators.validate import best_sets, fold_metrics, gas_rows, joint_score
@@ -46,7 +47,8 @@ def search(labelled: DataFrame, id_col: str, label: str, features: Sequence[str]
         [(k, str(v)) for k, v in {
             "label": label, "features": sorted(features), "bucket": bucket, "population": population,
             "folds": folds, "replicates": replicates, "seed": seed, "n_sim": n_sim,
-            "pool_size": pool_size, "classes": list(classes)}.items()], "key string, value string")
+            "pool_size": pool_size, "classes": list(classes),
+            "rows": content(labelled.select(id_col, label, population, bucket, *features))}.items()], "key string, value string")
     same_settings(settings, f"{folder}/settings")
     done = finished(spark, f"{folder}/scores")
     known = set() if done is None else {r[0] for r in done.select("param_key").distinct().collect()}

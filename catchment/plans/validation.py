@@ -12,6 +12,7 @@ from ..functions.reference import HOLDOUT_COUNTRIES
 from ..operators.draws import (beta_classes, beta_probabilities, distribution, draw_factors,
                                expand_draws, group_factors, mixture_factors, pool_table,
                                with_blocks, with_class_cdf)
+from ..operators.ledger import Ledger, content
 from ..operators.models import holdout_probabilities, run_together
 from ..operators.proba import to_arrays
 from ..operators.validate import (coverage_summary, few_plants, fold_metrics, gas_rows, group_sizes,
@@ -36,7 +37,7 @@ def group_intervals(plants: DataFrame, pools: DataFrame, keys: Sequence[str], id
     columns = ["means", "stds"] if probability_uncertainty else ["cdf"]
     rows = with_blocks(slim.select(id_col, *keys, population, *columns), n_sim, id_col)
     if probability_uncertainty:
-        rows = beta_classes(rows, id_col, seed, n - 1).drop("means", "stds")
+        rows = beta_classes(rows, id_col, seed, n - 1, fast).drop("means", "stds")
     draws = draw_factors(expand_draws(rows, id_col, n_sim, seed, n, None, None, fast),
                          pool_table(pools, classes), n, pool_size, fast)
     sampled = group_factors(draws, keys, population)
@@ -88,11 +89,13 @@ def holdout_run(labelled: DataFrame, id_col: str, label: str, country: str, popu
                 features: Sequence[str], settings, pools: DataFrame,
                 references: dict[str, DataFrame], classes: Sequence[str], n_sim: int, pool_size: int,
                 replicates: int, seed: int, countries: Sequence[str] = HOLDOUT_COUNTRIES,
-                bucket: str = "population_bucket", **modes) -> dict[str, DataFrame]:
+                bucket: str = "population_bucket", fast: bool = False, ledger: Ledger | None = None,
+                **modes) -> dict[str, DataFrame]:
     """Country by country: train without the held-out rows, predict them, compare intervals.
 
     ``modes`` are those of ``holdout_jobs``. The holdout of a whole country is named LCO. Jobs
-    are submitted together, and each one's probabilities are written when it is done.
+    are submitted together, and each one's probabilities are written when it is done. With a
+    ``ledger`` those that an earlier run has finished, from the same rows and settings, are reused.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label).isNotNull() & F.col(country).isNotNull()).withColumn(
@@ -104,11 +107,18 @@ def holdout_run(labelled: DataFrame, id_col: str, label: str, country: str, popu
     if not todo:
         raise RuntimeError("no country has enough labelled rows")
 
+    given = {"settings": settings, "features": list(features), "replicates": replicates, "seed": seed}
+    based_on = [] if ledger is None else [content(rows.select(id_col, label, country, bucket, *features))]
+
     def one(name: str, fraction: float | None) -> DataFrame:
-        found = holdout_probabilities(rows, id_col, label, features, bucket, settings, country,
-                                      name, fraction, replicates, seed)
         mark = "LCO" if fraction is None else str(round(fraction * 100))
-        return materialize(found.withColumn("holdout", F.lit(mark)), "holdout")
+
+        def fit() -> DataFrame:
+            return holdout_probabilities(rows, id_col, label, features, bucket, settings, country, name,
+                                         fraction, replicates, seed).withColumn("holdout", F.lit(mark))
+
+        return (ledger.stage("holdout", f"{name}#{mark}", given, fit, based_on) if ledger
+                else materialize(fit(), "holdout"))
 
     probabilities = union_all(run_together(spark, [lambda j=j: one(*j) for j in todo]))
     # A row may be held out more than once, by several fractions.
@@ -117,7 +127,7 @@ def holdout_run(labelled: DataFrame, id_col: str, label: str, country: str, popu
         rows.select(id_col, country, label, population), id_col), "plants")
     intervals = materialize(group_intervals(
         plants, pools, [country, "holdout"], id_col, label, population, references, classes, n_sim,
-        pool_size, seed, fast=True), "intervals")
+        pool_size, seed, fast=fast), "intervals")
     sizes = group_sizes(plants, [country, "holdout"], population, label)
     return {"jobs": jobs, "probabilities": probabilities, "intervals": intervals, "sizes": sizes,
             "summary": holdout_report(intervals, "holdout"),

@@ -142,10 +142,51 @@ def d4(t):
     return rounded(rounded(out, 9, ["m"]), 6, ["a", "b"])
 
 
-@query("D5_beta_draws")
+BETA_KEY = f"'{SEED}|' || sim || '|' || plant_id || '|' || i || '|beta|' || n"
+
+
+def proposals_sql(cells: str, low: int, high: int) -> str:
+    """First accepted proposal of rounds ``low`` to ``high`` for each cell, NULL where all fail."""
+    def half(k: int) -> str:
+        return (f"SELECT c.*, 2 * n + {k} AS place, {u(BETA_KEY, 2 * k)} + power(2, -33) AS x, "
+                f"{u(BETA_KEY, 2 * k + 1)} + power(2, -33) AS y FROM {cells} c, (SELECT unnest(range({low}, {high})) AS n)")
+    return f"""SELECT plant_id, i, sim, arg_min(CASE WHEN turned THEN q / (q + w) ELSE w / (q + w) END, place)
+        FILTER (WHERE gamma * v - ln(4) + s * ln(s / (q + w)) >= ln(x * x * y)) AS value
+      FROM (SELECT *, p * exp(v) AS w FROM (SELECT *, least(scale * ln(x / (1 - x)), 700) AS v FROM ({half(0)} UNION ALL {half(1)})))
+      GROUP BY plant_id, i, sim"""
+
+
+# The draws of a cell, try by try: envelope, proposals, the first that is accepted.
+BETA_SQL = f"""
+shaped AS (SELECT k.plant_id, c.i, c.class, mean, std, least(greatest(mean, 0.001), 0.999) AS m
+  FROM (SELECT DISTINCT plant_id FROM predicted) k CROSS JOIN (VALUES {CLASS_ROWS}) AS c(i, class)
+  LEFT JOIN predicted q ON q.plant_id = k.plant_id AND q.class = c.class),
+fitted AS (SELECT *, CASE WHEN mean > 0 AND std > 0 THEN m * (1 - m) / least(std * std, m * (1 - m) * 0.99) - 1 END AS cf FROM shaped),
+ab AS (SELECT plant_id, i, CASE WHEN cf > 0 THEN m * cf END AS a, CASE WHEN cf > 0 THEN (1 - m) * cf END AS b,
+  CASE WHEN coalesce(mean, 0) <= 0 THEN 0.0 WHEN std > 0 THEN m ELSE least(mean, 1.0) END AS fixed FROM fitted),
+scaled AS (SELECT *, a + b AS s, least(a, b) > 1 AS peaked,
+  CASE WHEN least(a, b) > 1 THEN sqrt((a + b - 2) / (2 * a * b - (a + b))) ELSE 1 / least(a, b) END AS scale FROM ab),
+envelope AS (SELECT plant_id, i, s, scale, fixed, CASE WHEN peaked THEN least(a, b) ELSE greatest(a, b) END AS p,
+  CASE WHEN peaked THEN greatest(a, b) ELSE least(a, b) END AS q, CASE WHEN peaked THEN least(a, b) + 1 / scale ELSE s END AS gamma,
+  a <> CASE WHEN peaked THEN least(a, b) ELSE greatest(a, b) END AS turned FROM scaled),
+beta_cells AS (SELECT e.*, sim FROM envelope e, (SELECT unnest(range({N_SIM})) AS sim)),
+early AS ({proposals_sql("(SELECT * FROM beta_cells WHERE s IS NOT NULL)", 0, 3)}),
+late AS ({proposals_sql("(SELECT b.* FROM beta_cells b JOIN early e USING (plant_id, i, sim) WHERE e.value IS NULL)", 3, 24)}),
+betas AS (SELECT b.plant_id, b.i, b.sim, CASE WHEN b.s IS NULL THEN b.fixed
+    ELSE coalesce(e.value, l.value, CASE WHEN turned THEN q ELSE p END / s) END AS p
+  FROM beta_cells b LEFT JOIN early e USING (plant_id, i, sim) LEFT JOIN late l USING (plant_id, i, sim))"""
+
+
+@query("D5_beta_draws", f"""
+WITH {BETA_SQL}
+SELECT plant_id, sim::INT AS sim, c.class, round(p, 9)::DOUBLE AS p FROM betas JOIN (VALUES {CLASS_ROWS}) AS c(i, class) ON c.i = betas.i
+/* {{predicted}} */""")
 def d5(t):
     arrays = to_arrays(t.role("predicted"), "plant_id", CLASSES)
-    return beta_probabilities(arrays, "plant_id", N_SIM, SEED)
+    drawn = beta_probabilities(arrays, "plant_id", N_SIM, SEED)
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    return rounded(drawn.select("plant_id", "sim", F.posexplode("probs").alias("i", "p")).select(
+        "plant_id", "sim", F.get(names, F.col("i")).alias("class"), "p"), 9, ["p"])
 
 
 @query("D5_beta_moments", """
@@ -193,6 +234,7 @@ def d6(t):
         "plant_id", "sim", "class_idx")
 
 
+BETA_MIX_KEY = f"'{SEED}|' || p.sim || '|' || p.plant_id || '|' || p.i"
 MIX_KEY = f"'{SEED}|' || s.sim || '|' || p.plant_id || '|' || c.i"
 
 
@@ -217,13 +259,24 @@ def d7(t):
     return rounded(distribution(mixed, ["plant_id"], ["ch4_ef", "n2o_ef"], bounded=True), 9)
 
 
-@query("D7_plant_mixture_beta")
+@query("D7_plant_mixture_beta", f"""
+WITH {pools_sql()}, {BETA_SQL},
+w AS (SELECT plant_id, i, sim, p / sum(p) OVER (PARTITION BY plant_id, sim) AS share FROM betas),
+x AS (SELECT p.plant_id, p.sim, sum(p.share * coalesce(a.ch4_ef, 0)) AS ch4_ef, sum(p.share * coalesce(b.n2o_ef, 0)) AS n2o_ef
+  FROM w p
+  LEFT JOIN pool a ON a.class_idx = p.i AND a.slot = floor({u(BETA_MIX_KEY, 1)} * {POOL})
+  LEFT JOIN pool b ON b.class_idx = p.i AND b.slot = floor({u(BETA_MIX_KEY, 2)} * {POOL}) GROUP BY 1, 2)
+SELECT plant_id, round(avg(ch4_ef), 9) AS ch4_ef_Mean, round(quantile_cont(ch4_ef, 0.025), 9) AS ch4_ef_P2_5,
+  round(quantile_cont(ch4_ef, 0.5), 9) AS ch4_ef_Median, round(quantile_cont(ch4_ef, 0.975), 9) AS ch4_ef_P97_5,
+  0::BIGINT AS ch4_ef_Missing, round(avg(n2o_ef), 9) AS n2o_ef_Mean, round(quantile_cont(n2o_ef, 0.025), 9) AS n2o_ef_P2_5,
+  round(quantile_cont(n2o_ef, 0.5), 9) AS n2o_ef_Median, round(quantile_cont(n2o_ef, 0.975), 9) AS n2o_ef_P97_5,
+  0::BIGINT AS n2o_ef_Missing FROM x GROUP BY 1 /* {{n2o}} {{fb}} {{ch4}} {{predicted}} */""")
 def d7_beta(t):
     arrays = to_arrays(t.role("predicted"), "plant_id", CLASSES)
     pools = pool_table(materialize(query_pools(t, POOL), "pools"), CLASSES)
     mixed = mixture_factors(beta_probabilities(arrays, "plant_id", N_SIM, SEED), pools,
                             "plant_id", N_SIM, POOL, SEED, CLASSES)
-    return distribution(mixed, ["plant_id"], ["ch4_ef", "n2o_ef"], bounded=True)
+    return rounded(distribution(mixed, ["plant_id"], ["ch4_ef", "n2o_ef"], bounded=True), 9)
 
 
 def grouped_plants(t):
@@ -231,15 +284,9 @@ def grouped_plants(t):
         t.role("plant").select("plant_id", "NAME_0", "served"), "plant_id")
 
 
-@query("D8_group_factors")
-def d8(t):
-    plants = beta_classes(with_blocks(grouped_plants(t), N_SIM, "plant_id"), "plant_id", SEED,
-                          len(CLASSES) - 1)
-    pools = pool_table(materialize(query_pools(t, POOL), "pools"), CLASSES)
-    draws = draw_factors(expand_draws(plants.drop("means", "stds"), "plant_id", N_SIM, SEED,
-                                      len(CLASSES), None, None), pools, len(CLASSES), POOL)
-    return group_factors(draws, ["NAME_0"], "served")
-
+FACTORS_SQL = f"""efs AS (SELECT p.plant_id, p.sim, a.ch4_ef, b.n2o_ef FROM picks p
+  LEFT JOIN pool a ON a.class_idx = p.ci AND a.slot = floor({u(f"'{SEED}|' || p.sim || '|' || p.plant_id", 1)} * {POOL})
+  LEFT JOIN pool b ON b.class_idx = p.ci AND b.slot = floor({u(f"'{SEED}|' || p.sim || '|' || p.plant_id", 2)} * {POOL}))"""
 
 FIXED_SQL = f"""
 cells AS (SELECT q.plant_id, c.i, sum(q.mean) FILTER (WHERE k.i <= c.i) AS cum, sum(q.mean) AS total
@@ -247,9 +294,29 @@ cells AS (SELECT q.plant_id, c.i, sum(q.mean) FILTER (WHERE k.i <= c.i) AS cum,
 sims AS (SELECT unnest(range({N_SIM})) AS sim),
 picks AS (SELECT plant_id, sim, coalesce(min(i) FILTER (WHERE {u(f"'{SEED}|' || sim || '|' || plant_id")} < cum / total), {len(CLASSES) - 1}) AS ci
   FROM cells, sims GROUP BY 1, 2),
-efs AS (SELECT p.plant_id, p.sim, a.ch4_ef, b.n2o_ef FROM picks p
-  LEFT JOIN pool a ON a.class_idx = p.ci AND a.slot = floor({u(f"'{SEED}|' || p.sim || '|' || p.plant_id", 1)} * {POOL})
-  LEFT JOIN pool b ON b.class_idx = p.ci AND b.slot = floor({u(f"'{SEED}|' || p.sim || '|' || p.plant_id", 2)} * {POOL}))"""
+{FACTORS_SQL}"""
+
+
+PICKED_SQL = f"""{BETA_SQL},
+sums AS (SELECT *, sum(p) OVER (PARTITION BY plant_id, sim ORDER BY i) AS cum, sum(p) OVER (PARTITION BY plant_id, sim) AS total FROM betas),
+picks AS (SELECT plant_id, sim, CASE WHEN max(total) > 0 THEN
+    coalesce(min(i) FILTER (WHERE {u(f"'{SEED}|' || sim || '|' || plant_id || '|class'")} * total < cum), {len(CLASSES) - 1})
+    ELSE {len(CLASSES) - 1} END AS ci FROM sums GROUP BY 1, 2),
+{FACTORS_SQL}"""
+
+
+@query("D8_group_factors", f"""
+WITH {pools_sql()}, {PICKED_SQL}
+SELECT NAME_0, sim::INT AS sim, round(sum(CASE WHEN n2o_ef IS NOT NULL THEN served * n2o_ef END) / sum(CASE WHEN n2o_ef IS NOT NULL THEN served END), 12) AS n2o_ef,
+  round(sum(CASE WHEN ch4_ef IS NOT NULL THEN served * ch4_ef END) / sum(CASE WHEN ch4_ef IS NOT NULL THEN served END), 12) AS ch4_ef
+FROM efs JOIN plant ON plant.plant_id = efs.plant_id GROUP BY 1, 2 /* {{n2o}} {{fb}} {{ch4}} {{predicted}} {{plant}} */""")
+def d8(t):
+    plants = beta_classes(with_blocks(grouped_plants(t), N_SIM, "plant_id"), "plant_id", SEED,
+                          len(CLASSES) - 1)
+    pools = pool_table(materialize(query_pools(t, POOL), "pools"), CLASSES)
+    draws = draw_factors(expand_draws(plants.drop("means", "stds"), "plant_id", N_SIM, SEED,
+                                      len(CLASSES), None, None), pools, len(CLASSES), POOL)
+    return rounded(group_factors(draws, ["NAME_0"], "served"), 12)
 
 
 @query("D9_fixed_probability", f"""
