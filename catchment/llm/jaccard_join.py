@@ -38,6 +38,7 @@ COMMON = 200_000  # shingles there at most: the commonest; the order changes no
 SMALL = 64  # sets of a tile that are all compared; larger ones are settled first
 BLOCK = 512
 STARS = 3  # sets of a large tile that all others are compared with first
+NAMED = 32  # tiles of a set by which pairs are told once
 TILE = ["tile", "band"]
 LEAST_BITS = 64
 
@@ -164,13 +165,18 @@ def _pairs(percent: int, keys: list[str], labelled: bool):
             for length in np.unique(words).tolist():
                 part = frame[words == length]
                 label = part["label" if labelled else "node"].to_numpy()
+                shared = (part["tile"].tolist(), [frozenset(x) for x in part["tiles"]]) if labelled else None
                 yield from _allowed(percent, tile[words == length], part["node"].to_numpy(), part["n"].to_numpy(),
-                                    part["home"].to_numpy(), label, folded(part["bitmap"].tolist(), length))
+                                    part["home"].to_numpy(), label, folded(part["bitmap"].tolist(), length), shared)
     return run
 
 
-def _allowed(percent, tile, node, n, home, label, maps):
-    """Compares every row with the next of its tile, then with the one after that, and so on."""
+def _allowed(percent, tile, node, n, home, label, maps, shared):
+    """Compares every row with the next of its tile, then with the one after that, and so on.
+
+    With ``shared``, the tiles' names and some tiles of each row, a pair is told in the first of
+    those that both have; a pair without any is told wherever it is found.
+    """
     everyone, left, right = np.arange(len(tile)), [], []
     for step in range(1, len(tile)):
         a = everyone[:-step][tile[:-step] == tile[step:]]
@@ -186,8 +192,13 @@ def _allowed(percent, tile, node, n, home, label, maps):
             differ = np.bitwise_count(maps[x] ^ maps[y]).sum(1, dtype=np.int64)
             total = n[x] + n[y]
             near = (100 + percent) * (total - differ) >= 2 * percent * total
-            left.append(node[x[near]])
-            right.append(node[y[near]])
+            x, y = x[near], y[near]
+            if shared:
+                name, known = shared
+                told = [name[i] == min(known[i] & known[j], default=name[i]) for i, j in zip(x.tolist(), y.tolist())]
+                x, y = x[np.array(told, dtype=bool)], y[np.array(told, dtype=bool)]
+            left.append(node[x])
+            right.append(node[y])
         if sum(map(len, left)) > 1 << 18:
             yield _ordered(left, right)
             left, right = [], []
@@ -294,10 +305,13 @@ def linked_sets(rows: DataFrame, classes: DataFrame, counted: DataFrame, percent
         "label", F.coalesce("label", "node"))
     unsettled = open_.groupBy(*TILE).agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                          F.count("*").alias("size")).filter("low < high").select(*TILE, "size")
-    open_ = open_.join(unsettled, TILE).withColumn("id", F.col("node")).join(signed, "node")
+    open_ = materialize(open_.join(unsettled, TILE).withColumn("id", F.col("node")), "unsettled")
+    # Sets that meet in one tile of a band meet in all tiles that both have there.
+    names = open_.groupBy("node", "band").agg(F.slice(F.sort_array(F.collect_set("tile")), 1, NAMED).alias("tiles"))
+    open_ = open_.join(names, ["node", "band"]).join(signed, "node")
     keys = [*TILE, "first", "second"]
     dealt = in_blocks(open_, "size", BLOCK, "tile").repartition(*keys).sortWithinPartitions(*keys)
-    rest = map_pandas(dealt.select(*keys, "home", "node", "n", "bitmap", "label"), _pairs(percent, keys, True),
+    rest = map_pandas(dealt.select(*keys, "home", "node", "n", "bitmap", "label", "tiles"), _pairs(percent, keys, True),
                       "a long, b long").distinct()
     return links.unionByName(decide(materialize(rest, "pairs")))
 

@@ -52,7 +52,7 @@ def test_edges_of_the_rule(frame):
 
 
 def test_large_tiles_in_blocks(frame, monkeypatch):
-    for name, value in (("SMALL", 6), ("BLOCK", 5), ("STARS", 1), ("LOCAL", 2), ("OFTEN", 3)):
+    for name, value in (("SMALL", 6), ("BLOCK", 5), ("STARS", 1), ("LOCAL", 2), ("OFTEN", 3), ("NAMED", 2)):
         monkeypatch.setattr(jaccard_join, name, value)
     passage = prose(3, 60)
     rows = family(150, seed=9)
