@@ -15,7 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path
+from ..session import materialize
+from ..sources.buckets import BucketedParts, bucketed
 from ..sources.readers import union_all
 from .clean import balanced_weights, column_medians, dense_codes, encode, impute_medians
 from .frames import available
@@ -130,35 +131,32 @@ def bagged_probabilities(train: DataFrame, predict: DataFrame, id_col: str, labe
                          classes: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """(replicate, id, class, proba) from one model per bootstrap replicate.
 
-    Replicates are weights on one training table, so no copy of it is made; they are stored
-    by replicate, and each replicate's scores are written when it is done and read back with
-    the others. The classes are those given, or else the sorted training labels.
+    Replicates are weights on one training table, so no copy of it is made: a row carries its
+    number of draws for every replicate, and a replicate reads its own without a join. Rows to
+    predict are bucketed by id, and each replicate's scores are written into the same buckets when
+    it is done, so statistics per row over all replicates move nothing. The classes are those
+    given, or else the sorted training labels.
     """
     classes = list(classes) if classes is not None else table_classes(train, label)
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
-    table = materialize(_assembled(train.withColumn("__y", position.cast("double")), features)
-                        .select(id_col, "__y", "features"), "train")
-    wanted = materialize(_assembled(predict, features).select(id_col, *carry, "features"),
-                         "predict")
     spark = train.sparkSession
-    drawn_path, cube_path = scratch_path(spark, "weights"), scratch_path(spark, "cube")
-    weights = bootstrap_multiplicity(table, id_col, replicates, seed)
-    weights.repartition("replicate").write.partitionBy("replicate").parquet(drawn_path)
-    stored = spark.read.schema(weights.schema).parquet(drawn_path)
+    base = materialize(_assembled(train.withColumn("__y", position.cast("double")), features)
+                       .select(id_col, "__y", "features"), "train")
+    drawn = (bootstrap_multiplicity(base, id_col, replicates, seed).groupBy(id_col)
+             .agg(F.map_from_entries(F.collect_list(F.struct("replicate", "multiplicity"))).alias("__m")))
+    table = materialize(base.join(drawn, id_col), "drawn")  # a row that no replicate draws is not needed
+    wanted = bucketed(_assembled(predict, features).select(id_col, *carry, "features"), id_col, name="predict")
+    cube = BucketedParts(spark, id_col, part="replicate", name="cube")
     names = F.array(*[F.lit(c) for c in classes])
-    kept: list[DataFrame] = []
 
     def replicate(b: int) -> None:
-        drawn = table.join(stored.where(F.col("replicate") == b).drop("replicate"), id_col)
-        scored = settings.probabilities(drawn, wanted, [id_col, *carry], len(classes), seed + b)
+        mine = table.withColumn("multiplicity", F.col("__m")[b]).where("multiplicity > 0").drop("__m")
+        scored = settings.probabilities(mine, wanted, [id_col, *carry], len(classes), seed + b)
         cells = scored.select(id_col, *carry, F.posexplode("__p").alias("__c", "proba"))
-        out = cells.select(F.lit(b).alias("replicate"), id_col, *carry,
-                           F.get(names, F.col("__c")).alias("class"), "proba")
-        kept.append(out.limit(0))
-        out.write.parquet(f"{cube_path}/part={b:06d}")
+        cube.write(b, cells.select(id_col, *carry, F.get(names, F.col("__c")).alias("class"), "proba"))
 
     run_together(spark, [lambda b=b: replicate(b) for b in range(replicates)])
-    return spark.read.schema(kept[0].schema).parquet(f"{cube_path}/part=*"), classes
+    return cube.read().select("replicate", id_col, *carry, "class", "proba"), classes
 
 
 def table_classes(rows: DataFrame, label: str, limit: int = MAX_CLASSES) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.uniform import pick, uniform
@@ -77,14 +77,14 @@ def restrict_advanced(long: DataFrame, keys: Sequence[str], level: str,
     """For advanced rows: disallowed classes to zero, renormalised, uniform if nothing is left."""
     ok = F.col("class").isin(list(allowed))
     advanced = F.coalesce(F.trim(F.col(level)) == "Advanced", F.lit(False))
-    sums = (long.where(advanced & ok).groupBy(*keys)
-            .agg(F.sum(proba).alias("__s"), F.count(F.lit(1)).alias("__k")))
-    joined = long.join(sums, list(keys), "left")
+    row = Window.partitionBy(*keys)  # the classes of one row: a cube that lies in buckets stays there
+    usable = F.when(advanced & ok, F.col(proba))
+    marked = long.select("*", F.sum(usable).over(row).alias("__s"), F.count(F.when(advanced & ok, 1)).over(row).alias("__k"))
     inside = (F.when(F.col("__s") > 0, F.col(proba) / F.col("__s"))
               .otherwise(1.0 / F.col("__k")))
-    value = (F.when(~advanced | F.col("__k").isNull(), F.col(proba))
+    value = (F.when(~advanced | (F.col("__k") == 0), F.col(proba))
              .when(ok, inside).otherwise(0.0))
-    return joined.select(*[value.alias(proba) if c == proba else F.col(c) for c in long.columns])
+    return marked.select(*[value.alias(proba) if c == proba else F.col(c) for c in long.columns])
 
 
 def replicate_stats(cube: DataFrame, id_col: str, proba: str = "proba") -> DataFrame:

@@ -18,7 +18,8 @@ from ..operators.proba import (bootstrap_multiplicity, full_matrix, predicted_cl
 from ..operators.validate import binary_report, roc_auc
 from ..plans.search import search
 from .aggregates import query_pools
-from ..session import scratch_path
+from ..session import materialize, scratch_path
+from ..sources.buckets import BucketedParts
 from .helpers import rounded
 from .joins import MATRIX_SQL
 from .registry import query, u
@@ -111,7 +112,7 @@ def supplier_cube(t):
     cells = lines.groupBy("plant_id", "b", "class").agg(F.count(F.lit(1)).alias("n"))
     totals = cells.groupBy("plant_id", "b").agg(F.sum("n").alias("total"))
     return cells.join(totals, ["plant_id", "b"]).select(
-        "plant_id", "class", (F.col("n") * F.lit(1.0) / F.col("total")).alias("proba"))
+        "plant_id", "b", "class", (F.col("n") * F.lit(1.0) / F.col("total")).alias("proba"))
 
 
 @query("I8_replicate_stats", f"""
@@ -122,6 +123,19 @@ def i8(t):
     return rounded(replicate_stats(supplier_cube(t), "plant_id"), 9)
 
 
+@query("I8_stored_cube", f"""
+WITH {CUBE_SQL} SELECT plant_id, class, round(avg(proba), 9) AS mean, round(stddev_pop(proba), 9) AS std,
+  round(quantile_cont(proba, 0.025), 9) AS ci_lower, round(quantile_cont(proba, 0.5), 9) AS median,
+  round(quantile_cont(proba, 0.975), 9) AS ci_upper FROM cube GROUP BY 1, 2""")
+def i8_stored(t):
+    """The same statistics over a cube in buckets, one part for each return status."""
+    cube = materialize(supplier_cube(t), "cells")
+    parts = BucketedParts(t.spark, "plant_id")
+    for b, name in enumerate(r[0] for r in cube.select("b").distinct().orderBy("b").collect()):
+        parts.write(b, cube.where(F.col("b") == name).drop("b"), deal=True)
+    return rounded(replicate_stats(parts.read(), "plant_id"), 9)
+
+
 @query("I8_predicted_class", f"""
 SELECT plant_id, arg_min(q.class, (-mean, i)) AS predicted, max(mean) AS confidence,
   round(-sum(least(greatest(mean, 1e-10), 1 - 1e-10) * ln(least(greatest(mean, 1e-10), 1 - 1e-10))), 9) AS entropy
