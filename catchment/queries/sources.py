@@ -12,7 +12,7 @@ from ..operators.aggregate import grouped_sums
 from ..session import scratch_path
 from ..sources.readers import (read_named, read_optional, read_probabilities, read_table,
                                read_union)
-from ..sources.writers import (read_versioned, upsert, write_buckets, write_csv, write_table,
+from ..sources.writers import (read_versioned, replace_buckets, upsert, write_buckets, write_csv, write_table,
                                write_tables)
 from ..functions.columns import population_bucket, status_label
 from .helpers import rounded
@@ -167,6 +167,19 @@ def s13(t):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("S13_versioned_buckets", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state, o_orderpriority AS priority
+FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority <> '5-LOW'
+UNION ALL SELECT o_orderkey, 'part', o_orderpriority FROM orders WHERE o_orderstatus = 'P'""")
+def s13_versions(t):
+    path = scratch_path(t.spark, "buckets")
+    state = F.expr("CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END").alias("state")
+    rows = t.orders.select("o_orderkey", state, F.col("o_orderpriority").alias("priority"))
+    replace_buckets(rows, path, ["state"])
+    replace_buckets(rows.where("state <> 'part' AND priority <> '5-LOW'"), path, ["state"], replace_all=False)
+    return read_versioned(t.spark, path)
+
+
 @query("S14_upsert", """
 SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value
 FROM events GROUP BY 1, 2""")

@@ -6,8 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.jobstate import keep_last
-from .readers import _hadoop_glob, union_all
+from .commitlog import BucketLog
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
@@ -35,28 +34,24 @@ def write_buckets(df: DataFrame, path: str, by: Sequence[str], replace_all: bool
     return path
 
 
-def latest_version(spark: SparkSession, path: str) -> str | None:
-    """The newest completely written version of a versioned table."""
-    done = _hadoop_glob(spark, f"{path}/v=*/_SUCCESS")
-    return done[-1].rsplit("/", 1)[0] if done else None
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest version of a table that ``upsert`` or ``replace_buckets`` wrote."""
+    return BucketLog(spark, path).version()
 
 
 def read_versioned(spark: SparkSession, path: str) -> DataFrame | None:
-    version = latest_version(spark, path)
-    return spark.read.parquet(version) if version else None
+    return BucketLog(spark, path).read()
 
 
-def upsert(new: DataFrame, path: str, keys: Sequence[str], order: str) -> str:
+def upsert(new: DataFrame, path: str, keys: Sequence[str], order: str, buckets: int = 64) -> int:
     """Add rows, keep the last one per key, and publish the result as a new version.
 
-    A version counts only once its success marker exists, so a job that dies
-    half-way leaves the previous table in place.
+    Only buckets that hold new keys are rewritten. A job that dies half-way leaves the previous
+    version in place; of two that change the same buckets at once, one gets ``Conflict``.
     """
-    spark = new.sparkSession
-    old = read_versioned(spark, path)
-    rows = new if old is None else union_all([old, new])
-    previous = latest_version(spark, path)
-    number = int(previous.rsplit("=", 1)[1]) + 1 if previous else 0
-    target = f"{path}/v={number:08d}"
-    keep_last(rows, keys, order).write.mode("overwrite").parquet(target)
-    return target
+    return BucketLog(new.sparkSession, path).prepare_upsert(new, keys, order, buckets).publish()
+
+
+def replace_buckets(df: DataFrame, path: str, by: Sequence[str], replace_all: bool = True) -> int:
+    """``write_buckets`` for readers and writers at the same time: a new version by the values of ``by``."""
+    return BucketLog(df.sparkSession, path).prepare_replace(df, by, replace_all).publish()
