@@ -72,6 +72,31 @@ def test_index_is_ordered_by_key_and_compares_bytes(spark, frame, monkeypatch):
     assert got == {1: 3, 3: 3, 2: 2, 4: 4}
 
 
+def test_owners_hold_whole_buckets(spark, frame):
+    df = frame([(i, f"text {i % 300}") for i in range(900)], "doc_id long, text string")
+    index, keyed = exact_dedup.build_index(df.repartition(5), capacity=20)
+    rows = index.withColumn("file", F.input_file_name()).collect()
+    owners, ranges = defaultdict(set), defaultdict(list)
+    for r in rows:
+        owners[r.depth, r.bucket].add(r.file)
+        ranges[r.file].append(r.key % 2**64)
+    assert len(rows) == 300 and {r.group_size for r in rows} == {3}
+    assert len(owners) > 15 and all(len(files) == 1 for files in owners.values())
+    spans = sorted((min(k), max(k)) for k in ranges.values())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    at = {r.key: (r.depth, r.bucket) for r in rows}
+    assert all(at[r.key] == (r.depth, r.bucket) for r in keyed.collect())
+
+
+def test_nothing_is_found_without_the_directory(spark, frame, monkeypatch):
+    df = frame([(i, "same" if i % 2 else f"t{i}") for i in range(40)], "doc_id long, text string")
+    assert {r.group_size for r in exact_dedup.exact_duplicates(df).collect()} == {1, 20}
+    whole = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: (lambda s, d: (s.limit(0), d))(*whole(*a)))
+    assert exact_dedup.build_index(df)[0].count() == 0
+    assert exact_dedup.exact_duplicates(df).count() == 0
+
+
 def test_no_python_on_the_main_path(frame):
     for df in (exact_dedup.exact_duplicates(odd_frame(frame)), mixing.mix(odd_frame(frame))):
         plan = df._jdf.queryExecution().toString()
