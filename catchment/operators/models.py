@@ -12,7 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -274,34 +274,80 @@ def score_parameters(labelled: DataFrame, id_col: str, label: str, numeric: Sequ
 
 @dataclass(frozen=True)
 class BoosterSettings:
+    """``max_iter`` rounds at most; ``patience`` rounds without a smaller loss end the training."""
+
     max_iter: int = 2000
     max_depth: int = 6
     step: float = 0.1
-    tolerance: float = 0.01
+    patience: int = 50
     subsample: float = 0.8
 
 
-def _booster(settings: BoosterSettings, seed: int, max_iter: int,
-             validation: str | None) -> GBTClassifier:
-    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                          maxIter=max_iter, maxDepth=settings.max_depth,
-                          stepSize=settings.step, subsamplingRate=settings.subsample, seed=seed,
-                          validationTol=settings.tolerance)
-    return model.setValidationIndicatorCol(validation) if validation else model
+def _booster(settings: BoosterSettings, seed: int, max_iter: int) -> GBTClassifier:
+    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
+                         maxIter=max_iter, maxDepth=settings.max_depth,
+                         stepSize=settings.step, subsamplingRate=settings.subsample, seed=seed)
+
+
+def stopping_round(losses: DataFrame, keys: Sequence[str], round_col: str, loss: str,
+                   patience: int) -> DataFrame:
+    """(keys, best_round, best_loss, last_round, stopped) of every curve of losses.
+
+    A curve is read in the order of its rounds up to ``last_round``, the first that comes ``patience``
+    rounds after the smallest loss before it (the earliest of equal ones), or else its end; NULL
+    and NaN are no losses. A curve has one row a round, so a group is as long as a training.
+    """
+    known = losses.select(*keys, F.col(round_col).alias("__r"), F.nanvl(F.col(loss).cast("double"), F.lit(None).cast("double")).alias("__l"))
+    so_far = Window.partitionBy(*keys).orderBy("__r")
+    whole = Window.partitionBy(*keys)
+    at = known.withColumn("__best", F.min(F.when(F.col("__l").isNotNull(), F.struct("__l", "__r"))).over(so_far))
+    over = F.col("__r") - F.col("__best.__r") >= patience
+    ended = at.withColumn("__stop", F.min(F.when(over, F.col("__r"))).over(whole))
+    read = ended.where(F.col("__stop").isNull() | (F.col("__r") <= F.col("__stop")))
+    best = F.min("__best")  # the last prefix has the smallest loss, hence the least pair
+    return read.groupBy(*keys).agg(best.alias("__b"), F.max("__r").alias("last_round"),
+                                   F.max(F.col("__stop").isNotNull()).alias("stopped")).select(
+        *keys, F.col("__b.__r").alias("best_round"), F.col("__b.__l").alias("best_loss"), "last_round", "stopped")
+
+
+def train_until(train: DataFrame, valid: DataFrame, settings: BoosterSettings, seed: int):
+    """(model of the best round, losses by round, the choice).
+
+    The loss of every round on ``valid`` comes from one pass over it. Trainings double in length
+    until the rule stops one, or ``max_iter`` is reached: the first rounds of a longer training
+    with the same seed are those of the shorter one, so all of them cost twice the last at most.
+    """
+    spark = train.sparkSession
+    rounds = min(settings.max_iter, 2 * settings.patience)
+    while True:
+        model = _booster(settings, seed, rounds).fit(train)
+        curve = [float(x) for x in model.evaluateEachIteration(valid)]
+        losses = materialize(spark.createDataFrame(  # as many rows as rounds
+            list(enumerate(curve, 1)), "round int, loss double"), "losses")
+        choice = stopping_round(losses, [], "round", "loss", settings.patience).first()
+        if rounds >= settings.max_iter or choice.stopped:
+            break
+        rounds = min(settings.max_iter, 2 * rounds)
+    best = choice.best_round or rounds  # without any loss all rounds count
+    return (model if best == rounds else _booster(settings, seed, best).fit(train)), losses, choice
 
 
 def train_binary(observed: DataFrame, id_col: str, label: str, features: Sequence[str],
                  settings: BoosterSettings, seed: int):
-    """(model, medians, scored test rows): split, early stop, evaluate, refit on everything."""
+    """(model, medians, scored test rows).
+
+    The rows are split; the round with the smallest loss on the validation rows is chosen, its
+    model scores the test rows, and as many rounds are fitted on everything.
+    """
     base = observed.select(id_col, F.col(label).cast("double").alias("label"), *features)
     split = materialize(stratified_split(base, id_col, ["label"], seed), "split")
     train = split.where(F.col("split") == "train")
     medians = column_medians(train, features)
     ready = _assembled(impute_medians(split, medians, features), features)
     fitted = balanced_weights(ready.where(F.col("split") != "test"), "label")
-    staged = materialize(fitted.withColumn("is_valid", F.col("split") == "valid")
-                         .select(id_col, "label", "weight", "is_valid", "features"), "fit")
-    stopped = _booster(settings, seed, settings.max_iter, "is_valid").fit(staged)
+    staged = materialize(fitted.select(id_col, "label", "weight", "split", "features"), "fit")
+    stopped, _, _ = train_until(staged.where(F.col("split") == "train"),
+                                     staged.where(F.col("split") == "valid"), settings, seed)
     scored = (stopped.transform(ready.where(F.col("split") == "test"))
               .select(id_col, "label", F.col("prediction").alias("predicted"),
                       vector_to_array("probability")[1].alias("score")))
@@ -310,7 +356,7 @@ def train_binary(observed: DataFrame, id_col: str, label: str, features: Sequenc
     everything = materialize(
         balanced_weights(_assembled(impute_medians(base, all_medians, features), features), "label")
         .select(id_col, "label", "weight", "features"), "refit")
-    model = _booster(settings, seed, stopped.getNumTrees, None).fit(everything)
+    model = _booster(settings, seed, stopped.getNumTrees).fit(everything)
     return model, all_medians, scored
 
 

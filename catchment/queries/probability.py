@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import population_bucket
@@ -12,7 +13,7 @@ from ..operators.jobstate import changed_settings, fingerprint
 from ..operators.models import (BoostedSettings, BoosterSettings, ForestSettings,
                                 bagged_probabilities, bucket_probabilities, class_probabilities,
                                 feature_importance, fold_probabilities, holdout_probabilities, skipped_buckets,
-                                predict_binary, train_binary)
+                                predict_binary, stopping_round, train_binary)
 from ..operators.proba import (bootstrap_multiplicity, full_matrix, predicted_class,
                                replicate_stats, restrict_advanced, to_wide)
 from ..operators.validate import binary_report, roc_auc
@@ -248,7 +249,7 @@ def documents(t):
 
 def digestion_model(t):
     observed = documents(t).join(t.labels, "doc_id")
-    return train_binary(observed, "doc_id", "quality", DOC_FEATURES, BoosterSettings(max_iter=5), 42)
+    return train_binary(observed, "doc_id", "quality", DOC_FEATURES, BoosterSettings(max_iter=20, patience=5), 42)
 
 
 @query("I13_binary_model")
@@ -257,6 +258,20 @@ def i13(t):
     return scored
 
 
+@query("I13_stopping_round", """
+WITH c AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, o_totalprice AS l FROM orders),
+p AS (SELECT x.o_custkey, x.r, min(y.l) AS m FROM c x JOIN c y ON y.o_custkey = x.o_custkey AND y.r <= x.r GROUP BY 1, 2),
+q AS (SELECT p.o_custkey, p.r, m, min(c.r) AS b FROM p JOIN c ON c.o_custkey = p.o_custkey AND l = m AND c.r <= p.r GROUP BY 1, 2, 3),
+s AS (SELECT o_custkey, min(r) FILTER (r - b >= 4) AS stop, max(r) AS last FROM q GROUP BY 1)
+SELECT q.o_custkey, b::INT AS best_round, m AS best_loss, r::INT AS last_round, stop IS NOT NULL AS stopped
+FROM q JOIN s ON s.o_custkey = q.o_custkey WHERE r = coalesce(stop, last)""")
+def i13_stop(t):
+    """Order values of a customer as a curve of losses, read with a patience of 4."""
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    curves = t.orders.select("o_custkey", turn.alias("round"), "o_totalprice")
+    return stopping_round(curves, ["o_custkey"], "round", "o_totalprice", 4)
+
+
 @query("I14_binary_prediction")
 def i14(t):
     model, medians, _ = digestion_model(t)

@@ -1,10 +1,11 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from catchment.operators.models import (BoostedSettings, BoosterSettings, ForestSettings,
                                         bagged_probabilities, feature_importance, fold_probabilities,
-                                        predict_binary, train_binary)
+                                        predict_binary, stopping_round, train_binary, train_until)
 from catchment.operators.proba import bootstrap_multiplicity, predicted_class, replicate_stats
 from catchment.operators.validate import binary_report, roc_auc
 
@@ -59,3 +60,38 @@ def test_report_counts(spark):
     rows = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0), (1, 1)], "y int, p int")
     got = {r["class"]: (r.precision, r.recall, r.support) for r in binary_report(rows, "y", "p").collect()}
     assert got == {1: (1.0, 2 / 3, 3), 0: (2 / 3, 1.0, 2)}
+
+
+def read_curve(curve, patience):
+    best = None
+    for r, x in curve:
+        if x is not None and not math.isnan(x) and (best is None or x < best[1]):
+            best = (r, x)
+        if best and r - best[0] >= patience:
+            return (*best, r, True)
+    return (*(best or (None, None)), curve[-1][0], False)
+
+
+def test_stopping_round_equals_a_loop(frame):
+    rng = random.Random(3)
+    curves = {k: [(r, rng.choice((0.5, 1.0, 2.0, rng.random(), None, math.nan))) for r in range(1, rng.randint(2, 30))]
+              for k in range(60)} | {99: [(1, None), (2, math.nan)], 100: [(1, 1.0)] + [(r, 1.0) for r in range(2, 9)]}
+    rows = [(k, r, x) for k, c in curves.items() for r, x in c]
+    for patience in (1, 4, 100):
+        out = stopping_round(frame(rows, "k int, r int, x double"), ["k"], "r", "x", patience).collect()
+        assert {r.k: tuple(r)[1:] for r in out} == {k: read_curve(c, patience) for k, c in curves.items()}
+
+
+def test_training_stops_at_the_smallest_loss(spark):
+    """Labels that the feature does not explain: more rounds only learn the noise."""
+    from pyspark.ml.feature import VectorAssembler
+    rows = spark.range(160).select("id", (F.xxhash64("id") % 2 == 0).cast("double").alias("label"),
+                                   F.lit(1.0).alias("weight"), F.rand(4).alias("x"))
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows).cache()
+    train, valid = rows.where("id < 100"), rows.where("id >= 100")
+    model, losses, choice = train_until(train, valid, BoosterSettings(40, 3, patience=3), 5)
+    curve = [(r["round"], r.loss) for r in losses.orderBy("round").collect()]
+    assert choice.stopped and len(curve) < 40
+    assert tuple(choice) == read_curve(curve, 3) and model.getNumTrees == choice.best_round
+    again = model.evaluateEachIteration(valid)
+    assert all(math.isclose(a, x, rel_tol=1e-9) for a, (_, x) in zip(again, curve))
