@@ -323,10 +323,15 @@ def donor_members(plants: DataFrame, matched: DataFrame, filled: DataFrame, plan
                         .otherwise(1.0 / F.col("donor_n"))))
 
 
-def keep_informed(members: DataFrame, informed: DataFrame, plant_id: str) -> DataFrame:
-    """Drop plants without class information and renormalise the weights per donor."""
+def keep_informed(members: DataFrame, informed: DataFrame, plant_id: str,
+                  counted: str | None = None) -> DataFrame:
+    """Drop plants without class information and renormalise the weights per donor.
+
+    ``counted`` names a column for the number of plants that the donor keeps.
+    """
     kept = members.join(informed.select(plant_id), plant_id, "left_semi")
-    totals = kept.groupBy("donor_id").agg(F.sum("weight").alias("__kept"))
+    count = [F.count(F.lit(1)).alias(counted)] if counted else []
+    totals = kept.groupBy("donor_id").agg(F.sum("weight").alias("__kept"), *count)
     return (kept.join(totals, "donor_id")
             .withColumn("weight", F.col("weight") / F.when(F.col("__kept") > 0, F.col("__kept"))
                         .otherwise(F.lit(1.0)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.emissions import ACTIVITY_COLUMNS, TREATMENT_CLASSES, secondary_loads, total_loads
 from ..operators.aggregate import weighted_rate
-from ..operators.draws import (POOL_SIZE, city_reductions, city_table, donor_factors,
+from ..operators.draws import (MEMBERS_PER_PART, POOL_SIZE, city_reductions, city_table, donor_factors,
                                donor_series, group_emissions, level_emissions, level_loads,
                                level_table, pool_table)
 from ..operators.frames import lookup, require_columns
@@ -35,6 +35,7 @@ class RunSettings:
     fast: bool = True
     city_every: int = 1
     small_country: float = SMALL_COUNTRY
+    per_part: int = MEMBERS_PER_PART
 
 
 def map_cities(cities: DataFrame, plants: DataFrame, row_id: str, plant_id: str, served: str,
@@ -80,20 +81,21 @@ def informed_plants(matrix: DataFrame, plant_id: str, classes: Sequence[str]) ->
 
 def draw_donors(members: DataFrame, matrix: DataFrame, pools: DataFrame, plant_id: str,
                 settings: RunSettings) -> DataFrame:
-    """(donor_id, sim, weighted quantities)."""
+    """(donor_id, parts, part, sim, weighted quantities): see :func:`donor_factors`."""
     plants = informed_plants(matrix, plant_id, settings.classes)
-    kept = keep_informed(members, plants, plant_id)
+    kept = keep_informed(members, plants, plant_id, "n_members")
     return donor_factors(kept, plants, pool_table(pools, settings.classes), plant_id,
                          settings.classes, settings.n_sim, settings.pool_size, settings.seed,
-                         settings.probability_uncertainty, settings.fast)
+                         settings.probability_uncertainty, settings.fast, per_part=settings.per_part)
 
 
 def summarise(loads: DataFrame, factors: DataFrame, row_id: str, settings: RunSettings,
               levels: Mapping[str, Sequence[str]] = LEVELS) -> dict[str, DataFrame]:
     """Level, city and reduction tables from city loads (with ``donor_id``) and donor draws."""
     finest = list(dict.fromkeys(k for keys in levels.values() for k in keys))
-    emissions = level_emissions(group_emissions(loads, factors, finest, settings.seed), levels)
-    series = donor_series(factors, settings.seed, settings.city_every)
+    emissions = level_emissions(group_emissions(
+        loads, factors, finest, settings.seed, settings.n_sim), levels)
+    series = donor_series(factors, settings.seed, settings.city_every, settings.n_sim)
     reductions = city_reductions(loads, series, row_id, ["NAME_0"])
     return {
         "levels": level_table(emissions, level_loads(loads, levels)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.emissions import (CH4_DEFAULTS, CLASS_COEFFICIENTS, EFFECTIVE_FACTORS, N2O_DEFAULTS,
@@ -365,13 +367,13 @@ LOAD_LEVEL_SQL = " UNION ALL ".join(
     for lv, k in LEVEL_ROWS)
 
 
-def run_inputs(t):
+def run_inputs(t, settings=SETTINGS):
     """(loads with donors, donor draws) of the fixed-probability run."""
     cities, plants = t.role("city"), t.role("plant")
     found, members = map_cities(cities, plants, "row_id", "plant_id", "served", small_country=SMALL)
     loads = city_loads(cities).join(found.select("row_id", "donor_id"), "row_id")
     pools = materialize(query_pools(t, POOL), "pools")
-    factors = draw_donors(members, matrix_of(t), pools, "plant_id", SETTINGS)
+    factors = draw_donors(members, matrix_of(t), pools, "plant_id", settings)
     return materialize(loads, "loads"), materialize(factors, "donors")
 
 
@@ -383,7 +385,7 @@ WITH {RUN_SQL}, lv AS ({LEVEL_SQL})
 SELECT level, key, sim::INT AS sim, {', '.join(f'round("{x}", 9) AS "{x}"' for x in TARGETS)} FROM lv {RUN_ROLES}""")
 def d10(t):
     loads, factors = run_inputs(t)
-    return rounded(level_emissions(group_emissions(loads, factors, FINEST, SEED), LEVELS), 9)
+    return rounded(level_emissions(group_emissions(loads, factors, FINEST, SEED, N_SIM), LEVELS), 9)
 
 
 def stats_sql(column: str, factor: str = "", digits: int = 9) -> str:
@@ -404,17 +406,34 @@ SELECT lv.level, lv.key, {', '.join(stats_sql(x) for x in TARGETS)},
 FROM lv JOIN ll ON ll.level = lv.level AND ll.key = lv.key GROUP BY 1, 2 {RUN_ROLES}""")
 def d11(t):
     loads, factors = run_inputs(t)
-    emissions = level_emissions(group_emissions(loads, factors, FINEST, SEED), LEVELS)
+    emissions = level_emissions(group_emissions(loads, factors, FINEST, SEED, N_SIM), LEVELS)
     return rounded(level_table(emissions, level_loads(loads, LEVELS)), 9)
 
 
+# More than one block of iterations, and donors of more than eight plants in parts.
+MANY = replace(SETTINGS, n_sim=1500, per_part=8)
+MANY_SQL = RUN_SQL.replace(f"range({N_SIM})", f"range({MANY.n_sim})")
+
+
+@query("D11_split_donors", f"""
+WITH {MANY_SQL}, lv AS ({LEVEL_SQL})
+SELECT level, key, count(*) AS iterations, {', '.join(stats_sql(x, digits=8) for x in TARGETS)}
+FROM lv GROUP BY 1, 2 {RUN_ROLES}""")
+def d11_split(t):
+    loads, factors = run_inputs(t, MANY)
+    emissions = level_emissions(group_emissions(loads, factors, FINEST, SEED, MANY.n_sim), LEVELS)
+    seen = emissions.groupBy("level", "key").agg(F.count(F.lit(1)).alias("iterations"))
+    table = level_table(emissions, level_loads(loads, LEVELS)).join(seen, ["level", "key"])
+    return rounded(table.select("level", "key", "iterations", *[f"{x}_{s}" for x in TARGETS for s in STATS]), 8)
+
+
 @query("E5_effective_factors", f"""
 WITH {RUN_SQL}, lv AS ({LEVEL_SQL}), ll AS ({LOAD_LEVEL_SQL})
 SELECT lv.level, lv.key, {', '.join(stats_sql(t, d) for _, t, d in EFFECTIVE_FACTORS)}
 FROM lv JOIN ll ON ll.level = lv.level AND ll.key = lv.key GROUP BY 1, 2 {RUN_ROLES}""")
 def e5(t):
     loads, factors = run_inputs(t)
-    emissions = level_emissions(group_emissions(loads, factors, FINEST, SEED), LEVELS)
+    emissions = level_emissions(group_emissions(loads, factors, FINEST, SEED, N_SIM), LEVELS)
     table = level_table(emissions, level_loads(loads, LEVELS))
     return rounded(table.select("level", "key", *[f"{label}_{s}" for label, _, _ in EFFECTIVE_FACTORS
                                                   for s in STATS]), 9)
@@ -433,7 +452,7 @@ SELECT row_id, round(max(bod), 9) AS "BOD_intoSecondary", round(max(tn), 9) AS "
   (max(bod) > 0)::INT AS "CH4_EF_Defined", (max(tn) > 0)::INT AS "N2O_EF_Defined" FROM ct GROUP BY 1 {RUN_ROLES}""")
 def d12(t):
     loads, factors = run_inputs(t)
-    return rounded(city_table(loads, donor_series(factors, SEED), "row_id"), 9)
+    return rounded(city_table(loads, donor_series(factors, SEED, n_sim=N_SIM), "row_id"), 9)
 
 
 @query("D12_city_subsample", f"""
@@ -442,7 +461,7 @@ SELECT row_id, round(avg("CO2e_total"), 9) AS "CO2e_total_Mean",
   round(quantile_cont(CASE WHEN sim % 3 = 0 THEN "CO2e_total" END, 0.5), 9) AS "CO2e_total_Median" FROM ct GROUP BY 1 {RUN_ROLES}""")
 def d12_subsample(t):
     loads, factors = run_inputs(t)
-    out = city_table(loads, donor_series(factors, SEED, 3), "row_id")
+    out = city_table(loads, donor_series(factors, SEED, 3, N_SIM), "row_id")
     return rounded(out.select("row_id", "CO2e_total_Mean", "CO2e_total_Median"), 9)
 
 
@@ -453,7 +472,7 @@ SELECT row_id, NAME_0, round(max(bod), 9) AS "BOD_intoSecondary", round(max(tn),
   round(avg(sludge), 9) AS "BODintoSludge_Ratio" FROM ct GROUP BY 1, 2 {RUN_ROLES}""")
 def d13(t):
     loads, factors = run_inputs(t)
-    return rounded(city_reductions(loads, donor_series(factors, SEED), "row_id", ["NAME_0"]), 9)
+    return rounded(city_reductions(loads, donor_series(factors, SEED, n_sim=N_SIM), "row_id", ["NAME_0"]), 9)
 
 
 @query("D13_country_reductions", f"""
@@ -464,7 +483,7 @@ SELECT NAME_0, CASE WHEN sum(bod) > 0 THEN round(sum(a * bod) / sum(bod), 9) ELS
   round(sum(bod), 9) AS "BOD_intoSecondary_Total", round(sum(tn), 9) AS "TN_intoSecondary_Total" FROM c GROUP BY 1 {RUN_ROLES}""")
 def d13_country(t):
     loads, factors = run_inputs(t)
-    cities = city_reductions(loads, donor_series(factors, SEED), "row_id", ["NAME_0"])
+    cities = city_reductions(loads, donor_series(factors, SEED, n_sim=N_SIM), "row_id", ["NAME_0"])
     return rounded(weighted_rate(cities, ["NAME_0"], {
         "CH4_Reduction_rate": "BOD_intoSecondary", "N2O_Reduction_rate": "TN_intoSecondary",
         "BODintoSludge_Ratio": "BOD_intoSecondary"}), 9)
@@ -478,7 +497,7 @@ FROM lv JOIN ll ON ll.level = lv.level AND ll.key = lv.key GROUP BY 1, 2 {RUN_RO
 def d14(t):
     """The mean of each iteration's own factor, times the load, against the table's emission."""
     loads, factors = run_inputs(t)
-    emissions = materialize(level_emissions(group_emissions(loads, factors, FINEST, SEED), LEVELS), "emissions")
+    emissions = materialize(level_emissions(group_emissions(loads, factors, FINEST, SEED, N_SIM), LEVELS), "emissions")
     totals = level_loads(loads, LEVELS)
     table = level_table(emissions, totals)
     each = emissions.join(totals, ["level", "key"]).groupBy("level", "key").agg(
