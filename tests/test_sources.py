@@ -6,7 +6,7 @@ import pytest
 from catchment import session
 from catchment.operators.jobstate import changed_settings, fingerprint, keep_last
 from catchment.session import materialize, scratch_path, shared_dir
-from catchment.sources.readers import read_named, read_optional, read_probabilities, read_union
+from catchment.sources.readers import read_by_header, read_named, read_optional, read_probabilities, read_union
 from catchment.sources.writers import (latest_version, read_versioned, upsert, write_buckets,
                                        write_csv, write_table, write_tables)
 
@@ -71,6 +71,51 @@ def test_union_skips_unreadable_files(spark, frame):
     assert read_union(spark, f"{folder}/nothing*") == (None, [])
 
 
+def test_union_of_many_files_is_one_scan(spark, frame):
+    """400 files of three schemas, one cut short and one empty table."""
+    folder = scratch_path(spark, "many")
+    for name, rows in (("a", "id"), ("b", "id, id * 0.5 AS x"), ("c", "id, string(id) AS y")):
+        spark.range(266).selectExpr(rows.split(", ")[0], *rows.split(", ")[1:]).repartition(133, "id").write.parquet(
+            f"{folder}/{name}.parquet")
+    write_table(frame([], "id long, z int"), f"{folder}/d.parquet")
+    one = next(f for f in os.scandir(f"{folder}/a.parquet") if f.name.endswith(".parquet"))
+    lost = spark.read.parquet(one.path).count()
+    with open(one.path, "r+b") as f:
+        f.truncate(one.stat().st_size - 5)
+    os.remove(f"{folder}/a.parquet/.{one.name}.crc")
+    got, skipped = read_union(spark, f"{folder}/*.parquet")
+    assert [p.rsplit("/", 1)[-1] for p in skipped] == [one.name]
+    assert got.columns == ["id", "x", "y", "z"] and got.count() == 3 * 266 - lost
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert got.where("x IS NOT NULL").count() == 266 == got.where("y IS NOT NULL").count()
+
+
+def test_union_widens_types_and_reports_a_pattern_of_junk(spark, frame):
+    folder = scratch_path(spark, "types")
+    write_table(frame([(1,)], "a int"), f"{folder}/1.parquet")
+    write_table(frame([(2.5,)], "a double"), f"{folder}/2.parquet")
+    got, skipped = read_union(spark, f"{folder}/*.parquet")
+    assert sorted(r.a for r in got.collect()) == [1.0, 2.5] and skipped == []
+    write_csv(frame([("junk",)], "j string"), f"{folder}/junk/a b+c.parquet")
+    none, skipped = read_union(spark, f"{folder}/junk/*.parquet")
+    assert none is None and [p.rsplit("/", 1)[-1] for p in skipped] == ["a b+c.parquet"]
+
+
+def test_csv_files_of_one_header_are_one_scan(spark):
+    folder = scratch_path(spark, "headers")
+    os.makedirs(folder)
+    for n in range(60):
+        with open(f"{folder}/f {n}+.csv", "w") as f:
+            f.write("a,b\n%d,x%d\n" % (n, n) if n % 2 else 'b,"c"\n"y\nz",%d\n' % n)
+    open(f"{folder}/empty.csv", "w").close()
+    with open(f"{folder}/only.csv", "w") as f:
+        f.write("a,b\n")
+    got = read_by_header(spark, sorted(e.path for e in os.scandir(folder)))
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert sorted(r.a for r in got.collect() if r.a is not None) == list(range(1, 60, 2))
+    assert read_by_header(spark, []) is None and read_by_header(spark, [f"{folder}/empty.csv"]) is None
+
+
 def test_upsert_keeps_last_and_survives_a_dead_writer(spark, frame):
     path = scratch_path(spark, "upsert")
     schema = "k int, seq int, v string"
