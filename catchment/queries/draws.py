@@ -201,9 +201,9 @@ def d5_moments(t):
     cells = t.role("predicted")
     drawn = beta_probabilities(to_arrays(cells, "plant_id", CLASSES), "plant_id", 1500, SEED)
     names = F.array(*[F.lit(c) for c in CLASSES])
-    stats = (drawn.select("plant_id", F.posexplode("probs").alias("i", "p"))
-             .groupBy("plant_id", F.get(names, F.col("i")).alias("class"))
-             .agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("avg"), (F.max("p") > F.min("p")).alias("drawn")))
+    stats = (drawn.select("plant_id", F.posexplode("probs").alias("i", "p")).groupBy("plant_id", "i")
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("avg"), (F.max("p") > F.min("p")).alias("drawn"))
+             .withColumn("class", F.get(names, F.col("i"))).drop("i"))
     m = F.least(F.greatest("mean", F.lit(0.001)), F.lit(0.999))
     goal = F.when(F.col("mean") <= 0, 0.0).when(F.col("std") > 0, m).otherwise(F.least("mean", F.lit(1.0)))
     error = F.when(F.col("drawn"), F.least("std", F.sqrt(m * (1 - m)))).otherwise(0.0) / F.sqrt(F.lit(1500.0))

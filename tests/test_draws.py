@@ -3,10 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from catchment.functions.uniform import digest, lane, standard_normal
-from catchment.operators.draws import (beta_classes, beta_probabilities, city_table,
+from catchment.operators.draws import (BETA_CELLS, beta_classes, beta_envelopes, beta_probabilities, beta_values, city_table,
                                        class_index, distribution, donor_series, expand_draws,
                                        group_emissions, level_emissions, level_loads, level_table,
-                                       redrawn_factor, with_blocks, with_class_cdf, with_shared_draws)
+                                       redrawn_factor, with_beta_shapes, with_blocks, with_class_cdf, with_shared_draws)
 from catchment.operators.validate import interval_summary
 
 CLASSES = ["A", "B", "C"]
@@ -60,6 +60,25 @@ def test_beta_draws_do_not_depend_on_partitions(arrays):
     assert few[(100, 3)] == [0, 0, 0] and few[(101, 3)] == [0, 1, 0] and few[(102, 3)] == [0, 0.4, 0.6]
 
 
+def test_beta_draws_are_made_in_arrays_as_the_expression_makes_them(spark):
+    """No function of arrays is interpreted for every cell; blocks are cut, ids may be text or missing."""
+    rows = [(f"p{i}", [0.2, 0.001, 0.9, 0.0], [0.05, 0.02, 0.3, 0.1]) for i in range(12)]
+    rows += [(None, [0.3, 0.3, 0.4, 0.0], [0.1, 0.0, 0.49, 0.0]), ("short", [0.5], [0.2]), ("none", [], [])]
+    table = spark.createDataFrame(rows, "id string, means array<double>, stds array<double>")
+    drawn = beta_probabilities(table, "id", 1200, 7)
+    assert 12 * 1200 * 3 > BETA_CELLS
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "md5(" not in plan and "aggregate(" not in plan
+    assert drawn.schema["sim"].dataType.simpleString() == "int" and drawn.columns == ["id", "sim", "probs"]
+    plain = with_beta_shapes(table).select("id", beta_envelopes(F.col("a"), F.col("b"), F.col("fixed")).alias("e"))
+    plain = plain.select("*", F.explode(F.sequence(F.lit(0), F.lit(1199))).alias("sim")).select(
+        "id", "sim", beta_values(F.col("e"), 7, F.col("sim"), F.col("id")).alias("probs"))
+    got, want = ({(r.id, r.sim): r.probs for r in x.collect()} for x in (drawn, plain))
+    assert got.keys() == want.keys() and len(got) == 15 * 1200
+    assert all(len(got[k]) == len(want[k]) for k in want)
+    assert np.allclose(np.concatenate([got[k] for k in want]), np.concatenate([want[k] for k in want]), rtol=1e-12, atol=0)
+
+
 def test_beta_classes_follow_the_means(arrays):
     rows = beta_classes(with_blocks(arrays, 2400, "id"), "id", 3).collect()
     picked = {}
