@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ SPAN = 8  # characters that a subsequence may stretch over
 POWER = 5
 WINDOW, STRIDE = 24, 12  # units longer than a window are read in windows
 MIN_ODDS = 2.0
-CHUNK = 1000  # units whose subsequences are held at a time
+CHUNK = 400  # units whose subsequences are held at a time
 SENTENCES = 1500  # mapped at a time in training
 ALPHABET = 80
 MARK = "^"
@@ -93,6 +93,7 @@ class Kernel:
     landmarks: list[str] = field(default_factory=list)
     row: np.ndarray = None  # code of a subsequence to its number, or -1
     first: np.ndarray = None  # where the landmarks with a subsequence begin
+    count: np.ndarray = None  # how many they are
     holder: np.ndarray = None  # those landmarks
     weight: np.ndarray = None  # and its weight in them, normalised
 
@@ -140,7 +141,8 @@ class Kernel:
         codes = np.array([e[0] for e in entries], dtype=np.int64)
         found, self.first = np.unique(codes, return_index=True)
         self.first = np.append(self.first, len(codes))
-        self.row = np.full((len(self.alphabet) + 2) ** 3, -1, dtype=np.int32)
+        self.count = np.diff(self.first)
+        self.row = np.full((len(self.alphabet) + 2) ** 3 + 1, -1, dtype=np.int32)  # the last one is for code -1
         self.row[found] = np.arange(len(found))
         self.holder = np.array([e[1] for e in entries], dtype=np.int64)
         self.weight = np.array([e[2] for e in entries])
@@ -149,17 +151,20 @@ class Kernel:
         """Powers of the normalised kernel, (units x landmarks)."""
         out = np.zeros((len(units), len(self.landmarks)), dtype=np.float32)
         for which, code, weight in self.codes(units):
-            row = np.where(code >= 0, self.row[code], -1)
+            row = self.row[code]
             hit, place = np.nonzero(row >= 0)
             if not len(hit):
                 continue
             number = row[hit, place]
-            count = self.first[number + 1] - self.first[number]
-            entry = np.repeat(self.first[number] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            total = np.bincount(np.repeat(hit, count) * len(self.landmarks) + self.holder[entry],
-                                weights=np.repeat(weight[place], count) * self.weight[entry],
+            count = self.count[number]
+            entry = np.repeat(self.first[number] - np.cumsum(count) + count, count)
+            entry += np.arange(len(entry))
+            cell = np.repeat(hit * len(self.landmarks), count)
+            cell += self.holder[entry]
+            product = np.repeat(weight[place], count) * self.weight[entry]
+            total = np.bincount(cell, weights=product,
                                 minlength=len(which) * len(self.landmarks)).reshape(len(which), -1)
-            own = np.unique(hit)
+            own = np.flatnonzero((row >= 0).any(axis=1))
             out[which[own]] = total[own] / self.norms(code[own], weight)[:, None]
         np.minimum(out, 1, out=out)
         out **= POWER
@@ -177,6 +182,14 @@ class Kernel:
         return np.sqrt(np.bincount(starts // code.shape[1], weights=total**2, minlength=len(code)))
 
 
+class Numbers(dict):
+    """Numbers of tokens in the order in which they are first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = number = len(self)
+        return number
+
+
 @dataclass
 class Machine:
     kernel: Kernel | None = None
@@ -189,36 +202,55 @@ class Machine:
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
-    def unit_values(self, found: list[str]) -> np.ndarray:
-        """What each token adds to its sentence: of long units, the worst window."""
+    def unit_values(self, units: list[str]) -> np.ndarray:
+        """What each unit adds to its sentence: of long ones, the worst window."""
         out = [np.zeros(0)]
-        for at in range(0, len(found), 20_000):
-            split = [windows(unit(t)) for t in found[at:at + 20_000]]
+        for at in range(0, len(units), 20_000):
+            split = [windows(u) for u in units[at:at + 20_000]]
             value = self.kernel.values([w for ws in split for w in ws]) @ self.weights
             out.append(np.maximum.reduceat(value, np.cumsum([0, *map(len, split)])[:-1]))
         return np.concatenate(out)
 
+    def learn(self, before: int):
+        """Values and ends of the tokens numbered from ``before`` on. Tokens that differ only at
+        their ends have one unit, which is a token too and evaluated once."""
+        known, cache = self.cache["row"], self.cache
+        new = list(islice(known, before, None))
+        own = np.fromiter(map(known.__getitem__, map(unit, new)), dtype=np.int64, count=len(new))
+        names = list(islice(known, before, None))
+        need = np.unique(own[own >= before])
+        value = np.append(cache["value"], np.zeros(len(names), dtype=np.float32))
+        value[need] = self.unit_values([names[i] for i in (need - before).tolist()])
+        value[before:before + len(new)] = value[own]
+        cache["value"] = value
+        cache["end"] = np.append(cache["end"], [t.endswith(_ENDS) for t in names])
+
     def margins(self, texts: list[str]) -> np.ndarray:
         """The worst sentence's margin for each text; without a token, that of an empty one."""
         cache = self.cache
         if "row" not in cache or len(cache["row"]) > UNIT_CACHE:
-            cache["row"], cache["value"] = {}, np.zeros(0, dtype=np.float32)
+            cache["row"], cache["value"] = Numbers(), np.zeros(0, dtype=np.float32)
             cache["end"] = np.zeros(0, dtype=bool)
         known = cache["row"]
+        before = len(known)
         split = [tokens(t) for t in texts]
-        new = list({t for ts in split for t in ts if t not in known})
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            cache["value"] = np.concatenate([cache["value"], self.unit_values(new).astype(np.float32)])
-            cache["end"] = np.concatenate([cache["end"], [t.endswith(_ENDS) for t in new]])
+        lengths = np.array([len(ts) for ts in split], dtype=np.int64)
         out = np.full(len(texts), self.bias)
-        for i, ts in enumerate(split):
-            if ts:
-                ids = np.fromiter(map(known.__getitem__, ts), dtype=np.int64, count=len(ts))
-                number = np.append(0, np.cumsum(cache["end"][ids])[:-1])
-                pair = np.unique(number << 32 | ids)  # each unit once in a sentence
-                total = np.bincount(pair >> 32, weights=cache["value"][pair & 0xFFFFFFFF])
-                out[i] = total.max() + self.bias
+        some = np.flatnonzero(lengths)
+        if not len(some):
+            return out
+        ids = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=lengths.sum())
+        del split
+        if len(known) > before:
+            self.learn(before)
+        starts = (np.cumsum(lengths) - lengths)[some]
+        begins = np.append(True, cache["end"][ids[:-1]])  # a sentence
+        begins[starts] = True
+        number = np.cumsum(begins) - 1
+        pair = np.sort(number << 32 | ids)
+        pair = pair[np.append(True, pair[1:] != pair[:-1])]  # each token once in a sentence
+        total = np.bincount(pair >> 32, weights=cache["value"][pair & 0xFFFFFFFF])
+        out[some] = np.maximum.reduceat(total, number[starts]) + self.bias
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:

@@ -228,3 +228,36 @@ def test_nothing_to_learn_scores_zero(frame):
     labels = frame([(1, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     machine = toxicity.fit_machine(odd_frame(frame), labels)
     assert {r.score for r in toxicity.score_toxicity(odd_frame(frame), machine).collect()} == {0.0}
+
+
+def test_tokens_with_one_unit_are_evaluated_once(machine, monkeypatch):
+    learner, _ = machine
+    learner.cache.clear()
+    seen = []
+    values = toxicity.Kernel.values
+
+    def counted(kernel, units):
+        seen.extend(units)
+        return values(kernel, units)
+
+    monkeypatch.setattr(toxicity.Kernel, "values", counted)
+    learner.margins(["Alpha, alpha. (alpha) beta!", "... alpha? --", ""])
+    learner.margins(["beta gamma alpha; gamma.", "*beta* !!"])
+    assert sorted(seen) == sorted(toxicity.MARK + u for u in ("alpha", "beta", "gamma", ""))
+    learner.cache.clear()
+
+
+def test_margins_of_many_texts_are_those_of_each_sentence(machine):
+    learner, put = machine
+    texts = ["", " . . ", "no end", "one. two! three? four", "a. a. a a", *[row[1] or "" for row in odd_texts()],
+             *[put(prose(700 + i, 50), ["loser", "x.y"]) for i in range(8)]]
+    want = []
+    for text in texts:
+        learner.cache.clear()
+        each = [sum(float(learner.unit_values([toxicity.unit(t)])[0]) for t in set(s)) for s in toxicity.sentences(text)]
+        want.append(max(each, default=0.0) + learner.bias)
+    for size in (1, 5, len(texts)):
+        learner.cache.clear()
+        got = np.concatenate([learner.margins(texts[i:i + size]) for i in range(0, len(texts), size)])
+        assert np.allclose(got, want, atol=1e-4)
+    learner.cache.clear()
