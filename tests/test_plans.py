@@ -162,3 +162,33 @@ def test_a_search_goes_on_and_stops_on_other_settings(spark, monkeypatch):
     assert resumed == run(["a", "b"])
     with pytest.raises(SettingsChanged, match="seed: 1 -> 2"):
         run(["a", "b"], seed=2, progress=folder)
+
+
+def test_a_search_computes_its_pools_once_for_all_sets(spark, monkeypatch):
+    rows = spark.range(90).select(
+        F.col("id"), F.lit("small").alias("bucket"),
+        F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("id") % 3 + 1).cast("int")).alias("label"),
+        (F.col("id") % 7 + 1.0).alias("pop"), (F.col("id") % 3 + F.rand(1)).alias("x"))
+    reference = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("C", 3.0)], "class string, reference double")
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        computed.add(1)
+        return value
+
+    pools = pools_of(spark, 30).withColumn("ch4_ef", counted.asNondeterministic()("ch4_ef"))
+    read = []
+    real = search_plan.fold_scores
+
+    def scores(*given):
+        read.append([sorted(t.inputFiles()) for t in (given[5], *given[6].values())])
+        return real(*given)
+
+    monkeypatch.setattr(search_plan, "fold_scores", scores)
+    sets = {"a": ForestSettings(2, 2), "b": ForestSettings(2, 3)}
+    out = search_plan.search(rows, "id", "label", ["x"], "bucket", "pop", sets, 2, 1, 1, pools,
+                             {"N2O": reference, "CH4": reference}, CLASSES, 20, 30, keep=2)
+    assert {r.param_key for r in out.collect()} == {"a", "b"}
+    assert computed.value == pools.count()
+    assert len(read) == 2 and read[0] == read[1] and all(read[0])
